@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .op10_pack import op10_best_fit_packing
 from .op1_wavelet import op1_wavelet_tokens
+from .op7_bpe import op7_bpe_roundtrip
+from .op8_warc import op8_warc_revisits
 
 QUERIES = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
+    "op7_bpe_roundtrip": op7_bpe_roundtrip,
+    "op8_warc_revisits": op8_warc_revisits,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 SQL: dict[str, str] = {}
