@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from .op10_pack import op10_best_fit_packing
 from .op1_wavelet import op1_wavelet_tokens
+from .op6_lines import SQL as OP6_SQL
+from .op6_lines import op6_line_dedup
 from .op7_bpe import op7_bpe_roundtrip
 from .op8_warc import op8_warc_revisits
 
 QUERIES = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
+    "op6_line_dedup": op6_line_dedup,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
     "op8_warc_revisits": op8_warc_revisits,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_line_dedup": OP6_SQL,
+}
