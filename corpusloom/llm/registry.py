@@ -8,15 +8,19 @@ from .op6_lines import SQL as OP6_SQL
 from .op6_lines import op6_line_dedup
 from .op7_bpe import op7_bpe_roundtrip
 from .op8_warc import op8_warc_revisits
+from .op9_search import SQL as OP9_SQL
+from .op9_search import op9_top_k_search
 
 QUERIES = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op6_line_dedup": op6_line_dedup,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
     "op8_warc_revisits": op8_warc_revisits,
+    "op9_top_k_search": op9_top_k_search,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 SQL: dict[str, str] = {
     "op6_line_dedup": OP6_SQL,
+    "op9_top_k_search": OP9_SQL,
 }
