@@ -26,9 +26,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import slices, table
-from .tokens import vocabulary_path
+from .tokens import ChunkEncoder, byte_letters, vocabulary_path
 
-CACHE_WORDS = 300_000
 #: White space as the vocabulary file's patterns mean it.
 _WHITE = "\t-\r \x85\xa0  -     　"
 #: Characters whose class and lower case no two Unicode versions dispute; texts
@@ -36,20 +35,10 @@ _WHITE = "\t-\r \x85\xa0  -     　"
 _UNDISPUTED = r"\x00-ԯḀ-⁯₠-₿℀-⯿　-ヿ一-鿿가-힣\U0001f300-\U0001f64f"
 
 
-def byte_letters() -> list[str]:
-    """The printable character that stands for each byte value."""
-    keep = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
-    out, spare = [], 256
-    for b in range(256):
-        out.append(chr(b) if b in keep else chr(spare))
-        spare += b not in keep
-    return out
-
-
 class Bpe:
     """encode(text) and decode(ids) of one vocabulary file."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -72,8 +61,7 @@ class Bpe:
         self.disputed = regex.compile(f"[^{_UNDISPUTED}]").search
         self.path, self._lib = path, None
         self.byte_of = {x: b for b, x in enumerate(letters)}
-        self.cache: dict[str, bytes] = {}
-        self.limit = cache_words
+        self.known = ChunkEncoder(self._word, self._whole, np.dtype("<u4"))
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word: the lowest merge rank first, leftmost among equals."""
@@ -122,22 +110,21 @@ class Bpe:
         return [bytes(map(self.byte_of.__getitem__, x)).decode("utf-8") for x, _ in words]
 
     def _word(self, word: str) -> bytes:
-        if len(self.cache) >= self.limit:
-            self.cache.clear()
-        ids = self.cache[word] = np.array(self.merge(word), "<u4").tobytes()
-        return ids
+        return np.array(self.merge(word), "<u4").tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def _whole(self, text: str) -> bytes:
+        """Ids of any text: special tokens first, then the words between them."""
         out: list[bytes] = []
-        known = self.cache.get
         for k, part in enumerate(self.specials.split(text) if "<|" in text else [text]):
             if k % 2:
                 out.append(self.added[part].to_bytes(4, "little"))
-                continue
-            for word in self._words(part):
-                out.append(known(word) or self._word(word))
-        return np.frombuffer(b"".join(out), "<u4")
+            else:
+                out += map(self.known.words.__getitem__, self._words(part))
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids as little-endian unsigned 32-bit integers."""
+        return self.known.encode([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(map(self.strings.__getitem__, ids.tolist()))
@@ -160,7 +147,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, digests: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(vocabulary)
         for batch in slices(batches):
-            ids = [bpe.encode(x or "") for x in batch.column(1).to_pylist()]
+            ids = [bpe.encode(x) for x in batch.column(1).to_pylist()]
             texts = [bpe.decode(x) for x in ids]
             out = {"doc_id": batch.column(0).cast(pa.int64()), "n_tokens": pa.array([len(x) for x in ids], pa.int64())}
             if digests:

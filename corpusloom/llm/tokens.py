@@ -1,26 +1,27 @@
 """Token ids of whole texts from the tokenizers library, in Spark tasks.
 
 The tokenizer's pre-tokenizer never crosses white space, so a text's ids are
-the concatenation of the ids of its white-space separated chunks.  Corpora
-repeat their chunks, so each task keeps the ids of recent chunks and asks the
-library only for the others, many in one call.
+the concatenation of the ids of its white-space separated chunks; and a chunk
+that is one Latin word between punctuation is three pre-tokens, whose ids the
+library's model gives.  Corpora repeat their words, so each task keeps the ids
+of the chunks and words it has met and asks the library only for the others.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 
 #: Characters that str.split() takes for white space and the tokenizer does not.
-_ODD = re.compile("[\x1c-\x1f]")
-_PUNCT = r"[!#$%&()*+,\-./:;=?@\[\\\]^_{}~]*"
-#: Punctuation, one Latin word, punctuation: three pre-tokens at most.
-_PLAIN = re.compile(rf"({_PUNCT})([A-Za-zÀ-ÖØ-öø-ÿ]+)({_PUNCT})")
-#: Stands between chunks in a call to the library; chunks that hold it go alone.
-_MARK = "`"
-CACHE_CHUNKS = 400_000
+_ODD = "\x1c\x1d\x1e\x1f"
+#: Punctuation that never joins a word's pre-token or a special token.
+_PUNCT = '!"#$%&()*+,-./:;=?@[\\]^_`{}~'
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+CACHE_CHUNKS = 600_000
+CACHE_WORDS = 800_000
 
 
 def vocabulary_path() -> str:
@@ -29,86 +30,94 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Known(dict):
+    """key -> ids as bytes; asks ``find`` for others and keeps a bounded number.
+
+    When full it keeps what it has, the frequent ones among it, and starts anew
+    only after as many misses again, when the texts have changed.
+    """
+
+    def __init__(self, find: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.find, self.limit, self.missed = find, limit, 0
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.find(key)
+        if len(self) < self.limit:
+            self[key] = ids
+        else:
+            self.missed += 1
+            if self.missed > self.limit:
+                self.clear()
+                self.missed = 0
+        return ids
+
+
 class ChunkEncoder:
-    """encode(texts): one uint16 or uint32 array of ids per text (None: empty)."""
-
-    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
-        self.lib.no_truncation()
-        self.lib.no_padding()
-        self.kind = np.uint16 if self.lib.get_vocab_size() <= 0xFFFF else np.uint32
-        self.limit = cache_chunks
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
-        mark = self.lib.encode(_MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        if self.mark is None or len(texts) < 8:
-            found = self.lib.encode_batch_fast(texts, add_special_tokens=False)
-            return [np.array(x.ids, self.kind).tobytes() for x in found]
-        out: list[bytes] = [b""] * len(texts)
-        alone = [i for i, x in enumerate(texts) if _MARK in x]
-        apart = set(alone)
-        together = [i for i in range(len(texts)) if i not in apart]
-        for i, ids in zip(alone, self.lib.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False)):
-            out[i] = np.array(ids.ids, self.kind).tobytes()
-        for at in range(0, len(together), 2000):
-            part = together[at : at + 2000]
-            joined = f" {_MARK} ".join(texts[i] for i in part)
-            ids = np.array(self.lib.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind)
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(part) - 1:
-                for i in part:
-                    out[i] = np.array(self.lib.encode(texts[i], add_special_tokens=False).ids, self.kind).tobytes()
-                continue
-            width, data, start = ids.itemsize, ids.tobytes(), 0
-            for i, cut in zip(part, [*cuts.tolist(), len(ids)]):
-                out[i] = data[start * width : cut * width]
-                start = cut + 1
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        """Fills the caches for chunks that are not in them."""
-        words, chunks = self.words, self.chunks
-        plain, other = [], []
-        for x in new:
-            m = _PLAIN.fullmatch(x)
-            if m:
-                plain.append((x, m[1], m[2].lower(), m[3]))
-            else:
-                other.append(x)
-        unseen = list({w for p in plain for w in p[1:] if w not in words})
-        if len(words) + len(unseen) > self.limit:
-            wanted = {w for p in plain for w in p[1:]}
-            self.words = words = {"": b""} | {w: words[w] for w in wanted if w in words}
-        found = self._library(unseen + other)
-        words.update(zip(unseen, found))
-        chunks.update(zip(other, found[len(unseen) :]))
-        for x, a, b, c in plain:
-            chunks[x] = words[a] + words[b] + words[c]
+    """encode(texts): one array of ids per text (None: empty).
+
+    ``word`` gives the ids of one lower-case Latin word or run of punctuation,
+    ``whole`` those of any text.
+    """
+
+    def __init__(self, word: Callable[[str], bytes], whole: Callable[[str], bytes], kind: type):
+        self.kind, self.whole = kind, whole
+        self.words = _Known(word, CACHE_WORDS)
+        self.words[""] = b""
+        self.chunks = _Known(self._chunk, CACHE_CHUNKS)
+
+    def _chunk(self, chunk: str) -> bytes:
+        core = chunk.strip(_PUNCT)
+        if core.isalpha() and (core.isascii() or _LATIN(core)):
+            words = self.words
+            if len(core) == len(chunk):
+                return words[core.lower()]
+            at = chunk.index(core)
+            before, after = chunk[:at], chunk[at + len(core) :]
+            return (words[before] if before else b"") + words[core.lower()] + (words[after] if after else b"")
+        return self.whole(chunk)
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if any(x in text for x in _ODD):
+            return self.whole(text)
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [None if x and _ODD.search(x) else (x or "").split() for x in texts]
-        seen = set().union(*[x for x in split if x])
-        chunks = self.chunks
-        new = [x for x in seen if x not in chunks]
-        if len(chunks) + len(new) > self.limit:
-            self.chunks = chunks = {x: chunks[x] for x in seen if x in chunks}
-        if new:
-            self._learn(new)
-        get = chunks.__getitem__
-        out = []
-        for text, parts in zip(texts, split):
-            if parts is None:
-                ids = self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids
-                out.append(np.array(ids, self.kind))
-            else:
-                out.append(np.frombuffer(b"".join(map(get, parts)), self.kind))
-        return out
+        return [np.frombuffer(self.encode_bytes(x), self.kind) for x in texts]
+
+
+def byte_letters() -> list[str]:
+    """The printable character that stands for each byte value in byte-level vocabularies."""
+    keep = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)}
+    out, spare = [], 256
+    for b in range(256):
+        out.append(chr(b) if b in keep else chr(spare))
+        spare += b not in keep
+    return out
+
+
+def library_encoder(path: str) -> ChunkEncoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(path)
+    lib.no_truncation()
+    lib.no_padding()
+    kind = np.uint16 if lib.get_vocab_size() <= 0xFFFF else np.uint32
+    tokenize, letters = lib.model.tokenize, byte_letters()
+
+    def word(x: str) -> bytes:
+        spelt = x if x.isascii() else "".join([letters[b] for b in x.encode("utf-8")])
+        return np.array([t.id for t in tokenize(spelt)], kind).tobytes()
+
+    def whole(x: str) -> bytes:
+        return np.array(lib.encode_batch_fast([x], add_special_tokens=False)[0].ids, kind).tobytes()
+
+    out = ChunkEncoder(word, whole, kind)
+    out.lib = lib
+    return out
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -117,5 +126,5 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 def encoder(path: str) -> ChunkEncoder:
     """One encoder per Python worker and vocabulary file."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = library_encoder(path)
     return _ENCODERS[path]
