@@ -6,6 +6,7 @@ from .op10_pack import op10_best_fit_packing
 from .op1_wavelet import op1_wavelet_tokens
 from .op2_minhash import op2_near_duplicates
 from .op3_fm import op3_quality_classifier
+from .op4_suffix import op4_suffix_dedup
 from .op5_quality import op5_quality_rules
 from .op6_lines import SQL as OP6_SQL
 from .op6_lines import op6_line_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
