@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .queries import corpus
+
+QUERIES: dict = {**corpus.QUERIES}
+SQL: dict[str, str] = {**corpus.SQL}

@@ -1 +1 @@
-
+"""Models and experiments: mixtures, Gaussian mixtures, trees, searches."""
