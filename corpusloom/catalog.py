@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import corpus
+from .queries import corpus, models
 
-QUERIES: dict = {**corpus.QUERIES}
-SQL: dict[str, str] = {**corpus.SQL}
+QUERIES: dict = {**corpus.QUERIES, **models.QUERIES}
+SQL: dict[str, str] = {**corpus.SQL, **models.SQL}

@@ -141,53 +141,82 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "doc long, items array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, both, linked) of the pairs, from the full sets."""
     left = sets.select(F.col("doc").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("doc").alias("b"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("total"))
-    return joined.where(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select("a", "b").distinct()
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("total"))
+    linked = 100 * F.col("both") >= percent * (F.col("total") - F.col("both"))
+    return joined.groupBy("a", "b").agg(F.max("both").alias("both"), F.max(linked).alias("linked"))
+
+
+def _live(rest: DataFrame, links: DataFrame | None, percent: int) -> DataFrame:
+    """The bucket members with their component so far and its size in the bucket.
+
+    Only buckets with several components stay, and in them only members whose
+    sharable shingles allow a link with the bucket's smallest set.
+    """
+    if links is None:
+        labelled = rest.withColumns({"label": F.col("doc"), "degree": F.lit(0).cast("long")})
+    else:
+        degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("degree"))
+        known = components(links, "op2-components").withColumnRenamed("vertex", "doc").join(degree, "doc", "left")
+        labelled = rest.join(known, "doc", "left").withColumns({"label": F.coalesce("component", "doc"), "degree": F.coalesce("degree", F.lit(0))}).drop("component")
+    least = labelled.groupBy("key").agg(F.min("n").alias("least"))
+    able = labelled.join(least, "key").where((100 + percent) * F.col("c") >= percent * (F.col("n") + F.col("least"))).drop("least")
+    sizes = able.groupBy("key", "label").agg(F.count("*").alias("peers"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    return saved(able.join(sizes.join(mixed, "key"), ["key", "label"]), "op2-live")
 
 
 def near_links(docs: DataFrame, reps: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame | None:
     """Confirmed links (a, b) between representatives that join all linked ones.
 
     ``reps`` has (rep, n_shingles, bands).  None: there are no links.
+
+    The first round compares the members of a bucket with its smallest few ids,
+    the second with its best linked member, the reference; what both overlap with
+    that, and how many of their other shingles any document shares, bounds the
+    overlap of two members.  Later rounds take the members of the bucket's small
+    components, twice as many each time, and compare where the bound allows a link.
     """
     buckets = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("doc"), F.col("n_shingles").alias("n"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    rest = saved(buckets.join(shared, "key").select("key", "doc", "n").distinct(), "op2-buckets")
+    several = buckets.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    rest = saved(buckets.join(several, "key").select("key", "doc", "n").distinct(), "op2-buckets")
     if is_empty(rest):
         return None
     sets = saved(_full_sets(docs, rest.select("doc").distinct(), words), "op2-sets")
-    links = labels = tested = None
-    pivots = PIVOTS
-    while True:
-        if links is None:
-            live = rest.select("key", "doc", "n", F.col("doc").alias("label"), F.lit(0).cast("long").alias("degree"))
-        else:
-            degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("degree"))
-            known = labels.select(F.col("vertex").alias("doc"), "component").join(degree, "doc", "left")
-            live = rest.join(known, "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        mixed = live.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
-        live = saved(live.join(mixed, "key", "left_semi"), "op2-live")
-        if is_empty(live):
-            break
-        best = W.partitionBy("key").orderBy(F.desc("degree"), "doc", "n")
-        chosen = live.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= pivots).drop("_at", "degree")
-        chosen = saved(chosen, "op2-pivots")
-        asked = chosen.select("key", F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("label").alias("plabel"))
-        fits = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
-        pairs = live.join(asked, "key").where((F.col("label") != F.col("plabel")) & fits).select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b")).distinct()
+    # A shingle that no other document here has cannot be shared.
+    items = sets.select("doc", F.explode("items").alias("item"))
+    common = items.groupBy("item").agg(F.count("*").alias("k")).where("k > 1").select("item")
+    shared = items.join(common, "item").groupBy("doc").agg(F.count("*").alias("c"))
+    rest = saved(rest.join(shared, "doc").withColumn("o", F.lit(None).cast("long")), "op2-buckets")
+    links = tested = None
+    columns, pivots, number = ["key", "doc", "n", "c", "o"], PIVOTS, 0
+    while not is_empty(live := _live(rest, links, percent)):
+        order = [F.asc("doc")] if number == 0 else [F.desc("degree"), F.asc("doc")] if number == 1 else [F.asc("peers"), F.asc("label"), F.asc("doc")]
+        best = W.partitionBy("key").orderBy(*order, F.asc("n"))
+        chosen = saved(live.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= (1 if number == 1 else pivots)), "op2-pivots")
+        asked = chosen.select("key", *[F.col(x).alias(f"p_{x}") for x in ("doc", "n", "c", "o", "label")])
+        met = live.join(asked, "key").where(F.col("doc") != F.col("p_doc")).withColumns({"a": F.least("doc", "p_doc"), "b": F.greatest("doc", "p_doc")})
+        bound = F.least("c", "p_c", F.least("o", "p_o") + F.least(F.col("c") - F.col("o"), F.col("p_c") - F.col("p_o")))
+        if number != 1:
+            bound = F.when(F.col("o").isNotNull() & F.col("p_o").isNotNull(), bound).otherwise(F.least("c", "p_c"))
+            met = met.where((F.col("label") != F.col("p_label")) & ((100 + percent) * bound >= percent * (F.col("n") + F.col("p_n"))))
+        fits = met.where(100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
+        pairs = fits.select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "op2-pairs")
-        found = saved(_confirmed(pairs, sets, percent), "op2-links")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = components(links, "op2-components")
-        rest = live.join(chosen.select("key", "doc"), ["key", "doc"], "left_anti").select("key", "doc", "n")
-        pivots *= 2
+        now = saved(_overlaps(pairs, sets, percent), "op2-overlaps")
+        tested = now if tested is None else tested.unionByName(now)
+        links = tested.where("linked").select("a", "b")
+        rest = live.join(chosen.select("key", "doc"), ["key", "doc"], "left_anti").select(*columns)
+        if number == 1:
+            overlaps = met.select("key", "doc", "a", "b").join(tested, ["a", "b"]).groupBy("key", "doc").agg(F.max("both").cast("long").alias("o"))
+            rest = rest.drop("o").join(overlaps, ["key", "doc"], "left")
+        else:
+            pivots *= 4
+        number += 1
     return links
 
 

@@ -183,10 +183,45 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8")
 
 
-def _anchored(docs: DataFrame, window: int, full: bool) -> DataFrame:
-    """Segments of all documents: anchor, and (full) content hash, document, start, count."""
+def _repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
+    """h of every anchor that occurs twice or more.
+
+    Hashes travel packed, each once per slice of documents and bucket; those
+    that a slice already holds twice come twice.
+    """
+    buckets = 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            found = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if doc_id is not None and len(data := _bytes(text)) >= window:
+                    found.append(segments(np.frombuffer(data, np.uint8), window)[0])
+            if not found:
+                continue
+            h, k = np.unique(np.concatenate(found), return_counts=True)
+            h = np.concatenate((h, h[k > 1]))
+            of = (h % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(of, kind="stable")
+            h, of = h[order], of[order]
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(h)]))
+            raw = h.tobytes()
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(of[cuts[:-1]]), "hashes": pa.array([raw[8 * a : 8 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary())})
+
+    def meet(part: pa.Table) -> pa.Table:
+        h = np.sort(np.frombuffer(b"".join(part.column("hashes").to_pylist()), np.uint64))
+        twice = np.unique(h[1:][h[1:] == h[:-1]])
+        return pa.table({"h": pa.array(twice.view(np.int64))})
+
+    packed = docs.select("doc_id", "text").mapInArrow(pack, "bucket int, hashes binary")
+    return packed.groupBy("bucket").applyInArrow(meet, "h long")
+
+
+def _anchored(docs: DataFrame, window: int) -> DataFrame:
+    """Segments of all documents: anchor, content hash, document, start, count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for batch in slices(batches):
             anchors, contents, ids, starts, counts = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -194,21 +229,19 @@ def _anchored(docs: DataFrame, window: int, full: bool) -> DataFrame:
                 if doc_id is None or len(data) < window:
                     continue
                 h, s, n = segments(np.frombuffer(data, np.uint8), window)
+                view = memoryview(data)
+                contents += [digest(view[a:b]) for a, b in zip(s.tolist(), (s + n + window - 1).tolist())]
                 anchors.append(h)
-                if full:
-                    view = memoryview(data)
-                    digest = xxhash.xxh3_64_intdigest
-                    contents += [digest(view[a:b]) for a, b in zip(s.tolist(), (s + n + window - 1).tolist())]
-                    ids.append(np.full(len(h), doc_id, np.int64))
-                    starts.append(s)
-                    counts.append(n)
+                ids.append(np.full(len(h), doc_id, np.int64))
+                starts.append(s)
+                counts.append(n)
             if anchors:
-                out = {"h": pa.array(np.concatenate(anchors).view(np.int64))}
-                if full:
-                    out |= {"c": pa.array(np.array(contents, np.uint64).view(np.int64)), "doc": pa.array(np.concatenate(ids)), "s": pa.array(np.concatenate(starts).astype(np.int32)), "n": pa.array(np.concatenate(counts).astype(np.int32))}
-                yield pa.RecordBatch.from_pydict(out)
+                yield pa.RecordBatch.from_pydict({
+                    "h": pa.array(np.concatenate(anchors).view(np.int64)), "c": pa.array(np.array(contents, np.uint64).view(np.int64)), "doc": pa.array(np.concatenate(ids)),
+                    "s": pa.array(np.concatenate(starts).astype(np.int32)), "n": pa.array(np.concatenate(counts).astype(np.int32)),
+                })
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, c long, doc long, s int, n int" if full else "h long")
+    return docs.select("doc_id", "text").mapInArrow(run, "h long, c long, doc long, s int, n int")
 
 
 def _cut_out(docs: DataFrame, firsts: DataFrame, window: int) -> DataFrame:
@@ -263,8 +296,8 @@ def _compared(parts: DataFrame, window: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, spans): spans [a, b) of bytes that removed windows cover, in any order, maybe overlapping."""
-    counted = _anchored(docs, window, False).groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    found = saved(_anchored(docs, window, True).join(counted, "h"), "op4-segments")
+    repeated = saved(_repeated_anchors(docs, window), "op4-anchors")
+    found = saved(_anchored(docs, window).join(repeated, "h"), "op4-segments")
     place = F.struct("doc", "s")
     firsts = found.groupBy("h", "c").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.min("n").alias("n"))
     firsts = saved(firsts.select("h", "c", F.col("p.doc").alias("doc"), F.col("p.s").alias("s"), "n", (F.col("p") != F.col("q")).alias("copied")), "op4-firsts")

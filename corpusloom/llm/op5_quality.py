@@ -75,7 +75,8 @@ def _grams(rows: DataFrame, *keys: str) -> DataFrame:
 def fit_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, ratio): the log ratio of each bucket that the corpus has; BUCKETS rows at most."""
     trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("trusted", F.lit(1))
-    rows = docs.select("doc_id", "text").join(trusted, "doc_id", "left").select(F.coalesce("trusted", F.lit(0)).alias("trusted"), words_of(F.col("text")).alias("w"))
+    # The labels grow with the corpus: joined by a merge of both sides at every size, never broadcast.
+    rows = docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left").select(F.coalesce("trusted", F.lit(0)).alias("trusted"), words_of(F.col("text")).alias("w"))
     counts = saved(_grams(rows, "trusted").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")), "op5-counts")
     raw, target = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
     if not target:
