@@ -37,7 +37,7 @@ from .components import components
 SHINGLE_WORDS = 4
 SIMILARITY_PERCENT = 80
 BANDS, BAND_ROWS = 40, 6
-#: Pivots a bucket in the first round; twice as many in each later one.
+#: Pivots a bucket in the first round; four times as many in each later one.
 PIVOTS = 3
 #: Word hashes that a task keeps.
 KEPT_WORDS = 500_000
@@ -178,7 +178,7 @@ def near_links(docs: DataFrame, reps: DataFrame, words: int = SHINGLE_WORDS, per
     the second with its best linked member, the reference; what both overlap with
     that, and how many of their other shingles any document shares, bounds the
     overlap of two members.  Later rounds take the members of the bucket's small
-    components, twice as many each time, and compare where the bound allows a link.
+    components, four times as many each time, and compare where the bound allows a link.
     """
     buckets = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("doc"), F.col("n_shingles").alias("n"))
     several = buckets.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")

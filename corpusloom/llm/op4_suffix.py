@@ -331,8 +331,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digests: bool = False)
         docs = docs.select("doc_id", "text")
     spans = repeated_spans(docs, window).select(F.col("doc_id").alias("_doc"), F.col("spans.a").alias("_a"), F.col("spans.b").alias("_b"))
     names, schema = docs.columns, docs.schema
-    joined = docs.join(spans, docs["doc_id"] == F.col("_doc"), "left").drop("_doc")
     id_at, text_at, width = names.index("doc_id"), names.index("text"), len(names)
+    # Columns go by their places, so that no name can clash.
+    joined = docs.toDF(*[f"c{i}" for i in range(width)]).join(spans, F.col(f"c{id_at}") == F.col("_doc"), "left").drop("_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
