@@ -26,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     kept = quality_rules(docs, table(spark, sf_dir, "labels")).where("kept")
     # Rows are told apart by id and text, so equal rows share their verdict.
     kept = kept.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+    same = docs["doc_id"].eqNullSafe(kept["_doc"]) & (F.xxhash64(docs["text"]) == kept["_hash"])
     return docs.join(kept, same, "left_semi")
 
 
