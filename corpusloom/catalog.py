@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import corpus, models
+from .queries import corpus, groups, models
 
-QUERIES: dict = {**corpus.QUERIES, **models.QUERIES}
-SQL: dict[str, str] = {**corpus.SQL, **models.SQL}
+QUERIES: dict = {**corpus.QUERIES, **models.QUERIES, **groups.QUERIES}
+SQL: dict[str, str] = {**corpus.SQL, **models.SQL, **groups.SQL}

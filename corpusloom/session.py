@@ -13,11 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (``spark.checkpoint.dir``); a local one only where none is set, as in tests."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` into ``spark.checkpoint.dir``; a local folder only where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
+    """``df.checkpoint()`` into the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

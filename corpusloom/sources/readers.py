@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 @dataclass
@@ -64,7 +65,7 @@ def load_dataset(spark: SparkSession, map_path: str, train_path: str, test_path:
     return Dataset(class_map(spark, map_path), dense_csv(spark, train_path), dense_csv(spark, test_path), more)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     """Character references replaced."""
     import html
