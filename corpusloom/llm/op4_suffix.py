@@ -4,6 +4,10 @@ Every window of 100 bytes is dealt by its anchor, the 16-byte string in it of
 least hash, so equal windows meet wherever they stand.  Windows in a row with
 one anchor form a segment; segments whose anchor occurs once are done.  Of
 segments with equal bytes one, the earliest, goes on; the later ones repeat it.
+An anchor with more than one suffix array may cover (a short line that stands in
+many surroundings) is dealt again: its segments are cut anew by the least string
+under another hash, and at last into single windows by the hash of all 100 bytes.
+Each is a function of the window alone, so equal windows still meet.
 Tasks join the segments of their anchors into one text and build its suffix array
 by two-stage sorting: suffixes smaller than their successors are sorted directly,
 the others are induced by scanning the buckets of first bytes in order.  Adjacent
@@ -19,6 +23,7 @@ other; an empty table gives no rows; other columns pass through
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -29,19 +34,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, slices, table
+from .common import is_empty, saved, slices, table
 
 WINDOW = 100
 ANCHOR = 16
-#: Windows that one suffix array covers, unless a single anchor has more.
+#: Windows and bytes from which on a suffix array takes no further anchor; an anchor with more is dealt again.
 BLOCK_WINDOWS = 300_000
+BLOCK_BYTES = 3_000_000
+#: Further hashes that such anchors are dealt by, before their windows are dealt one by one.
+RECUTS = 2
 _POS_BITS = 24
 _CHUNK = 1 << 23
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _anchor_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the 16 bytes at each place."""
+def _anchor_hashes(data: np.ndarray, level: int = 0) -> np.ndarray:
+    """A 64-bit hash of the 16 bytes at each place; every level has its own."""
     with np.errstate(over="ignore"):
         h = data.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)
         width = 1
@@ -49,17 +57,22 @@ def _anchor_hashes(data: np.ndarray) -> np.ndarray:
             h = (h[:-width] * np.uint64(0xD6E8FEB86659FD93 + 2 * width)) + (h[width:] ^ (h[width:] >> np.uint64(29)))
             width *= 2
         h = (h ^ (h >> np.uint64(32))) * _ODD
-        return h ^ (h >> np.uint64(29))
+        h ^= h >> np.uint64(29)
+        for _ in range(level):
+            h = (h + _ODD) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(30)
+        return h
 
 
-def segments(data: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(data: np.ndarray, window: int = WINDOW, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, first window, number of windows) of each run of windows with one anchor."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for base in range(0, max(1, len(data) - window + 1), _CHUNK):
         part = data[base : base + _CHUNK + window - 1]
         if len(part) < window:
             break
-        h = _anchor_hashes(part)
+        h = _anchor_hashes(part, level)
         low = np.uint64((1 << _POS_BITS) - 1)
         least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
         span, width = window - ANCHOR + 1, 1
@@ -263,6 +276,31 @@ def _cut_out(docs: DataFrame, firsts: DataFrame, window: int) -> DataFrame:
     return joined.mapInArrow(run, "h long, doc long, s int, n int, data binary")
 
 
+def _recut(parts: DataFrame, window: int, level: int) -> DataFrame:
+    """The segments cut anew by the hash of this level, beyond the last into single windows: columns as of ``_anchored``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, mask = xxhash.xxh3_64_intdigest, (1 << 64) - 1
+        for batch in slices(batches, 1024):
+            rows: list[tuple] = []
+            for old, doc_id, start, count, data in zip(*[x.to_pylist() for x in batch.columns]):
+                # The old anchor is the seed, so that what it has kept apart does not come together.
+                if level > RECUTS:
+                    own = [data[i : i + window] for i in range(count)]
+                    rows += [(digest(x, old & mask), digest(x), doc_id, start + i, 1) for i, x in enumerate(own)]
+                else:
+                    found = zip(*[x.tolist() for x in segments(np.frombuffer(data, np.uint8), window, level)])
+                    rows += [(digest(h.to_bytes(8, "little"), old & mask), digest(data[a : a + k + window - 1]), doc_id, start + a, k) for h, a, k in found]
+            if rows:
+                h, c, doc, s, n = zip(*rows)
+                yield pa.RecordBatch.from_pydict({
+                    "h": pa.array(np.array(h, np.uint64).view(np.int64)), "c": pa.array(np.array(c, np.uint64).view(np.int64)), "doc": pa.array(doc, pa.int64()),
+                    "s": pa.array(s, pa.int32()), "n": pa.array(n, pa.int32()),
+                })
+
+    return parts.select("h", "doc", "s", "n", "data").mapInArrow(run, "h long, c long, doc long, s int, n int")
+
+
 def _compared(parts: DataFrame, window: int) -> DataFrame:
     """(doc, a, b): spans [a, b) of windows that equal an earlier one, anchor by anchor."""
     partitions = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -270,7 +308,7 @@ def _compared(parts: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, int, bytes]] = []
-        windows = 0
+        windows = size = 0
 
         def compare() -> pa.RecordBatch | None:
             docs, starts, counts = (np.array([x[i] for x in held], np.int64) for i in (1, 2, 3))
@@ -282,12 +320,12 @@ def _compared(parts: DataFrame, window: int) -> DataFrame:
 
         for batch in slices(batches, 4096):
             for row in zip(*[x.to_pylist() for x in batch.columns]):
-                if held and windows >= BLOCK_WINDOWS and row[0] != held[-1][0]:
+                if held and (windows >= BLOCK_WINDOWS or size >= BLOCK_BYTES) and row[0] != held[-1][0]:
                     if (found := compare()) is not None:
                         yield found
-                    held, windows = [], 0
+                    held, windows, size = [], 0, 0
                 held.append(row)
-                windows += row[3]
+                windows, size = windows + row[3], size + len(row[4])
         if held and (found := compare()) is not None:
             yield found
 
@@ -298,15 +336,24 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, spans): spans [a, b) of bytes that removed windows cover, in any order, maybe overlapping."""
     repeated = saved(_repeated_anchors(docs, window), "op4-anchors")
     found = saved(_anchored(docs, window).join(repeated, "h"), "op4-segments")
-    place = F.struct("doc", "s")
-    firsts = found.groupBy("h", "c").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.min("n").alias("n"))
-    firsts = saved(firsts.select("h", "c", F.col("p.doc").alias("doc"), F.col("p.s").alias("s"), "n", (F.col("p") != F.col("q")).alias("copied")), "op4-firsts")
-    # Later segments with the same bytes repeat every window of the first.
-    copied = firsts.where("copied").select("h", "c", F.struct("doc", "s").alias("p"))
-    later = found.join(copied, ["h", "c"]).where(place != F.col("p")).select("doc", F.col("s").alias("a"), (F.col("s") + F.col("n") + F.lit(window - 1)).alias("b"))
-    several = firsts.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    compared = _compared(_cut_out(docs, firsts.join(several, "h"), window), window)
-    return later.unionByName(compared).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")).withColumnRenamed("doc", "doc_id")
+    place, spans = F.struct("doc", "s"), []
+    for level in range(1, RECUTS + 3):
+        firsts = found.groupBy("h", "c").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.min("n").alias("n"))
+        firsts = saved(firsts.select("h", "c", F.col("p.doc").alias("doc"), F.col("p.s").alias("s"), "n", (F.col("p") != F.col("q")).alias("copied")), "op4-firsts")
+        # Later segments with the same bytes repeat every window of the first.
+        copied = firsts.where("copied").select("h", "c", F.struct("doc", "s").alias("p"))
+        spans.append(found.join(copied, ["h", "c"]).where(place != F.col("p")).select("doc", F.col("s").alias("a"), (F.col("s") + F.col("n") + F.lit(window - 1)).alias("b")))
+        several = firsts.groupBy("h").agg(F.count("*").alias("k"), F.sum("n").alias("w"), F.sum(F.col("n") + F.lit(window - 1)).alias("size")).where("k > 1")
+        crowded = (F.col("w") > BLOCK_WINDOWS) | (F.col("size") > BLOCK_BYTES)
+        # Single windows that share their hash are a few clashes, never crowded.
+        again = saved(several.where(crowded).select("h"), "op4-crowded") if level < RECUTS + 2 else None
+        ends = again is None or is_empty(again)
+        spans.append(_compared(_cut_out(docs, firsts.join((several if ends else several.where(~crowded)).select("h"), "h"), window), window))
+        if ends:
+            break
+        found = saved(_recut(_cut_out(docs, firsts.join(again, "h"), window), window, level), "op4-recut")
+    every = functools.reduce(DataFrame.unionByName, spans)
+    return every.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")).withColumnRenamed("doc", "doc_id")
 
 
 def _kept(data: bytes, starts: list[int], ends: list[int]) -> tuple[bytes, int, int]:

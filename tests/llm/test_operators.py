@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import op5_quality, registry
+from corpusloom.llm import op4_suffix, op5_quality, registry
 from corpusloom.llm.op1_wavelet import WaveletShard, pack_shard
 from corpusloom.llm.op2_minhash import near_duplicates
 from corpusloom.llm.op4_suffix import remove_repeats, suffix_order
@@ -151,6 +151,29 @@ def test_op4_runs_and_overlaps(spark, unit):
     assert {d: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for d, r in found.items()} == {d: (n, g, s, brute.sha(k)) for d, (k, n, g, s) in brute.without_repeats(docs).items()}
 
 
+def test_op4_deals_crowded_anchors_again(spark, monkeypatch):
+    """A short line in a new surrounding each time: no group of windows that one task compares grows with the documents."""
+    rng = random.Random(9)
+    say = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    line, edge = "All rights reserved; see the file LICENSE for terms and conditions of use, copying and distribution.", say(70)
+    docs = [(d, say(120) + (edge[-d % 71 :] if d % 3 else "") + line[: 60 + d % 41] + (edge[: d % 67] if d % 4 else "") + say(120)) for d in range(1, 161)]
+    groups, plain = [], op4_suffix._compared
+
+    def seen(parts, window):
+        groups.append(parts.groupBy("h").agg(F.sum("n").alias("w")).agg(F.max("w")).first()[0] or 0)
+        return plain(parts, window)
+
+    monkeypatch.setattr(op4_suffix, "_compared", seen)
+    wanted = {d: (n, g, s, brute.sha(k)) for d, (k, n, g, s) in brute.without_repeats(docs).items()}
+    for limit in (100_000, 400, 1):
+        monkeypatch.setattr(op4_suffix, "BLOCK_WINDOWS", limit)
+        groups.clear()
+        found = rows_of(remove_repeats(frame(spark, docs), digests=True))
+        assert {d: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for d, r in found.items()} == wanted
+        assert max(groups) <= limit and len(groups) <= op4_suffix.RECUTS + 2
+        assert (len(groups) > 1) == (limit < 100_000)
+
+
 def test_suffix_order():
     rng = np.random.default_rng(3)
     for size in (1, 2, 50, 2000):
