@@ -26,8 +26,17 @@ def weighted_params(resp: DataFrame, points: DataFrame, *keys: str) -> DataFrame
     means = rows.select(*on, "w", F.posexplode("x").alias("i", "v")).groupBy(*on, "i").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
     mu = means.groupBy(*on).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mu"))
     centred = rows.join(mu, on).select(*on, "w", F.zip_with("x", "mu", lambda a, b: a - b).alias("d"))
-    pairs = centred.select(*on, "w", "d", F.posexplode("d").alias("i", "a")).select(*on, "w", "i", "a", F.posexplode("d").alias("j", "b"))
-    cells = pairs.groupBy(*on, "i", "j").agg((F.sum(F.col("w") * F.col("a") * F.col("b")) / F.sum("w")).alias("c"))
+
+    def products(batches):
+        for part in batches:
+            for key, own in part.groupby(on):
+                d = np.array(own["d"].tolist(), float)
+                yield pd.DataFrame([(*key, i, line) for i, line in enumerate((d.T * own["w"].to_numpy()) @ d)], columns=[*on, "i", "s"])
+
+    # Each batch sums its own products, so that a point gives no row for each cell of its matrix.
+    kinds = ", ".join(f"{x} {centred.schema[x].dataType.simpleString()}" for x in on)
+    sums = centred.mapInPandas(products, f"{kinds}, i int, s array<double>").select(*on, "i", F.posexplode("s").alias("j", "c"))
+    cells = sums.groupBy(*on, "i", "j").agg(F.sum("c").alias("c")).join(sizes, on).select(*on, "i", "j", (F.col("c") / F.col("size")).alias("c"))
     lines = cells.groupBy(*on, "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "c"))), lambda s: s["c"]).alias("line"))
     cov = lines.groupBy(*on).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda s: s["line"]).alias("cov"))
     whole = W.partitionBy(*keys)

@@ -110,7 +110,7 @@ def tree_cut_value_search(spark, sf_dir):
     return cut.select("doc_id", "part", F.lit(value).alias("cut_value"))
 
 
-# Points: the first two components of each vector; even ids are labelled.
+# Points of the queries with SQL: the first two components of each vector and three classes; even ids are labelled.
 _POINTS = "pt AS (SELECT vec_id AS doc_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CASE WHEN vec_id % 2 = 0 THEN label % 3 END AS y FROM embeddings)"
 
 
@@ -131,6 +131,12 @@ def _points(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), x.alias("x"), F.when(F.col("vec_id") % 2 == 0, F.col("label") % 3).alias("y"))
 
 
+def _whole_points(spark, sf_dir):
+    """All components and classes, for the queries without SQL."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), x.alias("x"), F.when(F.col("vec_id") % 2 == 0, F.col("label")).alias("y"))
+
+
 def _flat(params):
     cells = {"mu_a": F.col("mu")[0], "mu_b": F.col("mu")[1], "c_aa": F.col("cov")[0][0], "c_ab": F.col("cov")[0][1], "c_bb": F.col("cov")[1][1]}
     return params.select("k", F.round("pi", 8).alias("pi"), *[F.round(v, 8).alias(n) for n, v in cells.items()])
@@ -156,7 +162,7 @@ def gmm_em_step(spark, sf_dir):
 
 @query()
 def gmm_em_converged(spark, sf_dir):
-    points = _points(spark, sf_dir)
+    points = _whole_points(spark, sf_dir)
     fit = gmm.expectation_maximisation(points, max_loops=20)
     return gmm.predict(points.where("y is null"), fit.params).withColumn("loops", F.lit(fit.loops))
 
@@ -171,8 +177,8 @@ def gmm_loo_average(spark, sf_dir):
 
 @query()
 def gmm_scaling_grid(spark, sf_dir):
-    points = _points(spark, sf_dir)
-    test = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), (F.col("label") % 3).alias("y")).join(points.where("y is null").drop("y"), "doc_id")
+    points = _whole_points(spark, sf_dir)
+    test = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("y")).join(points.where("y is null").drop("y"), "doc_id")
     return gmm.scaling_grid(points, test.select("doc_id", "x", "y"), (0.5, 1.0), max_loops=3)
 
 

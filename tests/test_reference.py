@@ -122,6 +122,43 @@ def test_singular_gaussian():
     assert got == pytest.approx(-0.5 * np.array([0, 0.25]) - 0.5 * math.log(2 * math.pi * 4))
 
 
+def _mixture_fixture(spark, folder):
+    """Six components and five classes that only the last four components tell apart."""
+    rng = np.random.default_rng(7)
+    label = np.arange(300) // 2 % 5
+    x = rng.normal(0, 1, (300, 6)).astype(np.float32)
+    x[:, 2:] += np.random.default_rng(8).normal(0, 3, (5, 4))[label].astype(np.float32)
+    rows = [(i, [float(v) for v in row], int(k)) for i, (row, k) in enumerate(zip(x, label))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return x.astype(float), label
+
+
+def _fit(x, w):
+    mu = [(w[:, k : k + 1] * x).sum(0) / w[:, k].sum() for k in range(w.shape[1])]
+    return w.sum(0) / w.sum(), mu, [((x - m).T * w[:, k]) @ (x - m) / w[:, k].sum() for k, m in enumerate(mu)]
+
+
+def _log_scores(x, pi, mu, cov):
+    return np.array([[math.log(p) - 0.5 * ((v - m) @ np.linalg.inv(c) @ (v - m) + math.log(np.linalg.det(2 * math.pi * c))) for p, m, c in zip(pi, mu, cov)] for v in x])
+
+
+def test_mixture_reads_whole_vectors_and_all_classes(spark, tmp_path):
+    x, label = _mixture_fixture(spark, tmp_path)
+    known = np.arange(300) % 2 == 0
+    hard = np.eye(5)[label]
+    params, moved, loops = _fit(x[known], hard[known]), math.inf, 0
+    while moved > 1e-3:
+        s = _log_scores(x, *params)
+        w = np.exp(s - s.max(1, keepdims=True))
+        w = np.where(known[:, None], hard, w / w.sum(1, keepdims=True))
+        new = _fit(x, w)
+        moved, params, loops = sum(((a - b) ** 2).sum() for a, b in zip(new[1], params[1])), new, loops + 1
+    want = dict(zip(np.flatnonzero(~known).tolist(), _log_scores(x[~known], *params).argmax(1).tolist()))
+    found = catalog.QUERIES["gmm_em_converged"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["predicted"] for r in found} == want and {r["loops"] for r in found} == {loops}
+    assert len(set(want.values())) == 5 and np.mean([label[i] == k for i, k in want.items()]) > 0.9
+
+
 def test_equal_class_split(spark):
     rows = [(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 3), (7, 3), (8, 3), (9, 5), (10, 5)]
     found = split.equal_class_split(spark.createDataFrame(rows, "doc_id long, label int"), 1).collect()
