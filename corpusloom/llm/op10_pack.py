@@ -4,8 +4,9 @@ Documents are encoded and only those longer than a sequence are cut.  Pieces
 are dealt into blocks of bounded size by a hash; inside a block, best-fit
 decreasing gives a first packing, then local search repeatedly moves a piece,
 exchanges one piece for one, or two for one, between underfull bins, whenever
-that increases the sum of squared fills, until no step helps; bins that become
-empty go.  The bins that blocks leave underfull are packed once more together,
+that increases the sum of squared fills, until no step between two bins of a
+window of ``SEARCH_BINS`` bins helps; bins that become empty go.  Bins of
+different windows do not exchange pieces.  The bins that blocks leave underfull are packed once more together,
 block of blocks by block of blocks, so few half-filled sequences remain.
 
 Defined results: a null text is an empty one (one piece, the end id alone);
@@ -32,9 +33,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces in a block at most, on average.
 BLOCK_PIECES = 20_000
-#: Underfull bins that local search looks at together, and its rounds.
+#: Underfull bins that local search looks at together.
 SEARCH_BINS = 64
-SEARCH_ROUNDS = 200
 
 
 def _best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -70,14 +70,25 @@ def _improve(a: list[int], b: list[int], sizes: list[int], capacity: int) -> boo
     # What a gains, b loses; with a the fuller, any gain of a increases a*a + b*b.
     best: tuple[int, list[int], list[int]] = (0, [], [])
     singles = sorted({sizes[i]: [i] for i in b}.items())
-    pairs = {sizes[b[x]] + sizes[b[y]]: [b[x], b[y]] for x in range(len(b)) for y in range(x)} if len(b) <= 48 else {}
+    ordered = sorted(b, key=lambda i: sizes[i])
     for gives, out in [(0, []), *sorted({sizes[i]: [i] for i in a}.items())]:
-        for offers in (singles, sorted(pairs.items()) if out else []):
-            at = bisect_left(offers, (gives + room + 1,)) - 1
-            if at >= 0 and (gain := offers[at][0] - gives) > best[0]:
-                best = (gain, out, offers[at][1])
+        at = bisect_left(singles, (gives + room + 1,)) - 1
+        if at >= 0 and (gain := singles[at][0] - gives) > best[0]:
+            best = (gain, out, singles[at][1])
+        if not out or best[0] == room:
+            continue
+        # The largest pair that fits: from both ends of the ordered sizes.
+        low, high = 0, len(ordered) - 1
+        while low < high:
+            gain = sizes[ordered[low]] + sizes[ordered[high]] - gives
+            if gain > room:
+                high -= 1
+            else:
+                if gain > best[0]:
+                    best = (gain, out, [ordered[low], ordered[high]])
+                low += 1
     gain, out, into = best
-    if gain <= 0 or fill_a + gain < fill_b:
+    if gain <= 0 or fill_a + gain <= fill_b:
         return False
     for i in out:
         a.remove(i)
@@ -98,13 +109,17 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     done: list[list[int]] = []
     for at in range(0, len(under), SEARCH_BINS):
         window = under[at : at + SEARCH_BINS]
-        for _ in range(SEARCH_ROUNDS):
-            window = [x for x in window if x]
+        helped = True
+        # Each step increases the squared fill, so this ends.
+        while helped:
+            window = sorted((x for x in window if x), key=fill, reverse=True)
             if sum(capacity - fill(x) for x in window) < capacity:
-                break
-            window.sort(key=fill, reverse=True)
-            if not any(_improve(window[i], window[j], sizes, capacity) for j in range(len(window) - 1, 0, -1) for i in range(j)):
-                break
+                break  # not even a perfect packing would need a bin less
+            helped = False
+            for j in range(len(window) - 1, 0, -1):
+                for i in range(j):
+                    while _improve(window[i], window[j], sizes, capacity):
+                        helped = True
         done += [x for x in window if x]
     return full + done
 

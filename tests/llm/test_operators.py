@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import op4_suffix, op5_quality, registry
+from corpusloom.llm import op4_suffix, op5_quality, op10_pack, registry
 from corpusloom.llm.op1_wavelet import WaveletShard, pack_shard
 from corpusloom.llm.op2_minhash import near_duplicates
 from corpusloom.llm.op4_suffix import remove_repeats, suffix_order
@@ -275,6 +275,25 @@ def test_packing_search_fills_bins():
     assert len(bins) <= 1.1 * sum(sizes) / 4096
 
 
+def test_packing_search_ends_where_no_step_helps():
+    for seed in range(3):
+        rng = random.Random(seed)
+        sizes = [rng.randint(830, 1360) for _ in range(200)]
+        bins = pack(sizes)
+        assert sorted(i for x in bins for i in x) == list(range(200))
+        fill = lambda x: sum(sizes[i] for i in x)
+        under = sorted((x for x in bins if fill(x) < 4096), key=fill, reverse=True)
+        assert len(under) <= op10_pack.SEARCH_BINS
+        steps = any(op10_pack._improve(list(under[i]), list(under[j]), sizes, 4096) for j in range(len(under)) for i in range(j))
+        assert not steps or sum(4096 - fill(x) for x in under) < 4096
+
+
+def test_packing_takes_pairs_from_bins_of_many_pieces():
+    sizes = [4081, 10, *[7] * 60]
+    a, b = [0, 1], list(range(2, 62))
+    assert op10_pack._improve(a, b, sizes, 4096) and sum(sizes[i] for i in a) == 4095 and len(b) == 59
+
+
 def test_long_text(spark, tmp_path):
     """A text of some megabytes passes every document operator."""
     text = " ".join(f"word{i % 9973}" for i in range(300_000))
