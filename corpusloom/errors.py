@@ -21,5 +21,9 @@ class ParameterError(CorpusError):
     """A size, count or fraction is out of range."""
 
 
+class NotConvergedError(CorpusError):
+    """The loop limit was reached before the fit converged."""
+
+
 class NotTrainedError(CorpusError):
     """A model is asked for results before it was trained."""

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..errors import NotConvergedError
 from ..operators.split import stratified_split
 from ..session import checkpointed
 
@@ -89,8 +90,8 @@ class Fit:
     moved: float
 
 
-def expectation_maximisation(points: DataFrame, start: DataFrame | None = None, epsilon: float = 1e-3, max_loops: int = 50) -> Fit:
-    """Semi-supervised EM until the class means move by at most epsilon in squared distance."""
+def expectation_maximisation(points: DataFrame, start: DataFrame | None = None, epsilon: float = 1e-3, max_loops: int = 50, must: bool = False) -> Fit:
+    """Semi-supervised EM until the class means move by at most epsilon in squared distance; ``must``: fails if they still move more."""
     params, loops, moved = checkpointed(start if start is not None else class_params(points)), 0, float("inf")
     while moved > epsilon and loops < max_loops:
         now = checkpointed(weighted_params(responsibilities(scores(points, params)), points))
@@ -98,6 +99,8 @@ def expectation_maximisation(points: DataFrame, start: DataFrame | None = None,
         gap = F.aggregate(F.zip_with("new", "mu", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
         moved = shift.agg(F.sum(gap)).first()[0] or 0.0
         params, loops = now, loops + 1
+    if must and moved > epsilon:
+        raise NotConvergedError(f"not converged after {loops} loops")
     return Fit(params, loops, moved)
 
 
@@ -122,7 +125,7 @@ def leave_one_out_params(points: DataFrame) -> DataFrame:
     return both.select("k", "i", "j", pi.alias("pi"), ((F.col("mu") + rest * full_mu) / total).alias("mu"), ((F.col("cov") + rest * full_cov) / total).alias("cov"))
 
 
-def scaling_grid(points: DataFrame, test: DataFrame, scales: tuple[float, ...] = (0.3, 0.5, 0.7, 1.0), epsilon: float = 1e-3, max_loops: int = 20, seed: int = 0) -> DataFrame:
+def scaling_grid(points: DataFrame, test: DataFrame, scales: tuple[float, ...] = (0.3, 0.5, 0.7, 1.0), epsilon: float = 1e-3, max_loops: int = 1000, seed: int = 0) -> DataFrame:
     """label_scale, unlabel_scale (null: supervised), accuracy: every labelled share alone, then with every unlabelled share, warm-started."""
     labelled, unlabelled = points.where("y is not null"), points.where("y is null")
 
@@ -136,7 +139,7 @@ def scaling_grid(points: DataFrame, test: DataFrame, scales: tuple[float, ...] =
         fits = [(fl, None, start)]
         for fu in scales:
             more = share(unlabelled.withColumn("_all", F.lit(0)), fu, "_all").drop("_all")
-            fits.append((fl, fu, expectation_maximisation(own.unionByName(more), start, epsilon, max_loops).params))
+            fits.append((fl, fu, expectation_maximisation(own.unionByName(more), start, epsilon, max_loops, must=True).params))
         for a, b, params in fits:
             hits = predict(test, params).join(test.select("doc_id", F.col("y").alias("truth")), "doc_id")
             out.append(hits.agg(F.lit(a).alias("label_scale"), F.lit(b).cast("double").alias("unlabel_scale"), F.avg((F.col("predicted") == F.col("truth")).cast("double")).alias("accuracy")))

@@ -27,6 +27,10 @@ from ..functions.scalar import simplex
 from ..session import checkpointed
 
 
+#: Share of an objective that its summation order may change.
+ROUNDING = 1e-12
+
+
 @dataclass
 class Theta:
     """base(run_id, k, y, log_prior, log_total) and seen(run_id, k, word_id, log_count)."""
@@ -120,10 +124,11 @@ class Fit:
     resp: DataFrame
     loops: int
     q: dict
+    converged: bool
 
 
 def expectation_maximisation(docs: DataFrame, tf: DataFrame, parts: DataFrame, start: Theta, words: int, epsilon: float = 1e-4, max_loops: int = 50) -> Fit:
-    """Semi-supervised EM of all runs together until no run's objective moves by more than epsilon.
+    """Semi-supervised EM of all runs together until no run's objective moves by more than epsilon, or than its rounding.
 
     The driver holds one number a run; parameters and responsibilities are
     checkpointed each round.
@@ -132,8 +137,10 @@ def expectation_maximisation(docs: DataFrame, tf: DataFrame, parts: DataFrame, s
     while True:
         resp = checkpointed(responsibilities(scores(docs, tf, theta)))
         q = {r["run_id"]: r["q"] for r in objective(resp).collect()}
-        if loops >= max_loops or (before and all(abs(q[r] - before[r]) <= epsilon for r in q)):
-            return Fit(theta, resp, loops, q)
+        # A sum over a large corpus is not known to epsilon; a negative epsilon asks for all loops.
+        converged = bool(before) and epsilon >= 0 and all(abs(q[r] - before[r]) <= max(epsilon, ROUNDING * abs(q[r])) for r in q)
+        if converged or loops >= max_loops:
+            return Fit(theta, resp, loops, q, converged)
         found = maximise(resp.select("run_id", "doc_id", "k", "w"), tf, parts, words)
         theta = Theta(checkpointed(found.base), checkpointed(found.seen))
         before, loops = q, loops + 1
@@ -147,7 +154,7 @@ class MultinomialModel:
         self.tf, self.words, self.components, self.semi = tf, words, components, semi
         self.assignment, self.start, self.epsilon, self.max_loops, self.seed = assignment, theta_zero, epsilon, max_loops, seed
         self.theta: Theta | None = None
-        self.loops = 0
+        self.loops, self.converged = 0, not semi
 
     def train(self) -> MultinomialModel:
         parts = several_parts(self.docs, self.components)
@@ -159,7 +166,7 @@ class MultinomialModel:
         self.theta = Theta(checkpointed(found.base), checkpointed(found.seen))
         if self.semi:
             fit = expectation_maximisation(self.docs, self.tf, parts, self.theta, self.words, self.epsilon, self.max_loops)
-            self.theta, self.loops = fit.theta, fit.loops
+            self.theta, self.loops, self.converged = fit.theta, fit.loops, fit.converged
         return self
 
     def test(self, docs: DataFrame, tf: DataFrame | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from ..plans import experiments, gmm, search, tree
 from ..session import checkpoint_folder, table
 from ..sources import readers, writers
 from .corpus import TF, TOP, VOCAB, labelled, tf_of, top_words
-from .models import _EVAL, _evaluated, _features
+from .models import _EVAL, LOOPS, _evaluated, _features
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -163,7 +163,7 @@ def gmm_em_step(spark, sf_dir):
 @query()
 def gmm_em_converged(spark, sf_dir):
     points = _whole_points(spark, sf_dir)
-    fit = gmm.expectation_maximisation(points, max_loops=20)
+    fit = gmm.expectation_maximisation(points, max_loops=LOOPS, must=True)
     return gmm.predict(points.where("y is null"), fit.params).withColumn("loops", F.lit(fit.loops))
 
 
@@ -179,7 +179,7 @@ def gmm_loo_average(spark, sf_dir):
 def gmm_scaling_grid(spark, sf_dir):
     points = _whole_points(spark, sf_dir)
     test = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("y")).join(points.where("y is null").drop("y"), "doc_id")
-    return gmm.scaling_grid(points, test.select("doc_id", "x", "y"), (0.5, 1.0), max_loops=3)
+    return gmm.scaling_grid(points, test.select("doc_id", "x", "y"), max_loops=LOOPS)
 
 
 def _experiment(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..errors import NotConvergedError
 from ..functions.scalar import log_factorial as ln_factorial
 from ..functions.scalar import portable_hash_sql
 from ..operators import corpus as C
@@ -17,6 +18,8 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 WORDS = 300
 ONE, MANY = [1, 1], [2, 3]
+#: Loops of a converged fit, beyond which the query fails.
+LOOPS = 1000
 
 
 def query(sql: str | None = None):
@@ -168,10 +171,16 @@ def em_fixed_iterations(spark, sf_dir):
     return _one_step(spark, sf_dir, 2)[2].resp.select("doc_id", "k", F.round("w", 5).alias("w"))
 
 
+def _require(converged: bool) -> None:
+    if not converged:
+        raise NotConvergedError(f"not converged after {LOOPS} loops")
+
+
 @query()
 def em_converged(spark, sf_dir):
     docs, tf, parts, theta = _bayes(spark, sf_dir)
-    fit = M.expectation_maximisation(docs, tf, parts, theta, WORDS, epsilon=1e-2, max_loops=15)
+    fit = M.expectation_maximisation(docs, tf, parts, theta, WORDS, max_loops=LOOPS)
+    _require(fit.converged)
     return M.predict(docs.where("y is null"), tf, fit.theta).select("doc_id", "predicted", F.lit(fit.loops).alias("loops"))
 
 
@@ -214,7 +223,8 @@ def m2o_predict(spark, sf_dir):
 @query()
 def m2o_em_converged(spark, sf_dir):
     docs, tf = _documents(spark, sf_dir), _features(spark, sf_dir)
-    model = M.MultinomialModel(docs, tf, WORDS, MANY, semi=True, epsilon=1.0, max_loops=8).train()
+    model = M.MultinomialModel(docs, tf, WORDS, MANY, semi=True, max_loops=LOOPS).train()
+    _require(model.converged)
     return model.test(docs.where("y is null")).select("doc_id", "predicted", F.lit(model.loops).alias("loops"))
 
 

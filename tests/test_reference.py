@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from corpusloom import catalog
-from corpusloom.errors import CorpusError, ParameterError, UnknownMethodError
+from corpusloom.errors import CorpusError, NotConvergedError, ParameterError, UnknownMethodError
 from corpusloom.functions.scalar import bin_distance, log_factorial, match_distance, simplex
 from corpusloom.operators import corpus as C
 from corpusloom.operators import selection, split
 from corpusloom.plans import gmm
 from corpusloom.plans import mixture as M
 from corpusloom.plans.tree import cut_by_count, grow, trees
+from corpusloom.queries import models
 from corpusloom.sources import readers, writers
 
 VOCABULARY = "a name atheism resources last modified december version atheist adaffdaf".split()
@@ -159,6 +160,23 @@ def test_mixture_reads_whole_vectors_and_all_classes(spark, tmp_path):
     assert len(set(want.values())) == 5 and np.mean([label[i] == k for i, k in want.items()]) > 0.9
 
 
+def test_converged_queries_converge_or_fail(spark, monkeypatch):
+    fits, plain = [], M.expectation_maximisation
+    monkeypatch.setattr(M, "expectation_maximisation", lambda *a, **k: fits.append((plain(*a, **k), k.get("epsilon", a[5] if len(a) > 5 else 1e-4))) or fits[-1][0])
+    for name in ("em_converged", "m2o_em_converged"):
+        assert catalog.QUERIES[name](spark, SF).count() > 0
+    assert [e for _, e in fits] == [1e-4] * 2 and all(f.converged for f, _ in fits)
+    monkeypatch.setattr(models, "LOOPS", 1)
+    with pytest.raises(NotConvergedError):
+        models.em_converged(spark, SF)
+
+
+def test_scaling_grid_has_every_cell(spark, tmp_path):
+    _mixture_fixture(spark, tmp_path)
+    cells = catalog.QUERIES["gmm_scaling_grid"](spark, str(tmp_path)).collect()
+    assert len({(r["label_scale"], r["unlabel_scale"]) for r in cells}) == 4 * 5 and all(0 <= r["accuracy"] <= 1 for r in cells)
+
+
 def test_equal_class_split(spark):
     rows = [(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 3), (7, 3), (8, 3), (9, 5), (10, 5)]
     found = split.equal_class_split(spark.createDataFrame(rows, "doc_id long, label int"), 1).collect()
