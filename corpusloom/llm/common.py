@@ -23,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests on one machine, is a local
-    temporary folder set for it.
+    Only where the session names none and runs in one process, as in tests, is a
+    local temporary folder set for it; a cluster without a shared folder is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("corpusloom.shared.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
         spark.conf.set("corpusloom.shared.dir", base)
     return base.rstrip("/")
@@ -42,7 +44,19 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame | str | None) -> None:
+    """Deletes saved tables (or folders of ``new_dir``) that nothing reads any more."""
+    for x in tables:
+        path = x if isinstance(x, str) else getattr(x, "_saved_at", None)
+        if path:
+            spark = SparkSession.getActiveSession()
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def is_empty(df: DataFrame) -> bool:

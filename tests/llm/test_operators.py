@@ -157,13 +157,15 @@ def test_op4_deals_crowded_anchors_again(spark, monkeypatch):
     say = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
     line, edge = "All rights reserved; see the file LICENSE for terms and conditions of use, copying and distribution.", say(70)
     docs = [(d, say(120) + (edge[-d % 71 :] if d % 3 else "") + line[: 60 + d % 41] + (edge[: d % 67] if d % 4 else "") + say(120)) for d in range(1, 161)]
-    groups, plain = [], op4_suffix._compared
+    groups, plain = [], op4_suffix._Passes.resolved
 
-    def seen(parts, window):
-        groups.append(parts.groupBy("h").agg(F.sum("n").alias("w")).agg(F.max("w")).first()[0] or 0)
-        return plain(parts, window)
+    def seen(self, entries, crowd):
+        marks = plain(self, entries, crowd).persist()
+        asked = np.frombuffer(b"".join(r["wanted"] for r in marks.collect()), op4_suffix._ASKED)
+        groups.append(int(np.bincount(np.unique(asked["h"], return_inverse=True)[1], asked["n"]).max(initial=0)) if len(asked) else 0)
+        return marks
 
-    monkeypatch.setattr(op4_suffix, "_compared", seen)
+    monkeypatch.setattr(op4_suffix._Passes, "resolved", seen)
     wanted = {d: (n, g, s, brute.sha(k)) for d, (k, n, g, s) in brute.without_repeats(docs).items()}
     for limit in (100_000, 400, 1):
         monkeypatch.setattr(op4_suffix, "BLOCK_WINDOWS", limit)
@@ -174,6 +176,26 @@ def test_op4_deals_crowded_anchors_again(spark, monkeypatch):
         assert (len(groups) > 1) == (limit < 100_000)
 
 
+@pytest.mark.parametrize("slice_bytes", [1, 2000, 32_000_000])
+def test_op4_rows_that_share_an_id(spark, monkeypatch, slice_bytes):
+    """Rows of one id and different texts are places of their own; equal rows are one place; null ids take no part."""
+    monkeypatch.setattr(op4_suffix, "SLICE_BYTES", slice_bytes)
+    rng = random.Random(3)
+    say = lambda k: "".join(rng.choice("abcdefghijklmnop ") for _ in range(k))
+    a, b, c = say(400), say(477), say(300)
+    rows = [(1, a), (5, a + "tail"), (5, b), (7, b), (7, b), (8, c), (8, c), (None, a), (9, say(50) + c[40:250]), (9, None), (9, "")]
+    found = [(r["doc_id"], r["text"]) for r in remove_repeats(frame(spark, rows)).collect()]
+    new = rows[8][1][:50]
+    # The last byte of a and the tail stand only once; what follows copied bytes stays.
+    want = [(1, a), (5, "tail"), (5, b), (7, ""), (7, ""), (8, c), (8, c), (None, a), (9, new), (9, None), (9, "")]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
+    assert sorted(found, key=key) == sorted(want, key=key)
+    # Two rows of one id that share a passage: one of them keeps it.
+    pair = [(3, a + say(40)), (3, say(40) + a)]
+    kept = sorted(len(r["text"]) for r in remove_repeats(frame(spark, pair)).collect())
+    assert kept == [40, 440]
+
+
 def test_suffix_order():
     rng = np.random.default_rng(3)
     for size in (1, 2, 50, 2000):
