@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_empty, saved
+from .common import discard, saved
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -29,16 +29,19 @@ def _small(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
-    """(vertex, component) of every vertex in ``links(a, b)``; component: its least vertex."""
+    """(vertex, component) of every vertex in ``links(a, b)``, a saved table; component: its least vertex."""
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     current = saved(links, label)
     digest = lambda d: d.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("b", "a") % 1_000_003).alias("y")).first()
     before = digest(current)
-    while not is_empty(current):
-        current = saved(_small(_large(current)), label)
+    while before["n"]:
+        old, current = current, saved(_small(_large(current)), label)
+        discard(old)
         now = digest(current)
         if now == before:
             break
         before = now
     # At the fixed point every vertex hangs on the least of its component.
-    return current.select(F.col("a").alias("vertex"), F.col("b").alias("component")).unionByName(current.select(F.col("b").alias("vertex"), F.col("b").alias("component"))).distinct()
+    out = saved(current.select(F.col("a").alias("vertex"), F.col("b").alias("component")).unionByName(current.select(F.col("b").alias("vertex"), F.col("b").alias("component"))).distinct(), label)
+    discard(current)
+    return out

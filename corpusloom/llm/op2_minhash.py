@@ -4,19 +4,28 @@ Each document's distinct word shingles fill a sketch in rounds: in round i every
 element is thrown into one hashed bin with value i + hash, so early rounds win,
 and after t throwing rounds bin i - t takes the least element of round i; every
 coordinate is filled and estimates concentrate as for independent coordinates.
-Documents with equal shingle sets are one class with one representative.  Bands
-of the sketch give buckets of representatives, and links are confirmed on the
-full sets.  A bucket is not expanded into all pairs: in each round a few of its
-members, the best linked first, are compared with those members that are not in
-their component yet, and then leave the bucket; this goes on until each bucket
-lies in one component, so no link between two components is missed.
+Documents with equal shingle sets (128-bit marks of the sets) are one class with
+one representative.  Bands of the sketch give buckets of representatives, and
+links are confirmed on the full sets, in two passes:
+
+1. each bucket's members are compared with its hub, the member that shares most
+   buckets with others; a document takes the greatest hub that it is linked with
+   as its label, so documents of one label are connected;
+2. in buckets that still hold several labels, the members outside the bucket's
+   main label are compared with all its members.  A task takes a block of those
+   against a block of members and counts all overlaps by one product of
+   incidence matrices; it returns at most the links that join two labels.
+
+No bucket is expanded into pairs, and no pair of a bucket whose members are in
+one component or compared is left out, so no link between components is missed.
 
 With 40 bands of 6 a pair of similarity 0.8 shares no bucket with probability
 5e-6, one of 0.85 with probability 6e-9; that is the operator's only loss.
 
 Defined results: null and empty texts have empty sets and are linked with nothing;
-rows without a ``doc_id`` take no part, keep a null component and are kept; rows
-that share a ``doc_id`` are one vertex with several sets; an empty table gives no
+texts of any length count whole; a similarity of exactly the limit links; rows
+without a ``doc_id`` take no part, keep a null component and are kept; rows that
+share a ``doc_id`` are one vertex with several sets; an empty table gives no
 rows; other columns of the input are not read.
 """
 
@@ -28,17 +37,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import is_empty, saved, slices, table
+from .common import discard, is_empty, saved, slices, table
 from .components import components
 
 SHINGLE_WORDS = 4
 SIMILARITY_PERCENT = 80
 BANDS, BAND_ROWS = 40, 6
-#: Pivots a bucket in the first round; four times as many in each later one.
-PIVOTS = 3
+#: Members and shingles of a block that one task compares with another.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Cells of an incidence matrix that are held at a time.
+_CELLS = 1 << 22
 #: Word hashes that a task keeps.
 KEPT_WORDS = 500_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -127,96 +137,153 @@ def sketches(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(doc, items) of the wanted documents."""
+    """(doc, items) of the wanted documents: sorted 64-bit hashes, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in slices(batches):
-                sets = [shingle_set(x, words) for x in batch.column(1).to_pylist()]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_pydict({"doc": batch.column(0).cast(pa.int64()), "items": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))})
+                sets = [shingle_set(x, words).tobytes() for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"doc": batch.column(0).cast(pa.int64()), "items": pa.array(sets, pa.binary())})
 
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
-    return texts.mapInArrow(run, "doc long, items array<long>")
+    return texts.mapInArrow(run, "doc long, items binary")
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, both, linked) of the pairs, from the full sets."""
-    left = sets.select(F.col("doc").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("doc").alias("b"), F.col("items").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("total"))
-    linked = 100 * F.col("both") >= percent * (F.col("total") - F.col("both"))
-    return joined.groupBy("a", "b").agg(F.max("both").alias("both"), F.max(linked).alias("linked"))
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ...) whose full sets are similar enough, in any of a document's sets."""
+    left = sets.select(F.col("doc").alias("a"), F.col("items").alias("_x"))
+    right = sets.select(F.col("doc").alias("b"), F.col("items").alias("_y"))
+    names = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            linked = []
+            for x, y in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
+                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                linked.append(100 * both >= percent * ((len(x) + len(y)) // 8 - both))
+            yield batch.select(range(len(names))).filter(pa.array(linked, pa.bool_()))
+
+    fields = pairs.schema
+    return pairs.join(left, "a").join(right, "b").select(*names, "_x", "_y").mapInArrow(run, fields)
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, as a product of incidence matrices."""
+    sizes = [len(x) for x in (*left, *right)]
+    _, column, counts = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    number = np.cumsum(counts > 1) - 1  # what only one set holds is in no intersection
+    held = (counts > 1)[column]
+    row, column = np.repeat(np.arange(len(sizes)), sizes)[held], number[column[held]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float64)
+    width, total = max(64, _CELLS // len(sizes)), int(number[-1]) + 1 if len(number) else 0
+    for at in range(0, total, width):
+        low, high = np.searchsorted(column, (at, at + width))
+        ones = np.zeros((len(sizes), min(width, total - at)), np.float32)
+        ones[row[low:high], column[low:high] - at] = 1
+        out += ones[: len(left)] @ ones[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _joining_links(asked: list[tuple], members: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+    """Links between the asked rows and the members, rows (doc, label, set), that join different labels."""
+    both = overlaps([x[2] for x in asked], [x[2] for x in members])
+    total = np.array([len(x[2]) for x in asked])[:, None] + np.array([len(x[2]) for x in members])[None, :]
+    linked = 100 * both >= percent * (total - both)
+    names, label = np.unique(np.array([x[1] for x in (*asked, *members)], np.int64), return_inverse=True)
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, row in enumerate(linked):
+        near = np.flatnonzero(row)
+        _, first = np.unique(label[len(asked) + near], return_index=True)
+        for j in near[first].tolist():
+            x, y = root(label[i]), root(label[len(asked) + j])
+            if x != y:
+                parent[x] = y
+                yield asked[i][0], members[j][0]
+
+
+def _open_cells(members: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """(key, i, j, doc, label, asked, member): what buckets of several labels still have to compare, in blocks.
+
+    Block i of the members outside the main label meets block j of all members.
+    """
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("doc"), F.col("rb").alias("r"), (-F.col("b")).alias("m")), F.struct(F.col("b").alias("doc"), F.col("ra").alias("r"), (-F.col("a")).alias("m")))).alias("e"))
+    hubs = ends.groupBy("e.doc").agg(F.max(F.struct("e.r", "e.m")).alias("hub"))
+    own = F.struct(F.col("reach").alias("r"), (-F.col("doc")).alias("m"))
+    labelled = members.join(hubs, "doc", "left").withColumn("label", -F.greatest(own, "hub")["m"])
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("c", "label"))["label"].alias("main"), F.sum("c").alias("all_c"), F.sum("n").alias("all_n")).where("k > 1").drop("k")
+    live = labelled.join(mixed, "key").withColumn("out", F.col("label") != F.col("main"))
+    limits = live.where("out").groupBy("key").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("out_c"), F.sum("n").alias("out_n"))
+    blocks = lambda c, n: F.ceil(F.greatest(F.col(c) / BLOCK_MEMBERS, F.col(n) / BLOCK_SHINGLES)).cast("int")
+    # A member of another size than any outside the main label has no partner.
+    able = live.join(limits, "key").where((100 * F.col("n") >= percent * F.col("least")) & (percent * F.col("n") <= 100 * F.col("most")))
+    able = able.withColumns({"bi": blocks("out_c", "out_n"), "bj": blocks("all_c", "all_n")})
+    able = able.withColumns({"qi": F.pmod(F.xxhash64("doc", F.lit(1)), "bi").cast("int"), "qj": F.pmod(F.xxhash64("doc", F.lit(2)), "bj").cast("int")})
+    as_member = F.transform(F.sequence(F.lit(0), F.col("bi") - 1), lambda i: F.struct(i.alias("i"), F.col("qj").alias("j")))
+    as_asked = F.transform(F.sequence(F.lit(0), F.col("bj") - 1), lambda j: F.struct(F.col("qi").alias("i"), j.alias("j")))
+    cells = F.when(F.col("out"), F.array_union(as_member, as_asked)).otherwise(as_member)
+    rows = able.select("key", "doc", "label", "out", "qi", "qj", F.inline(cells))
+    return rows.select("key", "i", "j", "doc", "label", (F.col("out") & (F.col("i") == F.col("qi"))).alias("asked"), (F.col("j") == F.col("qj")).alias("member"))
+
+
+def _compared(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join labels, cell by cell."""
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cells.join(sets, "doc").select("key", "i", "j", "doc", "label", "asked", "member", "items")
+    dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
 
+        def found() -> list[tuple[int, int]]:
+            asked, members = [x for x, q, _ in held if q], [x for x, _, m in held if m]
+            return list(_joining_links(asked, members, percent)) if asked and members else []
 
-def _live(rest: DataFrame, links: DataFrame | None, percent: int) -> DataFrame:
-    """The bucket members with their component so far and its size in the bucket.
+        for batch in slices(batches, 512):
+            links: list[tuple[int, int]] = []
+            for key, i, j, doc, label, asked, member, items in zip(*[x.to_pylist() for x in batch.columns]):
+                if (key, i, j) != now:
+                    links += found()
+                    held, now = [], (key, i, j)
+                held.append(((doc, label, np.frombuffer(items, np.uint64)), asked, member))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
+        if links := found():
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
 
-    Only buckets with several components stay, and in them only members whose
-    sharable shingles allow a link with the bucket's smallest set.
-    """
-    if links is None:
-        labelled = rest.withColumns({"label": F.col("doc"), "degree": F.lit(0).cast("long")})
-    else:
-        degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("degree"))
-        known = components(links, "op2-components").withColumnRenamed("vertex", "doc").join(degree, "doc", "left")
-        labelled = rest.join(known, "doc", "left").withColumns({"label": F.coalesce("component", "doc"), "degree": F.coalesce("degree", F.lit(0))}).drop("component")
-    least = labelled.groupBy("key").agg(F.min("n").alias("least"))
-    able = labelled.join(least, "key").where((100 + percent) * F.col("c") >= percent * (F.col("n") + F.col("least"))).drop("least")
-    sizes = able.groupBy("key", "label").agg(F.count("*").alias("peers"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    return saved(able.join(sizes.join(mixed, "key"), ["key", "label"]), "op2-live")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_links(docs: DataFrame, reps: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame | None:
-    """Confirmed links (a, b) between representatives that join all linked ones.
-
-    ``reps`` has (rep, n_shingles, bands).  None: there are no links.
+    """Confirmed links (a, b) between representatives that join all linked ones, as a saved table.
 
-    The first round compares the members of a bucket with its smallest few ids,
-    the second with its best linked member, the reference; what both overlap with
-    that, and how many of their other shingles any document shares, bounds the
-    overlap of two members.  Later rounds take the members of the bucket's small
-    components, four times as many each time, and compare where the bound allows a link.
+    ``reps`` has (rep, n_shingles, bands).  None: no bucket has two members.
     """
     buckets = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("doc"), F.col("n_shingles").alias("n"))
-    several = buckets.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    rest = saved(buckets.join(several, "key").select("key", "doc", "n").distinct(), "op2-buckets")
+    several = buckets.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    rest = saved(buckets.join(several, "key").distinct(), "op2-buckets")
     if is_empty(rest):
+        discard(rest)
         return None
     sets = saved(_full_sets(docs, rest.select("doc").distinct(), words), "op2-sets")
-    # A shingle that no other document here has cannot be shared.
-    items = sets.select("doc", F.explode("items").alias("item"))
-    common = items.groupBy("item").agg(F.count("*").alias("k")).where("k > 1").select("item")
-    shared = items.join(common, "item").groupBy("doc").agg(F.count("*").alias("c"))
-    rest = saved(rest.join(shared, "doc").withColumn("o", F.lit(None).cast("long")), "op2-buckets")
-    links = tested = None
-    columns, pivots, number = ["key", "doc", "n", "c", "o"], PIVOTS, 0
-    while not is_empty(live := _live(rest, links, percent)):
-        order = [F.asc("doc")] if number == 0 else [F.desc("degree"), F.asc("doc")] if number == 1 else [F.asc("peers"), F.asc("label"), F.asc("doc")]
-        best = W.partitionBy("key").orderBy(*order, F.asc("n"))
-        chosen = saved(live.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= (1 if number == 1 else pivots)), "op2-pivots")
-        asked = chosen.select("key", *[F.col(x).alias(f"p_{x}") for x in ("doc", "n", "c", "o", "label")])
-        met = live.join(asked, "key").where(F.col("doc") != F.col("p_doc")).withColumns({"a": F.least("doc", "p_doc"), "b": F.greatest("doc", "p_doc")})
-        bound = F.least("c", "p_c", F.least("o", "p_o") + F.least(F.col("c") - F.col("o"), F.col("p_c") - F.col("p_o")))
-        if number != 1:
-            bound = F.when(F.col("o").isNotNull() & F.col("p_o").isNotNull(), bound).otherwise(F.least("c", "p_c"))
-            met = met.where((F.col("label") != F.col("p_label")) & ((100 + percent) * bound >= percent * (F.col("n") + F.col("p_n"))))
-        fits = met.where(100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
-        pairs = fits.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        now = saved(_overlaps(pairs, sets, percent), "op2-overlaps")
-        tested = now if tested is None else tested.unionByName(now)
-        links = tested.where("linked").select("a", "b")
-        rest = live.join(chosen.select("key", "doc"), ["key", "doc"], "left_anti").select(*columns)
-        if number == 1:
-            overlaps = met.select("key", "doc", "a", "b").join(tested, ["a", "b"]).groupBy("key", "doc").agg(F.max("both").cast("long").alias("o"))
-            rest = rest.drop("o").join(overlaps, ["key", "doc"], "left")
-        else:
-            pivots *= 4
-        number += 1
+    reach = rest.groupBy("doc").agg(F.sum("k").alias("reach"))
+    members = saved(rest.join(reach, "doc").drop("k"), "op2-members")
+    hubs = members.groupBy("key").agg(F.max(F.struct("reach", (-F.col("doc")).alias("m"), "n")).alias("h")).select("key", (-F.col("h.m")).alias("hub"), F.col("h.reach").alias("hub_reach"), F.col("h.n").alias("hub_n"))
+    met = members.join(hubs, "key").where((F.col("doc") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
+    pairs = met.select(F.col("doc").alias("a"), F.col("hub").alias("b"), F.col("reach").alias("ra"), F.col("hub_reach").alias("rb")).distinct()
+    first = saved(_confirmed(pairs, sets, percent), "op2-links")
+    second = _compared(_open_cells(members, first, percent), sets, percent)
+    links = saved(first.select("a", "b").unionByName(second), "op2-links")
+    discard(rest, sets, members, first)
     return links
 
 
@@ -229,13 +296,16 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     copied = reps.where(F.col("rep") < F.col("last")).select(*marks, "rep")
     links = near_links(docs, reps.select("rep", "n_shingles", "bands"), words, percent)
     rows = found.drop("bands").join(copied, marks, "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
+    labels = None
     if links is not None:
-        labels = components(links, "op2-components").select(F.col("vertex").alias("rep"), "component")
-        rows = rows.join(labels, "rep", "left")
+        labels = components(links, "op2-components")
+        rows = rows.join(labels.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
     else:
         rows = rows.withColumn("component", F.lit(None).cast("long"))
     component = F.coalesce("component", "rep")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = saved(rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "op2-result")
+    discard(found, reps, links, labels)
+    return out
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
