@@ -2,16 +2,19 @@
 
 Documents are encoded and only those longer than a sequence are cut.  Pieces
 are dealt into blocks of bounded size by a hash; inside a block, best-fit
-decreasing gives a first packing, then local search repeatedly moves a piece,
-exchanges one piece for one, or two for one, between underfull bins, whenever
-that increases the sum of squared fills, until no step between two bins of a
-window of ``SEARCH_BINS`` bins helps; bins that become empty go.  Bins of
-different windows do not exchange pieces.  The bins that blocks leave underfull are packed once more together,
-block of blocks by block of blocks, so few half-filled sequences remain.
+decreasing gives a first packing.  Local search then goes through the underfull
+bins, the emptiest first, as donors: as long as it helps, a piece of the donor
+moves to a fuller bin, is exchanged for a smaller one of it, or two of its pieces
+for one, always the step that fills most; each step increases the sum of squared
+fills, and donors that become empty go.  Passes over the donors are repeated until
+one finds no step; only donors that all fuller bins together have no room for are
+left out, as they can't be emptied.  The bins that blocks leave underfull are packed
+and searched once more together, block of blocks by block of blocks.
 
 Defined results: a null text is an empty one (one piece, the end id alone);
-equal rows are packed one by one; a null ``doc_id`` is kept; an empty table
-gives no rows; other columns of the input are not read.
+a text of any length is encoded whole; equal rows are packed one by one, pieces
+of equal length in the order of their columns; a null ``doc_id`` is kept; an
+empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +36,6 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces in a block at most, on average.
 BLOCK_PIECES = 20_000
-#: Underfull bins that local search looks at together.
-SEARCH_BINS = 64
 
 
 def _best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -61,67 +62,90 @@ def _best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _improve(a: list[int], b: list[int], sizes: list[int], capacity: int) -> bool:
-    """One step between two bins that increases their squared fill; a is the fuller."""
-    fill_a, fill_b = sum(sizes[i] for i in a), sum(sizes[i] for i in b)
-    room = capacity - fill_a
-    if room <= 0 or not b:
-        return False
-    # What a gains, b loses; with a the fuller, any gain of a increases a*a + b*b.
-    best: tuple[int, list[int], list[int]] = (0, [], [])
-    singles = sorted({sizes[i]: [i] for i in b}.items())
-    ordered = sorted(b, key=lambda i: sizes[i])
-    for gives, out in [(0, []), *sorted({sizes[i]: [i] for i in a}.items())]:
-        at = bisect_left(singles, (gives + room + 1,)) - 1
-        if at >= 0 and (gain := singles[at][0] - gives) > best[0]:
-            best = (gain, out, singles[at][1])
-        if not out or best[0] == room:
-            continue
-        # The largest pair that fits: from both ends of the ordered sizes.
-        low, high = 0, len(ordered) - 1
-        while low < high:
-            gain = sizes[ordered[low]] + sizes[ordered[high]] - gives
-            if gain > room:
-                high -= 1
-            else:
-                if gain > best[0]:
-                    best = (gain, out, [ordered[low], ordered[high]])
-                low += 1
-    gain, out, into = best
-    if gain <= 0 or fill_a + gain <= fill_b:
-        return False
-    for i in out:
-        a.remove(i)
-        b.append(i)
-    for i in into:
-        b.remove(i)
-        a.append(i)
-    return True
+class _Search:
+    """Local search over the bins of a block; ``bin_of`` and ``fill`` are its state."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int):
+        self.sizes, self.capacity = np.array(sizes, np.int64), capacity
+        self.bins = [set(x) for x in bins]
+        self.bin_of = np.zeros(len(sizes), np.int64)
+        for number, own in enumerate(bins):
+            self.bin_of[own] = number
+        self.fill = np.bincount(self.bin_of, self.sizes, len(bins)).astype(np.int64)
+
+    def step(self, donor: int) -> bool:
+        """The step from the donor to a bin that is at least as full which moves most; False if there is none."""
+        size, fill = self.sizes, self.fill
+        room = self.capacity - fill
+        usable = (fill >= fill[donor]) & (room > 0)
+        usable[donor] = False
+        bins = np.flatnonzero(usable)
+        if not len(bins):
+            return False
+        # most[x]: room of the emptiest usable bin that holds a piece of size x; x = 0 stands for no piece.
+        most = np.zeros(self.capacity + 1, np.int64)
+        held = usable[self.bin_of]
+        np.maximum.at(most, size[held], room[self.bin_of[held]])
+        most[0] = room[bins].max()
+        # least[c]: the smallest piece that can go for pieces of sum c, which fit in its place.
+        least = np.full(2 * self.capacity + 1, self.capacity + 1, np.int64)
+        for x in np.flatnonzero(most)[::-1].tolist():
+            least[x + 1 : x + most[x] + 1] = x
+        own: dict[int, list[int]] = {}
+        for i in sorted(self.bins[donor]):
+            own.setdefault(int(size[i]), []).append(i)
+        kinds = np.array(sorted(own), np.int64)
+        one = kinds - least[kinds]
+        low, high = np.triu_indices(len(kinds))
+        sums = kinds[low] + kinds[high]
+        # Two pieces go for one; two of one size need two such pieces.
+        two = np.where((least[sums] > 0) & ((low != high) | np.array([len(own[k]) > 1 for k in kinds.tolist()])[low]), sums - least[sums], 0)
+        best_one, best_two = int(one.max(initial=0)), int(two.max(initial=0))
+        if max(best_one, best_two) <= 0:
+            return False
+        if best_one >= best_two:
+            total = int(kinds[one.argmax()])
+            given = own[total][:1]
+        else:
+            at = int(two.argmax())
+            a, b = int(kinds[low[at]]), int(kinds[high[at]])
+            total, given = a + b, own[a][:2] if a == b else [own[a][0], own[b][0]]
+        back = int(least[total])
+        if back:
+            taken = np.flatnonzero(held & (size == back) & (room[self.bin_of] >= total - back))
+            taken = [int(taken[np.lexsort((taken, room[self.bin_of[taken]]))[0]])]
+            target = int(self.bin_of[taken[0]])
+        else:
+            fits = bins[room[bins] >= total]
+            taken, target = [], int(fits[np.lexsort((fits, room[fits]))[0]])
+        for pieces_, source, to in ((given, donor, target), (taken, target, donor)):
+            for i in pieces_:
+                self.bins[source].remove(i)
+                self.bins[to].add(i)
+                self.bin_of[i] = to
+        fill[target] += total - back
+        fill[donor] -= total - back
+        return True
+
+    def run(self) -> list[list[int]]:
+        helped = True
+        while helped:
+            helped = False
+            under = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
+            order = under[np.lexsort((under, self.fill[under]))]
+            above = np.cumsum((self.capacity - self.fill[order])[::-1])[::-1]
+            for donor, with_own in zip(order.tolist(), above.tolist()):
+                # Its own room and that of the fuller bins: less than a bin, and it can't be emptied into them.
+                if with_own < self.capacity:
+                    break
+                while self.fill[donor] and self.step(donor):
+                    helped = True
+        return [sorted(x) for x in self.bins if x]
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     """Bins (lists of places in ``sizes``) of at most ``capacity``."""
-    bins = _best_fit(sizes, capacity)
-    fill = lambda x: sum(sizes[i] for i in x)
-    full = [x for x in bins if fill(x) == capacity]
-    under = sorted((x for x in bins if fill(x) < capacity), key=fill)
-    # The emptiest bins give to the fuller ones, within a window of bins.
-    done: list[list[int]] = []
-    for at in range(0, len(under), SEARCH_BINS):
-        window = under[at : at + SEARCH_BINS]
-        helped = True
-        # Each step increases the squared fill, so this ends.
-        while helped:
-            window = sorted((x for x in window if x), key=fill, reverse=True)
-            if sum(capacity - fill(x) for x in window) < capacity:
-                break  # not even a perfect packing would need a bin less
-            helped = False
-            for j in range(len(window) - 1, 0, -1):
-                for i in range(j):
-                    while _improve(window[i], window[j], sizes, capacity):
-                        helped = True
-        done += [x for x in window if x]
-    return full + done
+    return _Search(_best_fit(sizes, capacity), sizes, capacity).run()
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
