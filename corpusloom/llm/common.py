@@ -95,6 +95,20 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches joined or cut so that a column of each has about ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    held_bytes = 0
+    for batch in slices(batches):
+        held.append(batch)
+        held_bytes += batch.column(column).nbytes
+        if held_bytes >= size:
+            yield pa.concat_batches(held)
+            held, held_bytes = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def blocks_for(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
 

@@ -6,9 +6,11 @@ becomes one index file: a minimal perfect hash over its keys and, in its order,
 a fingerprint array, a count array and the array of the smallest documents.
 Documents then probe those arrays; their lines are never joined.
 
+A task looks the lines of PROBE_BYTES of text up together, shard by shard.
+
 Defined results: a null or empty text is one empty line and stays; a key is the
 line stripped of white space with A-Z lower-cased; lines of rows without a
-``doc_id`` are neither counted nor dropped; rows that share a ``doc_id`` are one
+``doc_id`` are neither counted nor dropped; a line of any length has a key; rows that share a ``doc_id`` are one
 document for counting and each is cleaned; an empty table gives no rows; other
 columns pass through ``dedup_lines`` untouched, whatever their names.
 """
@@ -28,13 +30,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, blocks_for, new_dir, read_file, saved, slices, table, write_file
+from .common import SPACE, blocks_for, gathered, new_dir, read_file, saved, slices, table, write_file
 
 MIN_POINTS = 10
 MIN_DOCS = 2
 #: Keys in a shard on average, and bytes of shards that one task keeps.
 SHARD_KEYS = 1_000_000
 KEPT_BYTES = 128_000_000
+#: Bytes of text that are looked up together: within them each shard is read once.
+PROBE_BYTES = 32_000_000
+#: A level keeps about half of the keys that are left.
+MAX_LEVELS = 200
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,6 +85,8 @@ class PerfectHash:
         """keys: distinct unsigned 64-bit integers."""
         levels, sizes = [], []
         while len(keys):
+            if len(levels) == MAX_LEVELS:
+                raise ValueError(f"{len(keys)} keys still meet after {MAX_LEVELS} levels: they are not distinct")
             size = max(64, int(1.5 * len(keys)) // 8 * 8)
             at = cls._place(keys, len(levels), size)
             alone = np.bincount(at, minlength=size) == 1
@@ -104,20 +112,27 @@ class PerfectHash:
 
 
 class LineShard:
-    """One index file: minimal perfect hash, fingerprints, counts, smallest documents."""
+    """One index file: minimal perfect hash, fingerprints, counts, smallest documents.
+
+    Keys whose 64 bits for the perfect hash are those of another key stand in
+    a list of their own (``spare``: both hashes, count, first), searched by both hashes.
+    """
 
-    def __init__(self, mph: PerfectHash, prints: np.ndarray, counts: np.ndarray, first: np.ndarray):
-        self.mph, self.prints, self.counts, self.first = mph, prints, counts, first
-        self.size = sum(x.nbytes for x in (*mph.levels, *mph.ranks, prints, counts, first))
+    def __init__(self, mph: PerfectHash, prints: np.ndarray, counts: np.ndarray, first: np.ndarray, spare: np.ndarray):
+        self.mph, self.prints, self.counts, self.first, self.spare = mph, prints, counts, first, spare
+        self.size = sum(x.nbytes for x in (*mph.levels, *mph.ranks, prints, counts, first, spare))
 
     @classmethod
     def build(cls, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, first: np.ndarray) -> LineShard:
         # Keys of a shard that share h1 would need one place: h1 and h2 are mixed.
-        mph = PerfectHash.build(cls._key(h1, h2))
-        at = mph.lookup(cls._key(h1, h2))
-        order = np.empty(len(at), np.int64)
-        order[at] = np.arange(len(at))
-        return cls(mph, h2[order], np.minimum(counts, 0xFFFFFFFF).astype("<u4")[order], first.astype("<i8")[order])
+        key = cls._key(h1, h2)
+        _, lead = np.unique(key, return_index=True)
+        rest = np.setdiff1d(np.arange(len(key)), lead)
+        spare = np.stack([h1[rest], h2[rest], counts[rest].astype("<u8"), first[rest].astype("<i8").view("<u8")], 1).astype("<u8") if len(rest) else np.zeros((0, 4), "<u8")
+        mph = PerfectHash.build(key[lead])
+        order = np.empty(len(lead), np.int64)
+        order[mph.lookup(key[lead])] = lead
+        return cls(mph, h2[order], np.minimum(counts, 0xFFFFFFFF).astype("<u4")[order], first.astype("<i8")[order], spare)
 
     @staticmethod
     def _key(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -125,29 +140,33 @@ class LineShard:
             return h1 ^ (h2 * _MIX)
 
     def to_bytes(self) -> bytes:
-        head = np.array([len(self.mph.levels), self.mph.n, *self.mph.sizes], "<i8")
-        return b"".join([np.array([len(head)], "<i8").tobytes(), head.tobytes(), *[x.tobytes() for x in self.mph.levels], self.prints.tobytes(), self.counts.tobytes(), self.first.tobytes()])
+        head = np.array([len(self.mph.levels), self.mph.n, len(self.spare), *self.mph.sizes], "<i8")
+        return b"".join([np.array([len(head)], "<i8").tobytes(), head.tobytes(), *[x.tobytes() for x in self.mph.levels], self.prints.tobytes(), self.counts.tobytes(), self.first.tobytes(), self.spare.tobytes()])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> LineShard:
         n_head = int(np.frombuffer(data, "<i8", 1)[0])
         head = np.frombuffer(data, "<i8", n_head, 8).tolist()
-        at, n, sizes, levels = 8 + 8 * n_head, head[1], head[2:], []
+        at, n, spares, sizes, levels = 8 + 8 * n_head, head[1], head[2], head[3:], []
         for size in sizes:
             levels.append(np.frombuffer(data, np.uint8, -(-size // 8), at))
             at += -(-size // 8)
         prints = np.frombuffer(data, "<u8", n, at)
         counts = np.frombuffer(data, "<u4", n, at + 8 * n)
-        return cls(PerfectHash(levels, sizes), prints, counts, np.frombuffer(data, "<i8", n, at + 12 * n))
+        spare = np.frombuffer(data, "<u8", 4 * spares, at + 20 * n).reshape(-1, 4)
+        return cls(PerfectHash(levels, sizes), prints, counts, np.frombuffer(data, "<i8", n, at + 12 * n), spare)
 
     def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(found, number of documents, smallest document) of each key."""
-        if not self.mph.n:
-            none = np.zeros(len(h1), np.int64)
-            return none.astype(bool), none, none
-        at = self.mph.lookup(self._key(h1, h2))
-        safe = np.where(at < 0, 0, at)
-        return (at >= 0) & (self.prints[safe] == h2), self.counts[safe], self.first[safe]
+        found, counts, first = np.zeros(len(h1), bool), np.zeros(len(h1), np.int64), np.zeros(len(h1), np.int64)
+        if self.mph.n:
+            at = self.mph.lookup(self._key(h1, h2))
+            safe = np.where(at < 0, 0, at)
+            found, counts, first = (at >= 0) & (self.prints[safe] == h2), self.counts[safe].astype(np.int64), self.first[safe].astype(np.int64)
+        for a, b, count, least in self.spare:
+            here = (h1 == a) & (h2 == b)
+            found, counts, first = found | here, np.where(here, count, counts), np.where(here, least.astype("<i8"), first)
+        return found, counts, first
 
 
 def line_index(docs: DataFrame, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> DataFrame:
@@ -243,7 +262,7 @@ def dedup_lines(docs: DataFrame, manifest: DataFrame, digests: bool = False) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = _Shards(paths)
-        for batch in slices(batches, 1024):
+        for batch in gathered(batches, text_at, PROBE_BYTES):
             ids, texts = batch.column(id_at).to_pylist(), batch.column(text_at).to_pylist()
             out = list(_clean(list(zip(ids, texts)), shards, count))
             if digests:

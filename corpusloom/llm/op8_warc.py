@@ -6,10 +6,12 @@ others become revisit records that refer to it.  Tasks then write gzip-per-recor
 archives with fresh headers; ``read_archives`` reads every record back and joins
 revisits to their responses by record id.
 
-Defined results: a null html is an empty payload; rows without a ``page_id`` are
+Defined results: a null html is an empty payload; a page of any length is one
+record; rows without a ``page_id`` are
 responses of their own, never referred to unless no page of that payload has an
 id (then each is a response); rows equal in ``page_id`` and payload are all
-responses if that page is the response; a null url is written as an empty target;
+responses if that page is the response; of several urls of that page the greatest
+is the target; a null url is written as an empty target;
 an empty table writes no archive; other columns of the input are not read.
 """
 
@@ -31,6 +33,10 @@ from .common import new_dir, read_file, saved, slices, spread, table, write_file
 #: Payloads of fewer bytes are always written as responses.
 MIN_PAYLOAD_BYTES = 0
 ARCHIVE_BYTES = 16_000_000
+#: Tasks that share the headers of one payload.
+SALTS = 16
+#: Compressed bytes that the reader unpacks at a time.
+READ_BYTES = 8192
 #: The date of every record: archives of the same pages are the same bytes.
 RECORD_DATE = "2024-01-01T00:00:00Z"
 _SPACE_OF_IDS = uuid.UUID("5d0c7c1e-3c39-4c56-8f5f-1f0a6f1b9b5e")
@@ -78,12 +84,13 @@ def resolve(pages: DataFrame, min_payload_bytes: int = MIN_PAYLOAD_BYTES) -> Dat
     """(page_id, digest) of every page that revisits another, with ``refers_to`` and ``target``."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     headers = pages.select("page_id", "url", F.sha1(payload).alias("digest"), F.length(payload).alias("n")).where((F.col("n") >= min_payload_bytes) & F.col("page_id").isNotNull())
-    first = headers.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("_low"))
-    first = first.where(F.col("_low") < F.col("refers_to")).drop("_low")
-    # Of rows with one page_id, the least url stands for the target.
-    found = headers.join(first, "digest").groupBy("page_id", "digest", "refers_to").agg(F.min("url").alias("url"))
-    targets = found.where(F.col("page_id") == F.col("refers_to")).select("digest", F.col("url").alias("target"))
-    return found.where(F.col("page_id") < F.col("refers_to")).join(targets, "digest").select("page_id", "digest", "refers_to", "target")
+    # Of rows with the largest page_id, the greatest url stands for the target.
+    first = headers.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("r"), F.min("page_id").alias("_low")).where(F.col("_low") < F.col("r.page_id"))
+    # A payload may belong to a third of all pages: its headers are dealt to SALTS tasks.
+    first = first.select("digest", F.col("r.page_id").alias("refers_to"), F.col("r.url").alias("target"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = headers.select("page_id", "digest", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("_salt"))
+    found = salted.join(first, ["digest", "_salt"]).where(F.col("page_id") < F.col("refers_to"))
+    return found.select("page_id", "digest", "refers_to", "target").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, min_payload_bytes: int = MIN_PAYLOAD_BYTES) -> DataFrame:
@@ -123,10 +130,14 @@ def iter_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of every record of a gzip-per-record archive."""
     view, at = memoryview(data), 0
     while at < len(data):
-        unpack = zlib.decompressobj(31)
-        raw = unpack.decompress(view[at:]) + unpack.flush()
-        at = len(data) - len(unpack.unused_data)
-        head, _, rest = raw.partition(b"\r\n\r\n")
+        unpack, parts = zlib.decompressobj(31), []
+        while not unpack.eof:
+            if at >= len(data):
+                raise ValueError("the archive ends within a record")
+            part = view[at : at + READ_BYTES]
+            parts.append(unpack.decompress(part))
+            at += len(part) - len(unpack.unused_data)
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         lines = head.decode("utf-8").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("not a WARC record")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import brute
@@ -12,11 +13,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import op4_suffix, op5_quality, op10_pack, registry
+from corpusloom.llm import op2_minhash, op4_suffix, op5_quality, op6_lines, op10_pack, registry
 from corpusloom.llm.op1_wavelet import WaveletShard, pack_shard
-from corpusloom.llm.op2_minhash import near_duplicates
+from corpusloom.llm.op2_minhash import band_keys, near_duplicates, sketch
 from corpusloom.llm.op4_suffix import remove_repeats, suffix_order
-from corpusloom.llm.op6_lines import PerfectHash, dedup_lines, line_index
+from corpusloom.llm.op6_lines import LineShard, PerfectHash, dedup_lines, line_index
 from corpusloom.llm.op8_warc import iter_records
 from corpusloom.llm.op9_search import integer_vectors, top_k
 from corpusloom.llm.op10_pack import pack
@@ -125,6 +126,43 @@ def test_op2_chain_of_near_copies(spark):
     assert {d: r["component_id"] for d, r in found.items()} == {d: c for d, (_, c) in brute.groups(docs).items()} == {d: 0 for d in range(30)}
 
 
+def test_op2_bands_find_similar_pairs():
+    """Pairs of similarity 0.80 to 0.88, of few and of many shingles, all share a band."""
+    rng = np.random.default_rng(4)
+    missed = 0
+    with np.errstate(over="ignore"):
+        for n in (30, 300):
+            for _ in range(1500):
+                share = rng.uniform(0.80, 0.88)
+                both = int(np.ceil(share * 2 * n / (1 + share)))
+                items = rng.integers(0, 1 << 63, 2 * n - both).astype(np.uint64)
+                x, y = band_keys(sketch(items[:n])), band_keys(sketch(np.concatenate((items[:both], items[n:]))))
+                missed += not (x == y).any()
+    assert missed == 0
+
+
+def test_op2_blocks(spark, docs, monkeypatch):
+    """Blocks of any size give the same groups; a group of many near copies is split over tasks."""
+    words = [f"t{i}" for i in range(120)]
+    rng, many = random.Random(6), []
+    for i in range(60):
+        own = list(words)
+        for k in rng.sample(range(120), rng.randint(0, 4)):
+            own[k] = f"x{i}_{k}"
+        many.append((1000 + i, " ".join(own)))
+    both = [*docs, *many]
+    wanted = {d: c for d, (_, c) in brute.groups(both).items()}
+    for size in (1024, 3):
+        monkeypatch.setattr(op2_minhash, "BLOCK_MEMBERS", size)
+        assert {d: r["component_id"] for d, r in rows_of(near_duplicates(frame(spark, both))).items()} == wanted
+
+
+def test_op2_overlaps():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(12)]
+    assert op2_minhash.overlaps(sets[:5], sets[5:]).tolist() == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
+
+
 def test_op3(spark):
     """Held-out accuracy on the small tables; labels of held-out rows change nothing."""
     path = "/root/testdata/sf0.01"
@@ -229,6 +267,22 @@ def test_perfect_hash():
     assert sorted(mph.lookup(keys).tolist()) == list(range(len(keys)))
 
 
+def test_line_shard_with_keys_that_meet():
+    """Keys that share the perfect hash's 64 bits are all found; equal keys end the build with an error."""
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 1 << 63, (1000, 2)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        other = h[:7, 1] + np.uint64(99)
+        twin = LineShard._key(h[:7, 0], h[:7, 1]) ^ (other * op6_lines._MIX)
+    h1, h2 = np.concatenate((h[:, 0], twin)), np.concatenate((h[:, 1], other))
+    shard = LineShard.from_bytes(LineShard.build(h1, h2, np.arange(2, 1009), np.arange(1007) - 500).to_bytes())
+    found, counts, first = shard.probe(h1, h2)
+    assert found.all() and counts.tolist() == list(range(2, 1009)) and first.tolist() == [i - 500 for i in range(1007)] and len(shard.spare) == 7
+    assert not shard.probe(h1 + np.uint64(1), h2)[0].any()
+    with pytest.raises(ValueError):
+        PerfectHash.build(np.array([5, 5], np.uint64))
+
+
 def test_op7(spark, docs, folder):
     lib = brute.tokenizer()
     found = rows_of(registry.op7_bpe_roundtrip(spark, folder))
@@ -253,6 +307,22 @@ def test_op8(spark, tmp_path):
         assert (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if refers is None else "revisit", refers)
 
 
+def test_warc_reading_is_linear():
+    """Ten times the records take about ten times as long."""
+    from corpusloom.llm.op8_warc import _record
+
+    text = random.Random(1).randbytes(900).hex().encode()
+    times = []
+    for n in (400, 4000):
+        data = b"".join(_record(i, "u", text, None, None) for i in range(n))
+        began = time.perf_counter()
+        assert sum(1 for _ in iter_records(data)) == n
+        times.append(time.perf_counter() - began)
+    assert times[1] < 25 * times[0]
+    with pytest.raises(ValueError):
+        list(iter_records(data[:-5]))
+
+
 def test_warc_records_are_whole():
     from corpusloom.llm.op8_warc import _record
 
@@ -288,32 +358,47 @@ def test_op10(spark, docs, folder):
     brute.check_packing(rows)
 
 
-def test_packing_search_fills_bins():
-    rng = random.Random(4)
-    sizes = [rng.choice([300, 700, 1365, 1366, 2048, 2049, 4096, 17]) for _ in range(2000)]
-    bins = pack(sizes)
-    assert sorted(i for x in bins for i in x) == list(range(len(sizes)))
-    assert all(sum(sizes[i] for i in x) <= 4096 for x in bins)
-    assert len(bins) <= 1.1 * sum(sizes) / 4096
-
-
-def test_packing_search_ends_where_no_step_helps():
-    for seed in range(3):
-        rng = random.Random(seed)
-        sizes = [rng.randint(830, 1360) for _ in range(200)]
-        bins = pack(sizes)
-        assert sorted(i for x in bins for i in x) == list(range(200))
-        fill = lambda x: sum(sizes[i] for i in x)
-        under = sorted((x for x in bins if fill(x) < 4096), key=fill, reverse=True)
-        assert len(under) <= op10_pack.SEARCH_BINS
-        steps = any(op10_pack._improve(list(under[i]), list(under[j]), sizes, 4096) for j in range(len(under)) for i in range(j))
-        assert not steps or sum(4096 - fill(x) for x in under) < 4096
+def _bins(sizes, number):
+    return {tuple(sorted(sizes[i] for i in x)) for x in number if x}
+
+
+@pytest.mark.parametrize("kind, bins", [
+    ("move", [[3000, 900], [3500], [400]]),
+    ("one for one", [[3000, 600], [3600], [1000]]),
+    ("two for one", [[3000, 900], [3900, 100], [500, 560]]),
+])
+def test_packing_steps(kind, bins):
+    """Each kind of step acts where it alone helps, and fills the fuller bin."""
+    sizes, number = [x for own in bins for x in own], []
+    for own in bins:
+        number.append(list(range(len(sum(number, [])), len(sum(number, [])) + len(own))))
+    search = op10_pack._Search(number, sizes, 4096)
+    before = (search.fill**2).sum()
+    assert search.step(2), kind
+    assert (search.fill**2).sum() > before and search.fill.max() <= 4096
+    assert sorted(i for x in search.bins for i in x) == list(range(len(sizes)))
+    moved = {"move": {(900, 3000), (400, 3500)}, "one for one": {(1000, 3000), (3600,), (600,)}, "two for one": {(500, 560, 3000), (100, 3900), (900,)}}[kind]
+    assert _bins(sizes, search.bins) == moved, kind
+
+
+def test_packing_search_beats_best_fit():
+    """Bins of three pieces each that best-fit decreasing fills badly."""
+    for low, high, n in ((830, 1360, 200), (800, 1400, 1000), (1000, 2000, 1000)):
+        rng = random.Random(low)
+        sizes = [rng.randint(low, high) for _ in range(n)]
+        first, bins = op10_pack._best_fit(sizes, 4096), pack(sizes)
+        assert sorted(i for x in bins for i in x) == list(range(n))
+        assert all(sum(sizes[i] for i in x) <= 4096 for x in bins)
+        assert len(bins) < len(first), (low, high)
+        # It ends where no step of a donor that could be emptied helps.
+        search = op10_pack._Search(bins, sizes, 4096)
+        assert len(search.run()) == len(bins)
 
 
 def test_packing_takes_pairs_from_bins_of_many_pieces():
     sizes = [4081, 10, *[7] * 60]
-    a, b = [0, 1], list(range(2, 62))
-    assert op10_pack._improve(a, b, sizes, 4096) and sum(sizes[i] for i in a) == 4095 and len(b) == 59
+    search = op10_pack._Search([[0, 1], list(range(2, 62))], sizes, 4096)
+    assert search.step(1) and search.fill.tolist() == [4095, 416] and len(search.bins[1]) == 59
 
 
 def test_long_text(spark, tmp_path):
