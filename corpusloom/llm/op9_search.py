@@ -1,48 +1,58 @@
 """Operator 9: exact top-k inner-product search through ball trees.
 
-Vectors are dealt by a hash of their id into shards of bounded size, each of
-which becomes one ball tree (packed arrays in one row).  Queries are packed into
-blocks.  Every block meets every shard; a task takes a block through a chain of
-shards and carries the kth score on from one to the next, so that later trees
-are cut sooner.  Inside a tree, nodes come off a priority queue by their upper
-bound ``q . centre + |q| * radius``; the search ends when the bound is below the
-kth score.  The chains' results are merged per query.
+Equal vectors are one class, of which only the least ids can be among the best.
+Vectors are dealt to shards by the nearest of at most CLUSTERS pivots and, where
+a pivot has many, by a hash; each shard becomes one ball tree in a file of the
+shared folder.  The search takes two passes over the distinct query vectors:
+
+1. each query is searched in a shard of its own cluster, which gives it a kth score;
+2. that score goes along to every other shard whose root's upper bound
+   ``q . centre + |q| * radius`` is not below it, and to no other.
+
+Inside a tree, nodes come off a priority queue by their upper bound; the search
+ends when the bound is below the kth score so far.  What is shuffled are
+vectors once, queries once per shard that may hold an answer, and answers.
 
 Defined results: vectors that are null, empty, of another length than the most
-common one, or that hold a null or non-finite component, take no part, as do rows
-without an id; equal scores go to the smaller id; rows that share an id are
-separate candidates, and a query never meets rows of its own id; an empty table
-gives no rows; other columns of the input are not read.
+common one (the shortest of those), or that hold a null or non-finite component,
+take no part, as do rows without an id; a component of a magnitude at which a
+score could leave 63 bits is an error; equal scores go to the smaller id; rows that
+share an id are separate candidates, and a query never meets rows of its own id;
+repeated query rows are one query, and an id with several query vectors asks with
+each and ranks all answers together; an empty table gives no rows; other columns of
+the input are not read.
 """
 
 from __future__ import annotations
 
 import heapq
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import blocks_for, saved, table
+from .common import blocks_for, new_dir, read_file, saved, slices, table, write_file
 
 TOP_K = 5
 SCALE = 256
-#: Vectors in a shard and queries in a block, on average; vectors in a leaf; shards in a chain.
+#: Vectors in a shard at most, on average; vectors in a leaf.
 SHARD_VECTORS = 8_000
-BLOCK_QUERIES = 512
 LEAF_VECTORS = 64
-CHAIN = 8
+#: Pivots at most, taken from the rows of least hash.
+CLUSTERS = 256
 
 
 class BallTree:
     """A ball tree over integer vectors, sorted by leaf."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF_VECTORS):
-        """vectors: int64, one row each."""
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, times: np.ndarray, leaf: int = LEAF_VECTORS):
+        """vectors: int64, one row each; times: how often each row stands in the table."""
         order = np.arange(len(ids))
         self.nodes: list[tuple[int, int, int, int]] = []  # from, to, left child, right child (-1: leaf)
         centres, radii = [], []
@@ -75,47 +85,49 @@ class BallTree:
             left, right = add(low, low + middle), add(low + middle, high)
             self.nodes[number] = (low, high, left, right)
             stack += [left, right]
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.ids, self.vectors, self.times = ids[order], vectors[order], times[order]
         self.centres = np.array(centres).reshape(len(centres), vectors.shape[1])
         self.radii = np.array(radii)
 
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, heaps: list[list[tuple[int, int]]], k: int) -> None:
-        """Adds to each query's heap of (score, -id); its least entry is the kth so far."""
+    def search(self, queries: np.ndarray, own: np.ndarray, floors: np.ndarray, k: int) -> list[list[tuple[int, int, int]]]:
+        """For each query its k best (score, -id, times), or fewer if the others score below the query's floor; never its own id."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in queries]
         if not self.nodes:
-            return
-        q = queries.astype(np.float64)
-        norms = np.sqrt((q * q).sum(1))
-        # A slack over rounding errors keeps the bounds upper bounds.
-        bounds = q @ self.centres.T + norms[:, None] * self.radii[None, :]
-        bounds += 1e-9 * (np.abs(bounds) + norms[:, None] * (self.radii + np.sqrt((self.centres**2).sum(1)))[None, :]) + 1e-6
-        nodes = self.nodes
-        for row, (query, own, heap) in enumerate(zip(queries, query_ids.tolist(), heaps)):
+            return out
+        bounds = root_bounds(queries, self.centres, self.radii)
+        for row, (query, own_id, floor, heap) in enumerate(zip(queries, own.tolist(), floors.tolist(), out)):
             bound = bounds[row]
             queue = [(-bound[0], 0)]
             while queue:
                 upper, number = heapq.heappop(queue)
-                if len(heap) == k and -upper < heap[0][0]:
+                limit = floor if len(heap) < k else max(floor, heap[0][0])
+                if -upper < limit:
                     break
-                low, high, left, right = nodes[number]
+                low, high, left, right = self.nodes[number]
                 if left >= 0:
                     for child in (left, right):
-                        if len(heap) < k or bound[child] >= heap[0][0]:
+                        if bound[child] >= limit:
                             heapq.heappush(queue, (-bound[child], child))
                     continue
-                scores = self.vectors[low:high] @ query
-                near = np.arange(high - low) if len(heap) < k else np.flatnonzero(scores >= heap[0][0])
-                if len(near) > 4 * k:  # only the best k of them, and ties with those, can enter
-                    cut = np.partition(scores[near], len(near) - k - 1)[len(near) - k - 1]
-                    near = near[scores[near] >= cut]
-                    near = near[np.lexsort((self.ids[low:high][near], -scores[near]))][: k + int((self.ids[low:high][near] == own).sum())]
+                scores, ids = self.vectors[low:high] @ query, self.ids[low:high]
+                near = np.flatnonzero((scores >= limit) & (ids != own_id))
+                if len(near) > 4 * k:  # only the best k of them can enter
+                    near = near[np.lexsort((ids[near], -scores[near]))][:k]
                 for i in near.tolist():
-                    found = (int(scores[i]), -int(self.ids[low + i]))
-                    if -found[1] == own:
-                        continue
+                    found = (int(scores[i]), -int(ids[i]), int(self.times[low + i]))
                     if len(heap) < k:
                         heapq.heappush(heap, found)
                     elif found > heap[0]:
                         heapq.heapreplace(heap, found)
+        return out
+
+
+def root_bounds(queries: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """Upper bounds of each query's scores in each ball; a slack over rounding errors keeps them upper bounds."""
+    q = queries.astype(np.float64)
+    norms = np.sqrt((q * q).sum(1))
+    bounds = q @ centres.T + norms[:, None] * radii[None, :]
+    return bounds + 1e-9 * (np.abs(bounds) + norms[:, None] * (radii + np.sqrt((centres**2).sum(1)))[None, :]) + 1e-6
 
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -125,49 +137,138 @@ def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return vectors.where(F.col(id_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * F.lit(float(scale)))).alias("v"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = TOP_K, shard_vectors: int = SHARD_VECTORS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def _arrays(column: pa.Array, dimension: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<i8").reshape(-1, dimension)
+
+
+def _packed(vectors: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            packed = [np.array(x, "<i8").tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], ["vec_id", "p", "asks"])
+
+    return vectors.mapInArrow(run, "vec_id long, p binary, asks boolean")
+
+
+def _clustered(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Adds the nearest pivot of the vector p."""
+    dimension, half, names = pivots.shape[1], (pivots**2).sum(1) / 2, rows.columns
+    at = names.index("p")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            near = (_arrays(batch.column(at), dimension) @ pivots.T - half).argmax(1) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], [*names, "cluster"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("cluster", T.IntegerType())]))
+
+
+def build_trees(rows: DataFrame, dimension: int) -> DataFrame:
+    """Manifest of the ball trees of (cluster, shard, vec_id, p, m): cluster, shard, path, centre, radius."""
+    folder = new_dir(rows.sparkSession, "op9-trees")
+
+    def build(part: pa.Table) -> pa.Table:
+        tree = BallTree(part.column("vec_id").to_numpy(), _arrays(part.column("p"), dimension), part.column("m").to_numpy())
+        name = f"{folder}/tree-{uuid.uuid4().hex}"
+        write_file(name, pickle.dumps(tree, protocol=5))
+        return pa.table({"cluster": part.column("cluster")[:1], "shard": part.column("shard")[:1], "path": [name], "centre": [tree.centres[0].tobytes()], "radius": [tree.radii[0]]})
+
+    return saved(rows.groupBy("cluster", "shard").applyInArrow(build, "cluster int, shard int, path string, centre binary, radius double"), "op9-manifest")
+
+
+def search_trees(asked: DataFrame, manifest: DataFrame, dimension: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score, m): the k best of every asked (cluster, shard, query_id, p, floor) in that shard, none below the floor."""
+
+    def run(own: pa.Table, tree: pa.Table) -> pa.Table:
+        rows: list[tuple[int, int, int, int]] = []
+        if own.num_rows and tree.num_rows:
+            found = pickle.loads(read_file(tree.column("path")[0].as_py()))
+            for part in slices(iter(own.select(["query_id", "p", "floor"]).to_batches()), 512):
+                ids = part.column(0).to_numpy()
+                heaps = found.search(_arrays(part.column(1), dimension), ids, part.column(2).to_numpy(), k)
+                rows += [(q, -other, score, m) for q, heap in zip(ids.tolist(), heaps) for score, other, m in heap]
+        columns = list(zip(*rows)) if rows else [()] * 4
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score", "m"), columns)})
+
+    return asked.groupBy("cluster", "shard").cogroup(manifest.groupBy("cluster", "shard")).applyInArrow(run, "query_id long, vec_id long, score long, m long")
+
+
+def open_shards(queries: DataFrame, manifest: DataFrame, dimension: int) -> DataFrame:
+    """(cluster, shard, query_id, p, floor): the shards besides its own that a query (cluster, shard, query_id, p, floor) still has to ask.
+
+    A query is first bounded by a ball around each cluster (CLUSTERS at most); the
+    clusters that are left are joined to their shards and bounded by those.
+    """
+
+    def ball(part: pa.Table) -> pa.Table:
+        centres = np.frombuffer(b"".join(part.column("centre").to_pylist()), "<f8").reshape(-1, dimension)
+        centre = centres.mean(0)
+        radius = (np.sqrt(((centres - centre) ** 2).sum(1)) + part.column("radius").to_numpy()).max()
+        return pa.table({"cluster": part.column("cluster")[:1], "centre": [centre.tobytes()], "radius": [radius * (1 + 1e-9)]})
+
+    # One row a cluster comes to the driver.
+    balls = manifest.select("cluster", "centre", "radius").groupBy("cluster").applyInArrow(ball, "cluster int, centre binary, radius double").orderBy("cluster").collect()
+    numbers, radii = np.array([r["cluster"] for r in balls], np.int32), np.array([r["radius"] for r in balls])
+    centres = np.frombuffer(b"".join(r["centre"] for r in balls), "<f8").reshape(-1, dimension)
+
+    def clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            if batch.num_rows:
+                at, of = np.nonzero(root_bounds(_arrays(batch.column(1), dimension), centres, radii) >= batch.column(2).to_numpy()[:, None])
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, pa.array(numbers[of])], ["query_id", "p", "floor", "own", "own_shard", "cluster"])
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            q = _arrays(batch.column(3), dimension)
+            centre, radius = np.frombuffer(b"".join(batch.column(5).to_pylist()), "<f8").reshape(-1, dimension), batch.column(6).to_numpy()
+            norm = np.sqrt((q.astype(np.float64) ** 2).sum(1))
+            bound = (q * centre).sum(1) + norm * radius
+            bound += 1e-9 * (np.abs(bound) + norm * (radius + np.sqrt((centre**2).sum(1)))) + 1e-6
+            yield batch.select([0, 1, 2, 3, 4]).filter(pa.array(bound >= batch.column(4).to_numpy()))
+
+    own = queries.select("query_id", "p", "floor", F.col("cluster").alias("own"), F.col("shard").alias("own_shard"))
+    near = own.mapInArrow(clusters, "query_id long, p binary, floor long, own int, own_shard int, cluster int")
+    pairs = near.join(manifest.select("cluster", "shard", "centre", "radius"), "cluster").where((F.col("cluster") != F.col("own")) | (F.col("shard") != F.col("own_shard")))
+    return pairs.select("cluster", "shard", "query_id", "p", "floor", "centre", "radius").mapInArrow(shards, "cluster int, shard int, query_id long, p binary, floor long")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = TOP_K, shard_vectors: int = SHARD_VECTORS) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of each query.
 
     ``vectors`` has (vec_id, v); ``is_query`` marks the queries among its rows.
     """
-    vectors = saved(vectors, "op9-vectors")
-    sizes = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dimension = sizes[0]["d"] if sizes else 0
-    vectors = vectors.where(F.size("v") == dimension)
-    queries = vectors.where(is_query)
-    shards, blocks = blocks_for(vectors.count(), shard_vectors), blocks_for(queries.count(), block_queries)
-    chains = blocks_for(shards, CHAIN)
-
-    def build(part: pd.DataFrame) -> pd.DataFrame:
-        data = np.array(part["v"].tolist(), np.int64)
-        tree = BallTree(part["vec_id"].to_numpy(np.int64), data)
-        return pd.DataFrame({"shard": part["shard"].iloc[:1], "tree": [pickle.dumps(tree, protocol=5)]})
-
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        packed = pickle.dumps((part["vec_id"].to_numpy(np.int64), np.array(part["v"].tolist(), np.int64)), protocol=5)
-        return pd.DataFrame({"block": part["block"].iloc[:1], "queries": [packed]})
-
-    dealt = F.xxhash64("vec_id")
-    trees = saved(vectors.withColumn("shard", F.pmod(dealt, F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int, tree binary"), "op9-trees")
-    packed = queries.withColumn("block", F.pmod(F.xxhash64(dealt), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(pack, "block int, queries binary")
-    chain = F.pmod(F.col("shard"), F.lit(chains)).cast("int").alias("chain")
-    # Each block and each shard as often as it has partners: a search in blocks.
-    left = trees.select("shard", "tree", chain, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = packed.select("block", "queries", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"))
-
-    def search(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple[int, int, int]] = []
-        for data in asked["queries"]:
-            ids, queries_ = pickle.loads(data)
-            heaps: list[list[tuple[int, int]]] = [[] for _ in ids]
-            for tree in own.sort_values("shard")["tree"]:
-                pickle.loads(tree).search(queries_, ids, heaps, k)
-            rows += [(int(q), -other, score) for q, heap in zip(ids, heaps) for score, other in heap]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = left.groupBy("block", "chain").cogroup(right.groupBy("block", "chain")).applyInPandas(search, "query_id long, vec_id long, score long")
+    sizes = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("most"), F.min(F.array_min("v")).alias("least"))
+    sizes = sizes.orderBy(F.desc("n"), "d").limit(1).collect()
+    dimension = sizes[0]["d"] if sizes else 1
+    if sizes and (sizes[0]["least"] == -(1 << 63) or dimension * sizes[0]["most"] ** 2 >= 1 << 62):
+        raise OverflowError(f"scores of components up to {sizes[0]['most']} do not fit into 64 bits")
+    rows = saved(_packed(vectors.where(F.size("v") == dimension).select("vec_id", "v", F.coalesce(is_query, F.lit(False)).alias("asks"))), "op9-vectors")
+    # Of equal vectors only the k + 1 least ids can be among a query's best: one of them may be its own.
+    # The limit is applied before the shuffle, too, so that no task gets all rows of one vector.
+    times = rows.groupBy("vec_id", "p").agg(F.least(F.count("*"), F.lit(k)).alias("m"))
+    least = times.withColumn("_at", F.row_number().over(W.partitionBy("p").orderBy("vec_id"))).where(F.col("_at") <= k + 1).drop("_at")
+    distinct = saved(least, "op9-distinct")
+    shards = blocks_for(distinct.count(), shard_vectors)
+    # A bounded sample: the pivots are the vectors of the rows of least hash.
+    sample = distinct.select("p").orderBy(F.xxhash64("vec_id"), "vec_id", "p").limit(min(CLUSTERS, shards)).collect()
+    pivots = np.frombuffer(b"".join(sorted({bytes(r["p"]) for r in sample})), "<i8").reshape(-1, dimension).astype(np.float64)
+    placed = saved(_clustered(distinct, pivots), "op9-placed")
+    # One row a cluster; a cluster of many vectors has many shards.
+    counts = F.broadcast(placed.groupBy("cluster").agg(F.ceil(F.count("*") / shard_vectors).cast("int").alias("_n")))
+    manifest = build_trees(placed.join(counts, "cluster").withColumn("shard", F.pmod(F.xxhash64("vec_id"), "_n").cast("int")).drop("_n"), dimension)
+    asking = _clustered(rows.where("asks").select(F.col("vec_id").alias("query_id"), "p").distinct(), pivots)
+    lowest = F.lit(-(1 << 63)).cast("long")
+    asking = saved(asking.join(counts, "cluster").select("cluster", F.pmod(F.xxhash64("query_id"), "_n").cast("int").alias("shard"), "query_id", "p", lowest.alias("floor")), "op9-queries")
+    first = saved(search_trees(asking, manifest, dimension, k), "op9-first")
+    # k candidates of the own shard give a floor; fewer give none.  A query id with several vectors takes none.
+    floors = first.groupBy("query_id").agg(F.min("score").alias("_least"), F.count("*").alias("_n")).where(F.col("_n") == k)
+    several = asking.groupBy("query_id").agg(F.count("*").alias("_k")).where("_k > 1").select("query_id")
+    floors = floors.join(several, "query_id", "left_anti").drop("_n")
+    known = asking.join(floors, "query_id", "left").withColumn("floor", F.coalesce("_least", "floor")).drop("_least")
+    found = first.unionByName(search_trees(open_shards(known, manifest, dimension), manifest, dimension, k))
+    every = found.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("_copy"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import op2_minhash, op4_suffix, op5_quality, op6_lines, op10_pack, registry
+from corpusloom.llm import op2_minhash, op4_suffix, op5_quality, op6_lines, op9_search, op10_pack, registry
 from corpusloom.llm.op1_wavelet import WaveletShard, pack_shard
 from corpusloom.llm.op2_minhash import band_keys, near_duplicates, sketch
 from corpusloom.llm.op4_suffix import remove_repeats, suffix_order
@@ -332,23 +332,57 @@ def test_warc_records_are_whole():
     assert again["WARC-Refers-To"] == head["WARC-Record-ID"] and empty.endswith(b"\r\n\r\n")
 
 
-@pytest.mark.parametrize("n, shard", [(400, 60), (3, 60), (1, 60), (0, 60)])
+def _best(v, ids, n_queries, k=5):
+    """Rows (query, rank, vec_id, score) by plain products; ids may repeat."""
+    want = []
+    for q in sorted({i for i in ids if i % n_queries == 0}):
+        asked = ids.index(q)
+        best = sorted((-int(v[asked] @ v[c]), ids[c]) for c in range(len(ids)) if ids[c] != q)[:k]
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    return want
+
+
+@pytest.mark.parametrize("n, shard", [(400, 60), (400, 7), (3, 60), (1, 60), (0, 60)])
 def test_op9(spark, n, shard):
     rng = np.random.default_rng(n)
     data = np.round(rng.normal(0, 0.2, (n, 8)), 2).astype(np.float32)
     if n > 20:
         data[5] = data[7] = data[50]
         data[100:180] = data[100]
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    ids = list(range(n))
+    if n > 20:  # repeated rows of one id, of a query too
+        ids += [100, 100, 3, 3, 3, 3, 3, 3, 3]
+        data = np.concatenate((data, data[[100, 100]], data[[3] * 7]))
+    rows = [(i, [float(x) for x in v]) for i, v in zip(ids, data)]
     odd = [(1000, None), (1050, []), (1100, [float("nan")] + [0.0] * 7), (1150, [None] + [1.0] * 7), (1200, [float("inf")] * 8)] if n > 3 else []
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("shard", F.lit("x"))
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_k(integer_vectors(df), F.col("vec_id") % 50 == 0, shard_vectors=shard, block_queries=3).collect())
-    v = np.floor(256 * data.astype(np.float64)).astype(np.int64)
-    want = []
-    for q in range(0, n, 50):
-        best = sorted(((-int(v[q] @ v[c]), c) for c in range(n) if c != q))[:5]
-        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
-    assert got == want
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("shard", F.lit("x")).withColumn("p", F.lit(1))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_k(integer_vectors(df), F.col("vec_id") % 50 == 0, shard_vectors=shard).collect())
+    assert got == _best(np.floor(256 * data.astype(np.float64)).astype(np.int64), ids, 50)
+
+
+def test_op9_prunes_shards(spark, monkeypatch):
+    """Clustered vectors: most shards are never asked, and no answer is lost."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 1, (20, 16))
+    data = (centres[np.arange(2000) % 20] + rng.normal(0, 0.03, (2000, 16))).astype(np.float32)
+    pairs, plain = [], op9_search.open_shards
+
+    def seen(queries, manifest, dimension):
+        out = plain(queries, manifest, dimension).persist()
+        pairs.append((out.count(), queries.count() * (manifest.count() - 1)))
+        return out
+
+    monkeypatch.setattr(op9_search, "open_shards", seen)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<float>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_k(integer_vectors(df), F.col("vec_id") % 50 == 0, shard_vectors=50).collect())
+    assert got == _best(np.floor(256 * data.astype(np.float64)).astype(np.int64), list(range(2000)), 50)
+    assert pairs[0][0] < 0.5 * pairs[0][1]
+
+
+def test_op9_overflow_is_an_error(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(OverflowError):
+        top_k(integer_vectors(df), F.col("vec_id") % 50 == 0)
 
 
 def test_op10(spark, docs, folder):
