@@ -368,8 +368,12 @@ class _Passes:
         self.ranges = RANGES * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def over(self, messages: DataFrame, run, schema) -> DataFrame:
-        """run(slice table, its messages) for every slice."""
-        return self.manifest.groupBy("slice").cogroup(messages.groupBy("slice")).applyInArrow(run, schema)
+        """run(slice table, its messages) for every slice.
+
+        The messages are few bytes, the work is not: the number of partitions is given, so that they are not coalesced.
+        """
+        own, told = spread(self.manifest, "slice"), spread(messages, "slice")
+        return own.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(run, schema)
 
     def shared_anchors(self) -> DataFrame:
         """(slice, range, data): a bit for each distinct anchor of the slice in that range, in order: whether another slice has it."""

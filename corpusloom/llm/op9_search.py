@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks_for, new_dir, read_file, saved, slices, table, write_file
+from .common import blocks_for, new_dir, read_file, saved, slices, spread, table, write_file
 
 TOP_K = 5
 SCALE = 256
@@ -190,7 +190,9 @@ def search_trees(asked: DataFrame, manifest: DataFrame, dimension: int, k: int)
         columns = list(zip(*rows)) if rows else [()] * 4
         return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score", "m"), columns)})
 
-    return asked.groupBy("cluster", "shard").cogroup(manifest.groupBy("cluster", "shard")).applyInArrow(run, "query_id long, vec_id long, score long, m long")
+    # The number of partitions is given: few bytes are much work here, and are not to be coalesced.
+    own, trees = spread(asked, "cluster", "shard"), spread(manifest, "cluster", "shard")
+    return own.groupBy("cluster", "shard").cogroup(trees.groupBy("cluster", "shard")).applyInArrow(run, "query_id long, vec_id long, score long, m long")
 
 
 def open_shards(queries: DataFrame, manifest: DataFrame, dimension: int) -> DataFrame:
