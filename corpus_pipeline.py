@@ -3,6 +3,23 @@
 Each stage calls one operator of ``corpusloom.llm`` and works on all that the
 stage before kept; between stages the documents are written as Parquet and read
 again.  All stages but the last return the columns of ``documents``.
+
+Defined results, stage by stage:
+
+* quality rules: null and empty texts fail and go; rows equal in ``doc_id`` and
+  text share their verdict; a row without an id is judged like any other; texts
+  of any length are judged whole;
+* line dedup: lines of rows without an id are neither counted nor dropped; a null
+  text stays null; of equal keys the smallest id keeps its lines; a text may
+  become empty and stays as a row;
+* near-duplicates: of each group the smallest id stays, with all rows of that id;
+  rows without an id, and texts without words, stay;
+* passage dedup: rows without an id are neither compared nor changed; equal rows
+  are one place; a text of which all is repeated becomes empty;
+* packing: one row a piece; null and empty texts are the end id alone.
+
+Empty tables give no rows at every stage.  Other columns pass through all stages
+but the last untouched, whatever their names; ``n_chars`` follows the text.
 """
 
 from __future__ import annotations
@@ -10,14 +27,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import saved, table
+from corpusloom.llm.common import discard, saved, table
 from corpusloom.llm.op2_minhash import near_duplicates
 from corpusloom.llm.op4_suffix import remove_repeats
 from corpusloom.llm.op5_quality import quality_rules
 from corpusloom.llm.op6_lines import dedup_lines, line_index
 from corpusloom.llm.op10_pack import pack_pieces, pieces
 
-#: Words in a shingle of the near-duplicate stage.
+#: Words in a shingle of the near-duplicate stage: stages without a contract of their own
+#: take five, where the query of operator 2 takes four by its contract.
 SHINGLE_WORDS = 5
 
 
@@ -42,8 +60,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each near-duplicate group."""
-    gone = near_duplicates(docs, words=SHINGLE_WORDS).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, words=SHINGLE_WORDS).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,5 +89,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
