@@ -67,10 +67,3 @@ def simplex(key: Column, parts: int, seed: int = 0) -> Column:
         return F.array(F.lit(1.0))
     cuts = F.array_sort(F.array(F.lit(0.0), F.lit(1.0), *[portable_hash(key, seed * 1000 + i) / F.lit(4294967296.0) for i in range(1, parts)]))
     return F.transform(F.sequence(F.lit(1), F.lit(parts)), lambda i: F.element_at(cuts, i + 1) - F.element_at(cuts, i))
-
-
-def gauss_log_density_2d(x: Column, y: Column, mx: Column, my: Column, sxx: Column, sxy: Column, syy: Column) -> Column:
-    """ln density of a 2-d Gaussian of full rank, in closed form."""
-    det = sxx * syy - sxy * sxy
-    dx, dy = x - mx, y - my
-    return -F.lit(math.log(2 * math.pi)) - 0.5 * F.log(det) - 0.5 * (syy * dx * dx - 2 * sxy * dx * dy + sxx * dy * dy) / det

@@ -2,44 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import numbered
 
 
-def contingency(tf: DataFrame, labels: DataFrame) -> DataFrame:
-    """word, occurrences, y, docs: documents of a class by how often they hold a word.
+def word_cells(tf: DataFrame, labels: DataFrame) -> DataFrame:
+    """word, cells: (occurrences, y, docs) of each word, documents of a class by how often they hold it.
 
     The documents without the word are not in the sparse table: their number is
-    the class's size less the others.
+    the class's size less the others.  A word has few cells, as many as there are
+    classes and different numbers of occurrences.
     """
     seen = tf.join(labels.select("doc_id", "y"), "doc_id").groupBy("word", F.col("n").cast("long").alias("occurrences"), "y").agg(F.count("*").alias("docs"))
-    # One row a class of the class map; every word meets every class, though no document of it may hold the word.
-    sizes = labels.groupBy("y").agg(F.count("*").alias("size")).orderBy("y").collect()
-    words = seen.groupBy("word", "y").agg(F.sum("docs").alias("held"))
-    classes = F.array(*[F.struct(F.lit(r["y"]).alias("y"), F.lit(r["size"]).alias("size")) for r in sizes])
-    every = seen.select("word").distinct().select("word", F.inline(classes)) if sizes else words.select("word", "y", F.lit(0).alias("size"))
-    absent = every.join(words, ["word", "y"], "left").select("word", F.lit(0).cast("long").alias("occurrences"), "y", (F.col("size") - F.coalesce("held", F.lit(0))).alias("docs"))
-    return seen.unionByName(absent.where("docs > 0"))
+    # One row: the classes of the class map and their sizes.
+    classes = labels.groupBy("y").agg(F.count("*").alias("size")).agg(F.array_sort(F.collect_list(F.struct("y", "size")))).scalar()
+    held = seen.groupBy("word").agg(F.collect_list(F.struct("occurrences", "y", "docs")).alias("_seen")).withColumn("_classes", classes)
+    inside = lambda y: _total(F.filter("_seen", lambda x: x["y"] == y))
+    absent = F.transform("_classes", lambda c: F.struct(F.lit(0).cast("long").alias("occurrences"), c["y"].alias("y"), (c["size"] - inside(c["y"])).alias("docs")))
+    return held.select("word", F.concat("_seen", F.filter(absent, lambda x: x["docs"] > 0)).alias("cells"))
+
+
+def _total(cells: Column) -> Column:
+    return F.aggregate(cells, F.lit(0).cast("long"), lambda s, x: s + x["docs"])
+
+
+def contingency(tf: DataFrame, labels: DataFrame) -> DataFrame:
+    """word, occurrences, y, docs; every word meets every class, though no document of it may hold the word."""
+    return word_cells(tf, labels).select("word", F.inline("cells"))
 
 
 def marginals(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(p of each class, p of each number of occurrences), over all words."""
-    total = table.agg(F.sum("docs")).first()[0] or 1
-    share = lambda key: table.groupBy(key).agg((F.sum("docs") / F.lit(total)).alias("p"))
+    total = table.agg(F.sum("docs")).scalar()
+    share = lambda key: table.groupBy(key).agg(F.sum("docs").alias("_n")).select(key, (F.col("_n") / total).alias("p"))
     return share("y"), share("occurrences")
 
 
-def mutual_information(table: DataFrame) -> DataFrame:
-    """word, mi: the word's information about the class in bits, over the number of words."""
-    n = F.col("docs").cast("double")
-    by_word = table.groupBy("word").agg(F.sum("docs").alias("_d"))
-    by_count = table.groupBy("word", "occurrences").agg(F.sum("docs").alias("_o"))
-    by_class = table.groupBy("word", "y").agg(F.sum("docs").alias("_c"))
-    joined = table.join(by_count, ["word", "occurrences"]).join(by_class, ["word", "y"]).join(by_word, "word")
-    term = n / F.col("_d") * F.log2(n * F.col("_d") / (F.col("_o").cast("double") * F.col("_c")))
-    return joined.groupBy("word").agg((F.sum(term) / F.lit(max(1, by_word.count()))).alias("mi"))
+def mutual_information(cells: DataFrame) -> DataFrame:
+    """word, mi: the word's information about the class in bits, over the number of words.
+
+    ``cells`` is as of ``word_cells``.  All sums of a word are over its own few cells.
+    """
+    d = _total(F.col("cells")).cast("double")
+
+    def term(x: Column) -> Column:
+        n = x["docs"].cast("double")
+        same_count = _total(F.filter("cells", lambda y: y["occurrences"] == x["occurrences"])).cast("double")
+        same_class = _total(F.filter("cells", lambda y: y["y"] == x["y"]))
+        return n / F.col("_d") * F.log2(n * F.col("_d") / (same_count * same_class))
+
+    sums = cells.withColumn("_d", d).select("word", F.aggregate(F.transform("cells", term), F.lit(0.0), lambda s, x: s + x).alias("_mi"))
+    words = cells.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
+    return sums.select("word", (F.col("_mi") / words).alias("mi"))
+
+
+def best(mi: DataFrame, k: int, digits: int = 12) -> DataFrame:
+    """word and rank of the k words of the highest information: k rows; ties as in ``ranked``."""
+    from pyspark.sql import Window as W
+
+    order = [F.desc("_mi"), F.desc("word")]
+    top = mi.select("word", F.round("mi", digits).alias("_mi")).orderBy(*order).limit(k)
+    return top.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long")).select("word", "rank")
 
 
 def ranked(mi: DataFrame, ascending: bool = False, digits: int = 12) -> DataFrame:

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ..errors import ParameterError
 from ..functions.scalar import portable_hash, simplex
-from ..session import numbered
+from ..session import numbered, numbered_within
 
 
-def _shuffled(label: str, seed: int):
-    return W.partitionBy(label).orderBy(portable_hash(F.col("doc_id"), seed), "doc_id")
+def _placed(docs: DataFrame, name: str, label: str, seed: int) -> DataFrame:
+    """Adds each document's place (from 1) in its class by hash; a class may hold most documents."""
+    return numbered_within(docs.withColumn("_h", portable_hash(F.col("doc_id"), seed)), name, label, F.col("_h"), F.col("doc_id")).drop("_h")
 
 
 def merged(train: DataFrame, test: DataFrame, label: str = "label") -> DataFrame:
@@ -25,8 +26,7 @@ def merged(train: DataFrame, test: DataFrame, label: str = "label") -> DataFrame
 
 def equal_class_split(docs: DataFrame, per_class: int, label: str = "label") -> DataFrame:
     """The last ``per_class`` documents of each class are the test part; both parts renumbered."""
-    last = W.partitionBy(label).orderBy(F.desc("doc_id"))
-    dealt = docs.withColumn("part", F.when(F.row_number().over(last) <= per_class, 1).otherwise(0))
+    dealt = numbered_within(docs, "_last", label, F.desc("doc_id")).withColumn("part", F.when(F.col("_last") <= per_class, 1).otherwise(0)).drop("_last")
     parts = [numbered(dealt.where(F.col("part") == i), "new_id", F.col(label), F.col("doc_id")) for i in (0, 1)]
     return parts[0].unionByName(parts[1])
 
@@ -47,15 +47,14 @@ def stratified_split(docs: DataFrame, size: float, label: str = "label", seed: i
     rest = F.col("_wanted") - F.sum("_floor").over(whole)
     by_rest = W.orderBy(F.desc(F.round(F.col("_exact") - F.col("_floor"), 9)), label)
     quotas = quotas.withColumn("_quota", F.col("_floor") + F.when(F.row_number().over(by_rest) <= rest, 1).otherwise(0)).select(label, "_quota")
-    placed = docs.withColumn("_at", F.row_number().over(_shuffled(label, seed)))
-    return placed.join(quotas, label).withColumn("chosen", F.col("_at") <= F.col("_quota")).drop("_at", "_quota")
+    return _placed(docs, "_at", label, seed).join(quotas, label).withColumn("chosen", F.col("_at") <= F.col("_quota")).drop("_at", "_quota")
 
 
 def stratified_folds(docs: DataFrame, k: int, label: str = "label", seed: int = 0) -> DataFrame:
     """Adds fold, 0 to k - 1."""
     if k < 2:
         raise ParameterError("at least two folds")
-    return docs.withColumn("fold", F.pmod(F.row_number().over(_shuffled(label, seed)) - 1, F.lit(k)).cast("int"))
+    return _placed(docs, "_at", label, seed).withColumn("fold", F.pmod(F.col("_at") - 1, F.lit(k)).cast("int")).drop("_at")
 
 
 def folds_for_size(total: int, size: int) -> int:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import portable_hash, portable_hash_sql
 from ..operators import corpus as C
 from ..operators import selection, split
-from ..session import table
+from ..session import checkpointed, table
 from ..sources.readers import element, elements
 
 STOP = ["the", "and", "of", "to", "in", "is", "de", "la", "le", "les", "des", "der", "die", "und", "que", "el", "los"]
@@ -43,8 +44,6 @@ def tf_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_words(tf: DataFrame, k: int) -> DataFrame:
     """(word, rank) of the k most frequent words: at most k rows."""
     totals = tf.groupBy("word").agg(F.sum("n").alias("total"))
-    from pyspark.sql import Window as W
-
     best = totals.orderBy(F.desc("total"), "word").limit(k)
     return best.select("word", F.row_number().over(W.orderBy(F.desc("total"), "word")).cast("long").alias("rank"))
 
@@ -194,17 +193,18 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", F.col("quality").alias("y"))
 
 
-_MI = f"""{TF}, lab AS (SELECT doc_id, quality AS y FROM labels WHERE quality IS NOT NULL), size AS (SELECT y, count(*) AS size FROM lab GROUP BY y),
+_MI = f"""{TF.replace("tf AS (", "tf AS MATERIALIZED (")}, lab AS (SELECT doc_id, quality AS y FROM labels WHERE quality IS NOT NULL), size AS (SELECT y, count(*) AS size FROM lab GROUP BY y),
 seen AS (SELECT word, n AS occurrences, y, count(*) AS docs FROM tf JOIN lab USING (doc_id) GROUP BY ALL),
 held AS (SELECT word, y, CAST(sum(docs) AS BIGINT) AS held FROM seen GROUP BY ALL),
-tab AS (SELECT * FROM seen UNION ALL
+tab AS MATERIALIZED (SELECT * FROM seen UNION ALL
   SELECT w.word, 0, s.y, s.size - coalesce(h.held, 0) FROM (SELECT DISTINCT word FROM seen) w CROSS JOIN size s LEFT JOIN held h ON h.word = w.word AND h.y = s.y WHERE s.size > coalesce(h.held, 0)),
-info AS (SELECT word, sum(docs / d * log2(docs * d / (o * c))) / (SELECT count(DISTINCT word) FROM seen) AS mi FROM (
+info AS MATERIALIZED (SELECT word, sum(docs / d * log2(docs * d / (o * c))) / (SELECT count(DISTINCT word) FROM seen) AS mi FROM (
   SELECT word, CAST(docs AS DOUBLE) AS docs, CAST(sum(docs) OVER (PARTITION BY word) AS DOUBLE) AS d, CAST(sum(docs) OVER (PARTITION BY word, occurrences) AS DOUBLE) AS o, CAST(sum(docs) OVER (PARTITION BY word, y) AS DOUBLE) AS c FROM tab) GROUP BY word)"""
 
 
-def _mi(spark, sf_dir):
-    return selection.mutual_information(selection.contingency(tf_of(spark, sf_dir), labelled(spark, sf_dir)))
+def _mi(spark, sf_dir, tf=None):
+    cells = selection.word_cells(tf_of(spark, sf_dir) if tf is None else tf, labelled(spark, sf_dir))
+    return selection.mutual_information(checkpointed(cells))
 
 
 @query(f"WITH {_MI} SELECT word, occurrences, y, docs FROM tab")
@@ -229,7 +229,8 @@ def mi_rank(spark, sf_dir):
 @query(f"""WITH {_MI}, r AS (SELECT word, row_number() OVER (ORDER BY round(mi, 11) DESC, word DESC) AS word_id FROM info QUALIFY word_id <= 300)
 SELECT tf.doc_id, r.word_id, tf.n FROM tf JOIN r USING (word)""")
 def mi_topk_features(spark, sf_dir):
-    return C.ranked_features(tf_of(spark, sf_dir), selection.ranked(_mi(spark, sf_dir), digits=11), 300)
+    tf = checkpointed(tf_of(spark, sf_dir))
+    return C.ranked_features(tf, selection.best(_mi(spark, sf_dir, tf), 300, digits=11))
 
 
 @query(f"WITH {_MI} SELECT word, row_number() OVER (ORDER BY round(mi, 11), word) AS rank FROM info")

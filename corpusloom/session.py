@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,10 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a local one only where none is set, as in tests."""
+    """The folder that all executors share (``spark.checkpoint.dir``); a local one only where none is set and all runs in one process, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusloom-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -27,6 +31,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered_within(df: DataFrame, name: str, key: str, *order: Column) -> DataFrame:
+    """Adds the row number (from 1) within each value of ``key`` in a total order, without one task seeing all rows of a key.
+
+    Rows are numbered in the order of (key, order); each key's first number comes from
+    the counts of each key before it in each range partition, and in those before that.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(df.repartitionByRange(n, F.col(key), *order).withColumn("_part", F.spark_partition_id()))
+    # One row for each key and partition: as many as both together, as ranges hold keys in a row.
+    counts = ranged.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_p")).agg(F.count("*").alias("_rows"))
+    before = counts.select("_key", "_p", (F.sum("_rows").over(W.partitionBy("_key").orderBy("_p")) - F.col("_rows")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_part", key).orderBy(*order))
+    placed = ranged.withColumn("_inside", inside)
+    joined = placed.join(before, (placed["_part"] == before["_p"]) & placed[key].eqNullSafe(before["_key"]))
+    return joined.withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_before", "_inside", "_key", "_p")
+
+
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """Adds the row number (from 1) in a total order, without one task seeing all rows.
 
