@@ -86,7 +86,8 @@ def maximise(resp: DataFrame, tf: DataFrame, parts: DataFrame, words: int) -> Th
 def scores(docs: DataFrame, tf: DataFrame, theta: Theta) -> DataFrame:
     """run_id, doc_id, observed y, k, class of k, score; from the document spine, so empty documents score the prior."""
     lengths = tf.groupBy("doc_id").agg(F.sum("n").alias("_l"))
-    spine = docs.join(lengths, "doc_id", "left").join(theta.base.withColumnRenamed("y", "owner"), "run_id")
+    # One row a run and component, whatever the corpus.
+    spine = docs.join(lengths, "doc_id", "left").join(F.broadcast(theta.base.withColumnRenamed("y", "owner")), "run_id")
     seen = tf.join(theta.seen, "word_id").join(docs.select("run_id", "doc_id"), ["run_id", "doc_id"], "left_semi").groupBy("run_id", "doc_id", "k").agg(F.sum(F.col("n") * F.col("log_count")).alias("_s"))
     score = F.col("log_prior") - F.coalesce("_l", F.lit(0)) * F.col("log_total") + F.coalesce("_s", F.lit(0.0))
     return spine.join(seen, ["run_id", "doc_id", "k"], "left").select("run_id", "doc_id", "y", "k", "owner", score.alias("score"))

@@ -18,7 +18,7 @@ TF = r"tf AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(reg
 VOCAB = "voc AS (SELECT word, CAST(sum(n) AS BIGINT) AS total FROM tf GROUP BY word)"
 #: Most frequent words, ties by word.
 TOP = "top AS (SELECT word, CAST(row_number() OVER (ORDER BY total DESC, word) AS BIGINT) AS rank FROM voc QUALIFY rank <= {k})"
-_STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
+STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -81,7 +81,7 @@ def binary_relabel(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", C.binary_label(F.col("source"), "src3").alias("y"))
 
 
-@query(f"WITH {TF} SELECT * FROM tf WHERE word NOT IN ({_STOP_SQL})")
+@query(f"WITH {TF} SELECT * FROM tf WHERE word NOT IN ({STOP_SQL})")
 def stopword_filter(spark, sf_dir):
     return C.without_stop_words(tf_of(spark, sf_dir), spark.createDataFrame([(w,) for w in STOP], "word string"))
 

@@ -12,14 +12,15 @@ from ..operators import corpus as C
 from ..operators import metrics
 from ..operators.split import stratified_folds
 from ..plans import experiments, gmm, search, tree
-from ..session import checkpoint_folder, table
+from ..session import checkpoint_folder, checkpointed, table
 from ..sources import readers, writers
 from .corpus import TF, TOP, VOCAB, labelled, tf_of, top_words
-from .models import _EVAL, LOOPS, _evaluated, _features
+from .models import _EVAL, LOOPS, _evaluated, features
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-WIDTH, WORDS = 8, 300
+#: Most frequent words that vectors count, and that the feature sets of an experiment take.
+WIDTH, FEATURES = 100, (100, 300)
 
 
 def query(sql: str | None = None):
@@ -88,25 +89,37 @@ def tree_slice(spark, sf_dir):
 
 def _searched(spark, sf_dir):
     """(docs with folds, tf, vectors of the first words) of the labelled documents."""
-    docs = stratified_folds(labelled(spark, sf_dir), 3, "y")
-    tf = _features(spark, sf_dir).join(docs.select("doc_id"), "doc_id", "left_semi")
-    return docs, tf, C.dense_rows(docs, tf.where(F.col("word_id") <= WIDTH), WIDTH).select("doc_id", F.col("features").alias("x"))
+    docs = checkpointed(stratified_folds(labelled(spark, sf_dir), 3, "y"))
+    tf, words = features(spark, sf_dir)
+    return docs, tf, _counts(spark, sf_dir, docs), words
+
+
+def _first_words(spark, sf_dir, k):
+    tf = checkpointed(tf_of(spark, sf_dir))
+    return C.ranked_features(tf, top_words(tf, k))
+
+
+def _counts(spark, sf_dir, docs):
+    """(doc_id, x): counts of the most frequent words."""
+    return C.dense_rows(docs, _first_words(spark, sf_dir, WIDTH), WIDTH).select("doc_id", F.col("features").alias("x"))
 
 
 @query()
 def random_component_search(spark, sf_dir):
-    docs, tf, _ = _searched(spark, sf_dir)
-    return search.random_component_count(docs, tf, WORDS, [2, 3, 4], [0, 1, 2])
+    docs, tf, _, words = _searched(spark, sf_dir)
+    return search.random_component_count(docs, tf, words, [2, 3, 4], [0, 1, 2])
 
 
 @query()
 def tree_component_count_search(spark, sf_dir):
-    return search.tree_component_count(*_searched(spark, sf_dir), WORDS, [1, 2], [0, 1, 2])
+    docs, tf, vectors, words = _searched(spark, sf_dir)
+    return search.tree_component_count(docs, tf, vectors, words, [1, 2], [0, 1, 2])
 
 
 @query()
 def tree_cut_value_search(spark, sf_dir):
-    value, cut = search.tree_cut_value(*_searched(spark, sf_dir), WORDS, [1, 2], [0, 1, 2])
+    docs, tf, vectors, words = _searched(spark, sf_dir)
+    value, cut = search.tree_cut_value(docs, tf, vectors, words, [1, 2], [0, 1, 2])
     return cut.select("doc_id", "part", F.lit(value).alias("cut_value"))
 
 
@@ -184,33 +197,34 @@ def gmm_scaling_grid(spark, sf_dir):
 
 def _experiment(spark, sf_dir):
     docs = labelled(spark, sf_dir)
-    return docs, table(spark, sf_dir, "documents").select("doc_id").join(docs, "doc_id", "left_anti"), _features(spark, sf_dir)
+    return docs, table(spark, sf_dir, "documents").select("doc_id").join(docs, "doc_id", "left_anti")
 
 
 @query()
 def exp_1a(spark, sf_dir):
-    docs, more, tf = _experiment(spark, sf_dir)
-    sets = {"words100": (tf.where("word_id <= 100"), 100), "words300_l1": (C.scaled(tf, 1000, "l1"), WORDS)}
+    (docs, more), (few, many) = _experiment(spark, sf_dir), FEATURES
+    tf = checkpointed(_first_words(spark, sf_dir, many))
+    sets = {f"words{few}": (tf.where(F.col("word_id") <= few), few), f"words{many}_l1": (C.scaled(tf, 1000, "l1"), many)}
     return experiments.feature_selection(docs, more, sets, k=2, epsilon=1.0, max_loops=2)
 
 
 @query()
 def exp_1b(spark, sf_dir):
-    docs, more, tf = _experiment(spark, sf_dir)
-    return experiments.labelled_sizes(docs, more, tf, WORDS, [100], tries=2, epsilon=1.0, max_loops=2)
+    (docs, more), (tf, words) = _experiment(spark, sf_dir), features(spark, sf_dir)
+    return experiments.labelled_sizes(docs, more, tf, words, [100], tries=2, epsilon=1.0, max_loops=2)
 
 
 @query()
 def exp_1c(spark, sf_dir):
-    docs, _, tf = _experiment(spark, sf_dir)
-    return experiments.scaling_kinds(docs, tf, WORDS, 1000, k=3)
+    (docs, _), (tf, words) = _experiment(spark, sf_dir), features(spark, sf_dir)
+    return experiments.scaling_kinds(docs, tf, words, 10_000, k=5)
 
 
 @query()
 def exp_2a(spark, sf_dir):
-    docs, more, tf = _experiment(spark, sf_dir)
-    vectors = C.dense_rows(docs, tf.where(F.col("word_id") <= WIDTH), WIDTH).select("doc_id", F.col("features").alias("x"))
-    return experiments.group_assumption(docs, more, tf, vectors, WORDS, 100, [2, 3], tries=2, max_loops=2)
+    (docs, more), (tf, words) = _experiment(spark, sf_dir), features(spark, sf_dir)
+    vectors = _counts(spark, sf_dir, docs)
+    return experiments.group_assumption(docs, more, tf, vectors, words, 100, [2, 3], tries=2, max_loops=2)
 
 
 _TWO = "CAST(format('{:.2f}', round(%s, 4)) AS DOUBLE)"

@@ -11,12 +11,11 @@ from ..operators import corpus as C
 from ..operators import metrics
 from ..operators.split import stratified_folds
 from ..plans import mixture as M
-from ..session import table
-from .corpus import TF, TOP, VOCAB, labelled, tf_of, top_words
+from ..session import checkpointed, table
+from .corpus import STOP, STOP_SQL, TF, VOCAB, labelled, tf_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-WORDS = 300
 ONE, MANY = [1, 1], [2, 3]
 #: Loops of a converged fit, beyond which the query fails.
 LOOPS = 1000
@@ -32,10 +31,12 @@ def query(sql: str | None = None):
     return add
 
 
-def _features(spark, sf_dir):
-    """tf over the most frequent words, as long as there are so many."""
-    tf = tf_of(spark, sf_dir)
-    return C.ranked_features(tf, top_words(tf, WORDS))
+def features(spark, sf_dir):
+    """(tf(doc_id, word_id, n), words): the whole vocabulary without stop words and words found once; saved, as every step reads it."""
+    tf = checkpointed(tf_of(spark, sf_dir))
+    kept = C.without_rare_words(C.without_stop_words(tf, spark.createDataFrame([(w,) for w in STOP], "word string")), tf)
+    kept = checkpointed(kept.select("doc_id", F.col("word").alias("word_id"), "n"))
+    return kept, kept.agg(F.count_distinct("word_id")).first()[0]
 
 
 def _documents(spark, sf_dir):
@@ -45,7 +46,9 @@ def _documents(spark, sf_dir):
 
 
 # SQL of the engine: lists of component owners, then CTEs for theta, scores and responsibilities.
-_BASE = f"{TF}, {VOCAB}, {TOP.format(k=WORDS)}, x AS (SELECT tf.doc_id, top.rank AS word_id, tf.n FROM tf JOIN top USING (word)), len AS (SELECT doc_id, sum(n) AS l FROM x GROUP BY doc_id), docs AS (SELECT d.doc_id, l.quality AS y FROM documents d LEFT JOIN labels l USING (doc_id))"
+_X = f"{TF}, {VOCAB}, top AS MATERIALIZED (SELECT word FROM voc WHERE total >= 2 AND word NOT IN ({STOP_SQL})), x AS MATERIALIZED (SELECT tf.doc_id, tf.word AS word_id, tf.n FROM tf SEMI JOIN top USING (word))"
+_WORDS = "(SELECT CAST(count(*) AS DOUBLE) FROM top)"
+_BASE = f"{_X}, len AS (SELECT doc_id, sum(n) AS l FROM x GROUP BY doc_id), docs AS (SELECT d.doc_id, l.quality AS y FROM documents d LEFT JOIN labels l USING (doc_id))"
 
 
 def _owners(counts: list[int]) -> str:
@@ -55,7 +58,7 @@ def _owners(counts: list[int]) -> str:
 
 def _theta(i: int, resp: str) -> str:
     return f"""cnt{i} AS (SELECT k, word_id, sum(w * n) AS c FROM {resp} JOIN x USING (doc_id) GROUP BY ALL),
-base{i} AS (SELECT p.k, p.y AS owner, ln((coalesce(s.s, 0) + 1e0) / (sum(coalesce(s.s, 0)) OVER () + count(*) OVER ())) AS lp, ln(coalesce(t.t, 0) + {WORDS}e0) AS lt
+base{i} AS (SELECT p.k, p.y AS owner, ln((coalesce(s.s, 0) + 1e0) / (sum(coalesce(s.s, 0)) OVER () + count(*) OVER ())) AS lp, ln(coalesce(t.t, 0) + {_WORDS}) AS lt
   FROM part p LEFT JOIN (SELECT k, sum(w) AS s FROM {resp} GROUP BY k) s USING (k) LEFT JOIN (SELECT k, sum(c) AS t FROM cnt{i} GROUP BY k) t USING (k))"""
 
 
@@ -107,10 +110,10 @@ def multinomial_logpmf(spark, sf_dir):
 
 
 def _bayes(spark, sf_dir, counts=ONE):
-    docs, tf = _documents(spark, sf_dir), _features(spark, sf_dir)
+    docs, (tf, words) = _documents(spark, sf_dir), features(spark, sf_dir)
     parts = M.several_parts(docs, counts)
     start = M.hard_start(docs, parts) if max(counts) == 1 else M.random_start(docs, counts)
-    return docs, tf, parts, M.maximise(start, tf, parts, WORDS)
+    return docs, tf, parts, M.maximise(start, tf, parts, words), words
 
 
 _NB = f"WITH {_BASE}, {_owners(ONE)}, {_HARD}, {_theta(0, 'start')}"
@@ -121,37 +124,35 @@ def nb_prior(spark, sf_dir):
     return _bayes(spark, sf_dir)[3].base.select("y", F.round("log_prior", 9).alias("log_prior"))
 
 
-@query(f"{_NB} SELECT CAST(b.owner AS INTEGER) AS y, top.word, round(ln(coalesce(c.c, 0e0) + 1e0) - b.lt, 9) AS log_p FROM base0 b CROSS JOIN top LEFT JOIN cnt0 c ON c.k = b.k AND c.word_id = top.rank")
+@query(f"{_NB} SELECT CAST(b.owner AS INTEGER) AS y, top.word, round(ln(coalesce(c.c, 0e0) + 1e0) - b.lt, 9) AS log_p FROM base0 b CROSS JOIN top LEFT JOIN cnt0 c ON c.k = b.k AND c.word_id = top.word")
 def nb_word_prob(spark, sf_dir):
-    tf = tf_of(spark, sf_dir)
-    theta = _bayes(spark, sf_dir)[3]
-    words = top_words(tf, WORDS)
-    every = words.select("word", F.col("rank").alias("word_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
-    joined = every.join(theta.seen, ["k", "word_id"], "left").join(theta.base, "k")
-    return joined.select("y", "word", F.round(F.coalesce("log_count", F.lit(0.0)) - F.col("log_total"), 9).alias("log_p"))
+    _, tf, _, theta, _ = _bayes(spark, sf_dir)
+    every = tf.select("word_id").distinct().select("word_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    joined = every.join(theta.seen, ["k", "word_id"], "left").join(F.broadcast(theta.base), "k")
+    return joined.select("y", F.col("word_id").alias("word"), F.round(F.coalesce("log_count", F.lit(0.0)) - F.col("log_total"), 9).alias("log_p"))
 
 
-@query(f"{_NB}, {_score(0)} SELECT doc_id, CAST(k AS INTEGER) AS k, round(score, 6) AS score FROM sc0")
+@query(f"{_NB}, {_score(0)} SELECT doc_id, CAST(k AS INTEGER) AS k, round(score, 3) AS score FROM sc0")
 def nb_scores(spark, sf_dir):
-    docs, tf, _, theta = _bayes(spark, sf_dir)
-    return M.scores(docs, tf, theta).select("doc_id", "k", F.round("score", 6).alias("score"))
+    docs, tf, _, theta, _ = _bayes(spark, sf_dir)
+    return M.scores(docs, tf, theta).select("doc_id", "k", F.round("score", 3).alias("score"))
 
 
 @query(f"{_NB}, {_score(0)}, {_pred(0)} SELECT p.doc_id, p.predicted FROM pred p JOIN docs d USING (doc_id) WHERE d.y IS NULL")
 def nb_predict(spark, sf_dir):
-    docs, tf, _, theta = _bayes(spark, sf_dir)
+    docs, tf, _, theta, _ = _bayes(spark, sf_dir)
     return M.predict(docs.where("y is null"), tf, theta).select("doc_id", "predicted")
 
 
 @query(f"{_NB}, {_score(0)}, {_resp(0)} SELECT doc_id, CAST(k AS INTEGER) AS k, round(w, 7) AS w FROM re0")
 def em_estep(spark, sf_dir):
-    docs, tf, _, theta = _bayes(spark, sf_dir)
+    docs, tf, _, theta, _ = _bayes(spark, sf_dir)
     return M.responsibilities(M.scores(docs, tf, theta)).select("doc_id", "k", F.round("w", 7).alias("w"))
 
 
 def _one_step(spark, sf_dir, loops):
-    docs, tf, parts, theta = _bayes(spark, sf_dir)
-    return docs, tf, M.expectation_maximisation(docs, tf, parts, theta, WORDS, epsilon=-1.0, max_loops=loops)
+    docs, tf, parts, theta, words = _bayes(spark, sf_dir)
+    return docs, tf, M.expectation_maximisation(docs, tf, parts, theta, words, epsilon=-1.0, max_loops=loops)
 
 
 @query(f"{_em_sql(ONE, _HARD, 1)} SELECT CAST(k AS INTEGER) AS k, round(lp, 7) AS log_prior, round(lt, 7) AS log_total FROM base1")
@@ -162,7 +163,7 @@ def em_mstep(spark, sf_dir):
 
 @query(f"{_NB}, {_score(0)}, {_resp(0)} SELECT round(sum(w * score), 2) AS q FROM re0")
 def em_loglik(spark, sf_dir):
-    docs, tf, _, theta = _bayes(spark, sf_dir)
+    docs, tf, _, theta, _ = _bayes(spark, sf_dir)
     return M.objective(M.responsibilities(M.scores(docs, tf, theta))).select(F.round("q", 2).alias("q"))
 
 
@@ -178,8 +179,8 @@ def _require(converged: bool) -> None:
 
 @query()
 def em_converged(spark, sf_dir):
-    docs, tf, parts, theta = _bayes(spark, sf_dir)
-    fit = M.expectation_maximisation(docs, tf, parts, theta, WORDS, max_loops=LOOPS)
+    docs, tf, parts, theta, words = _bayes(spark, sf_dir)
+    fit = M.expectation_maximisation(docs, tf, parts, theta, words, max_loops=LOOPS)
     _require(fit.converged)
     return M.predict(docs.where("y is null"), tf, fit.theta).select("doc_id", "predicted", F.lit(fit.loops).alias("loops"))
 
@@ -200,40 +201,40 @@ _ASSIGNED = f"start AS (SELECT doc_id, CASE WHEN y = 0 THEN {portable_hash_sql('
 def m2o_nb_assigned(spark, sf_dir):
     from ..functions.scalar import portable_hash
 
-    docs, tf = _documents(spark, sf_dir), _features(spark, sf_dir)
+    docs, (tf, words) = _documents(spark, sf_dir), features(spark, sf_dir)
     h = portable_hash(F.col("doc_id"), 5)
     assignment = docs.where("y is not null").select("run_id", "doc_id", F.when(F.col("y") == 0, h % 2).otherwise(2 + h % 3).cast("int").alias("k"))
-    model = M.MultinomialModel(docs, tf, WORDS, MANY, assignment=assignment).train()
+    model = M.MultinomialModel(docs, tf, words, MANY, assignment=assignment).train()
     return model.test(docs).select("doc_id", "predicted")
 
 
 @query(f"{_em_sql(MANY, _random(MANY), 2)} SELECT doc_id, CAST(k AS INTEGER) AS k, round(w, 4) AS w FROM re2")
 def m2o_em_fixed_iterations(spark, sf_dir):
-    docs, tf, parts, theta = _bayes(spark, sf_dir, MANY)
-    fit = M.expectation_maximisation(docs, tf, parts, theta, WORDS, epsilon=-1.0, max_loops=2)
+    docs, tf, parts, theta, words = _bayes(spark, sf_dir, MANY)
+    fit = M.expectation_maximisation(docs, tf, parts, theta, words, epsilon=-1.0, max_loops=2)
     return fit.resp.select("doc_id", "k", F.round("w", 4).alias("w"))
 
 
 @query(f"{_M2O}, {_score(0)}, {_pred(0)} SELECT doc_id, predicted FROM pred")
 def m2o_predict(spark, sf_dir):
-    docs, tf, _, theta = _bayes(spark, sf_dir, MANY)
+    docs, tf, _, theta, _ = _bayes(spark, sf_dir, MANY)
     return M.predict(docs, tf, theta).select("doc_id", "predicted")
 
 
 @query()
 def m2o_em_converged(spark, sf_dir):
-    docs, tf = _documents(spark, sf_dir), _features(spark, sf_dir)
-    model = M.MultinomialModel(docs, tf, WORDS, MANY, semi=True, max_loops=LOOPS).train()
+    docs, (tf, words) = _documents(spark, sf_dir), features(spark, sf_dir)
+    model = M.MultinomialModel(docs, tf, words, MANY, semi=True, max_loops=LOOPS).train()
     _require(model.converged)
     return model.test(docs.where("y is null")).select("doc_id", "predicted", F.lit(model.loops).alias("loops"))
 
 
 # Evaluation: five folds of the labelled documents; fold r is tested by a model of the other folds.
 _FOLD = f"fd AS (SELECT doc_id, quality AS y, CAST((row_number() OVER (PARTITION BY quality ORDER BY {portable_hash_sql('doc_id')}, doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels WHERE quality IS NOT NULL)"
-_EVAL = f"""WITH {TF}, {VOCAB}, {TOP.format(k=WORDS)}, x AS (SELECT tf.doc_id, top.rank AS word_id, tf.n FROM tf JOIN top USING (word)), len AS (SELECT doc_id, sum(n) AS l FROM x GROUP BY doc_id), {_FOLD},
+_EVAL = f"""WITH {_X}, len AS (SELECT doc_id, sum(n) AS l FROM x GROUP BY doc_id), {_FOLD},
 run AS (SELECT DISTINCT fold AS run_id FROM fd), tr AS (SELECT r.run_id, f.doc_id, f.y FROM run r JOIN fd f ON f.fold <> r.run_id),
 cnt AS (SELECT run_id, y AS k, word_id, sum(n) AS c FROM tr JOIN x USING (doc_id) GROUP BY ALL),
-base AS (SELECT r.run_id, k.k, ln((coalesce(s.s, 0) + 1e0) / (sum(coalesce(s.s, 0)) OVER (PARTITION BY r.run_id) + 2)) AS lp, ln(coalesce(t.t, 0) + {WORDS}e0) AS lt
+base AS (SELECT r.run_id, k.k, ln((coalesce(s.s, 0) + 1e0) / (sum(coalesce(s.s, 0)) OVER (PARTITION BY r.run_id) + 2)) AS lp, ln(coalesce(t.t, 0) + {_WORDS}) AS lt
   FROM run r CROSS JOIN (SELECT unnest([0, 1]) AS k) k LEFT JOIN (SELECT run_id, y AS k, count(*) AS s FROM tr GROUP BY ALL) s ON s.run_id = r.run_id AND s.k = k.k LEFT JOIN (SELECT run_id, k, sum(c) AS t FROM cnt GROUP BY ALL) t ON t.run_id = r.run_id AND t.k = k.k),
 sc AS (SELECT b.run_id, f.doc_id, f.y, b.k, b.lp - coalesce(len.l, 0) * b.lt + coalesce(s.s, 0e0) AS score FROM fd f JOIN base b ON b.run_id = f.fold LEFT JOIN len USING (doc_id)
   LEFT JOIN (SELECT c.run_id, x.doc_id, c.k, sum(x.n * ln(c.c + 1e0)) AS s FROM x JOIN cnt c USING (word_id) GROUP BY ALL) s ON s.run_id = b.run_id AND s.doc_id = f.doc_id AND s.k = b.k),
@@ -246,10 +247,10 @@ fig AS (SELECT run_id, y, CAST(support AS BIGINT) AS support, p, r, coalesce(2 *
 
 def _evaluated(spark, sf_dir):
     docs = stratified_folds(labelled(spark, sf_dir), 5, "y")
-    tf = _features(spark, sf_dir)
+    tf, words = features(spark, sf_dir)
     runs = F.array(*[F.lit(i) for i in range(5)])
     training = docs.select(F.explode(runs).alias("run_id"), "doc_id", "y", "fold").where("run_id <> fold").drop("fold")
-    model = M.MultinomialModel(training, tf, WORDS, ONE).train()
+    model = M.MultinomialModel(training, tf, words, ONE).train()
     test = docs.select(F.col("fold").alias("run_id"), "doc_id", "y")
     return model.test(test.select("run_id", "doc_id")).join(test, ["run_id", "doc_id"])
 
