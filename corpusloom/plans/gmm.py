@@ -104,25 +104,31 @@ def expectation_maximisation(points: DataFrame, start: DataFrame | None = None,
     return Fit(params, loops, moved)
 
 
+def param_cells(params: DataFrame) -> DataFrame:
+    """k, i, j, pi, mu (of i) and cov of every cell; places from 0."""
+    lines = params.select("k", "pi", "mu", F.posexplode("cov").alias("i", "_line"))
+    return lines.select("k", "pi", "mu", "i", F.posexplode("_line").alias("j", "cov")).select("k", "i", "j", "pi", F.get("mu", F.col("i")).alias("mu"), "cov")
+
+
 def leave_one_out_params(points: DataFrame) -> DataFrame:
-    """k, pi, mu, cov averaged over the supervised fits that leave out one labelled point each.
+    """k, i, j, pi, mu, cov averaged over the supervised fits that leave out one labelled point each.
 
-    Each fit is the full sums less one point, so one pass over the points gives all.
+    Each fit is the full sums less one point; summed over the points of a class
+    of n, with sums S, the left-out covariances are S_ij - ((n - 2) S_i S_j + S_ij) / (n - 1)^2
+    and the left-out means S_i, so the classes' own sums give the averages.
     """
-    labelled = points.where("y is not null").select("doc_id", F.col("y").alias("k"), "x")
-    cells = labelled.select("k", "doc_id", F.posexplode("x").alias("i", "a"), "x").select("k", "doc_id", "i", "a", F.posexplode("x").alias("j", "b"))
-    sums = cells.groupBy("k", "i", "j").agg(F.count("*").alias("n"), F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.sum(F.col("a") * F.col("b")).alias("sab"))
-    total = labelled.count()
-    joined = cells.join(sums, ["k", "i", "j"])
-    m = F.col("n") - 1
-    mean_a, mean_b = (F.col("sa") - F.col("a")) / m, (F.col("sb") - F.col("b")) / m
-    without = joined.where("n > 1").groupBy("k", "i", "j").agg(F.first("n").alias("n"), F.sum(mean_a).alias("mu"), F.sum((F.col("sab") - F.col("a") * F.col("b")) / m - mean_a * mean_b).alias("cov"))
-    both = without.join(sums.select("k", "i", "j", "sa", "sb", "sab"), ["k", "i", "j"])
+    sizes = points.where("y is not null").groupBy(F.col("y").alias("k")).agg(F.count("*").cast("double").alias("n"))
+    params = class_params(points)
+    means = params.select("k", F.posexplode("mu").alias("j", "mu_j"))
+    # One row a class, and one a class and dimension.
+    cells = param_cells(params).join(F.broadcast(sizes), "k").join(F.broadcast(means), ["k", "j"]).where("n > 1")
+    n, total = F.col("n"), F.col("n") / F.col("pi")
+    both = n * n * F.col("mu") * F.col("mu_j")
+    products = n * (F.col("cov") + F.col("mu") * F.col("mu_j"))
+    without = products - ((n - 2) * both + products) / ((n - 1) * (n - 1))
     # In the runs that leave out a point of another class, this class is whole.
-    rest = F.lit(total) - F.col("n")
-    full_mu, full_cov = F.col("sa") / F.col("n"), F.col("sab") / F.col("n") - F.col("sa") / F.col("n") * F.col("sb") / F.col("n")
-    pi = (F.col("n") * (F.col("n") - 1) + rest * F.col("n")) / (F.lit(total) * F.lit(max(1, total - 1)))
-    return both.select("k", "i", "j", pi.alias("pi"), ((F.col("mu") + rest * full_mu) / total).alias("mu"), ((F.col("cov") + rest * full_cov) / total).alias("cov"))
+    pi = n * (total - 1) / (total * F.greatest(F.lit(1.0), total - 1))
+    return cells.select("k", "i", "j", pi.alias("pi"), "mu", ((without + (total - n) * F.col("cov")) / total).alias("cov"))
 
 
 def scaling_grid(points: DataFrame, test: DataFrame, scales: tuple[float, ...] = (0.3, 0.5, 0.7, 1.0), epsilon: float = 1e-3, max_loops: int = 1000, seed: int = 0) -> DataFrame:

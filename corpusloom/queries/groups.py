@@ -123,74 +123,56 @@ def tree_cut_value_search(spark, sf_dir):
     return cut.select("doc_id", "part", F.lit(value).alias("cut_value"))
 
 
-# Points of the queries with SQL: the first two components of each vector and three classes; even ids are labelled.
-_POINTS = "pt AS (SELECT vec_id AS doc_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CASE WHEN vec_id % 2 = 0 THEN label % 3 END AS y FROM embeddings)"
-
-
-def _par(name: str, rows: str) -> str:
-    """Parameters from rows (k, w, a, b)."""
-    return f"""{name} AS (SELECT k, s / sum(s) OVER () AS pi, ma, mb, saa / s - ma * ma AS caa, sab / s - ma * mb AS cab, sbb / s - mb * mb AS cbb FROM
-  (SELECT k, sum(w) AS s, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb, sum(w * a * a) AS saa, sum(w * a * b) AS sab, sum(w * b * b) AS sbb FROM ({rows}) GROUP BY k))"""
-
-
-_DENSITY = "ln(p.pi) - ln(2 * pi()) - 0.5 * ln(p.caa * p.cbb - p.cab * p.cab) - 0.5 * (p.cbb * (t.a - p.ma) * (t.a - p.ma) - 2 * p.cab * (t.a - p.ma) * (t.b - p.mb) + p.caa * (t.b - p.mb) * (t.b - p.mb)) / (p.caa * p.cbb - p.cab * p.cab)"
-_HARD = _par("par", "SELECT y AS k, 1e0 AS w, a, b FROM pt WHERE y IS NOT NULL")
-_SCORED = f"{_POINTS}, {_HARD}, sc AS (SELECT t.doc_id, t.y, p.k, t.a, t.b, {_DENSITY} AS score FROM pt t CROSS JOIN par p)"
-_CELLS = "SELECT CAST(k AS INTEGER) AS k, round(pi, 8) AS pi, round(ma, 8) AS mu_a, round(mb, 8) AS mu_b, round(caa, 8) AS c_aa, round(cab, 8) AS c_ab, round(cbb, 8) AS c_bb FROM "
+# Points: whole vectors and all classes; even ids are labelled.  SQL states sums, not densities of so many dimensions.
+_SUMS = """v AS MATERIALIZED (SELECT vec_id AS doc_id, label AS k, i - 1 AS i, CAST(embedding[i] AS DOUBLE) AS a FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id % 2 = 0 AND label IS NOT NULL)),
+total AS (SELECT CAST(count(*) AS DOUBLE) AS t FROM embeddings WHERE vec_id % 2 = 0 AND label IS NOT NULL),
+par AS MATERIALIZED (SELECT x.k, x.i, y.i AS j, CAST(count(*) AS DOUBLE) AS n, sum(x.a) AS sa, sum(y.a) AS sb, sum(x.a * y.a) AS sab FROM v x JOIN v y USING (doc_id, k) GROUP BY ALL)"""
+_CELLS = "SELECT k, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(pi, 8) AS pi, round(mu, 8) AS mu, round(cov, 8) AS cov FROM "
 
 
 def _points(spark, sf_dir):
-    x = F.transform(F.slice("embedding", 1, 2), lambda v: v.cast("double"))
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), x.alias("x"), F.when(F.col("vec_id") % 2 == 0, F.col("label") % 3).alias("y"))
-
-
-def _whole_points(spark, sf_dir):
-    """All components and classes, for the queries without SQL."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), x.alias("x"), F.when(F.col("vec_id") % 2 == 0, F.col("label")).alias("y"))
 
 
-def _flat(params):
-    cells = {"mu_a": F.col("mu")[0], "mu_b": F.col("mu")[1], "c_aa": F.col("cov")[0][0], "c_ab": F.col("cov")[0][1], "c_bb": F.col("cov")[1][1]}
-    return params.select("k", F.round("pi", 8).alias("pi"), *[F.round(v, 8).alias(n) for n, v in cells.items()])
+def _rounded(cells):
+    return cells.select("k", "i", "j", *[F.round(x, 8).alias(x) for x in ("pi", "mu", "cov")])
 
 
-@query(f"WITH {_POINTS}, {_HARD} {_CELLS} par")
+@query(f"WITH {_SUMS}, p AS (SELECT k, i, j, n / t AS pi, sa / n AS mu, sab / n - sa / n * sb / n AS cov FROM par, total) {_CELLS} p")
 def gmm_params(spark, sf_dir):
-    return _flat(gmm.class_params(_points(spark, sf_dir)))
+    return _rounded(gmm.param_cells(gmm.class_params(_points(spark, sf_dir))))
 
 
-@query(f"WITH {_SCORED} SELECT doc_id, CAST(arg_max(k, (score, -k)) AS INTEGER) AS predicted FROM sc GROUP BY doc_id")
+@query()
 def gmm_predict(spark, sf_dir):
     points = _points(spark, sf_dir)
     return gmm.predict(points, gmm.class_params(points))
 
 
-@query(f"""WITH {_SCORED}, re AS (SELECT k, a, b, CASE WHEN y IS NULL THEN exp(score - m) / sum(exp(score - m)) OVER (PARTITION BY doc_id) WHEN y = k THEN 1e0 ELSE 0e0 END AS w
-FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS m FROM sc)), {_par("nxt", "SELECT k, w, a, b FROM re")} {_CELLS} nxt""")
+@query()
 def gmm_em_step(spark, sf_dir):
     points = _points(spark, sf_dir)
-    return _flat(gmm.weighted_params(gmm.responsibilities(gmm.scores(points, gmm.class_params(points))), points))
+    return _rounded(gmm.param_cells(gmm.weighted_params(gmm.responsibilities(gmm.scores(points, gmm.class_params(points))), points)))
 
 
 @query()
 def gmm_em_converged(spark, sf_dir):
-    points = _whole_points(spark, sf_dir)
+    points = _points(spark, sf_dir)
     fit = gmm.expectation_maximisation(points, max_loops=LOOPS, must=True)
     return gmm.predict(points.where("y is null"), fit.params).withColumn("loops", F.lit(fit.loops))
 
 
-@query(f"""WITH {_POINTS}, lab AS (SELECT * FROM pt WHERE y IS NOT NULL), one AS (SELECT o.doc_id AS run, t.y AS k, count(*) AS n, avg(t.a) AS ma, avg(t.b) AS mb, avg(t.a * t.a) - avg(t.a) * avg(t.a) AS caa, avg(t.a * t.b) - avg(t.a) * avg(t.b) AS cab, avg(t.b * t.b) - avg(t.b) * avg(t.b) AS cbb
-FROM lab o JOIN lab t ON t.doc_id <> o.doc_id GROUP BY ALL), m AS (SELECT k, avg(n / ((SELECT count(*) FROM lab) - 1)) AS pi, avg(ma) AS ma, avg(mb) AS mb, avg(caa) AS caa, avg(cab) AS cab, avg(cbb) AS cbb FROM one GROUP BY k) {_CELLS} m""")
+@query(f"""WITH {_SUMS}, one AS (SELECT p.*, (p.sa - x.a) / (p.n - 1) AS ma, (p.sb - y.a) / (p.n - 1) AS mb, (p.sab - x.a * y.a) / (p.n - 1) AS mab FROM par p JOIN v x ON x.k = p.k AND x.i = p.i JOIN v y ON y.k = p.k AND y.i = p.j AND y.doc_id = x.doc_id WHERE p.n > 1),
+w AS (SELECT k, i, j, any_value(n) AS n, any_value(sa) AS sa, any_value(sb) AS sb, any_value(sab) AS sab, sum(ma) AS mu, sum(mab - ma * mb) AS cov FROM one GROUP BY k, i, j),
+m AS (SELECT k, i, j, (n * (n - 1) + (t - n) * n) / (t * (t - 1)) AS pi, (mu + (t - n) * sa / n) / t AS mu, (cov + (t - n) * (sab / n - sa / n * sb / n)) / t AS cov FROM w, total) {_CELLS} m""")
 def gmm_loo_average(spark, sf_dir):
-    cells = gmm.leave_one_out_params(_points(spark, sf_dir))
-    pick = lambda c, i, j: F.round(F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col(c))), 8)
-    return cells.groupBy(F.col("k").cast("int").alias("k")).agg(F.round(F.max("pi"), 8).alias("pi"), pick("mu", 0, 0).alias("mu_a"), pick("mu", 1, 1).alias("mu_b"), pick("cov", 0, 0).alias("c_aa"), pick("cov", 0, 1).alias("c_ab"), pick("cov", 1, 1).alias("c_bb"))
+    return _rounded(gmm.leave_one_out_params(_points(spark, sf_dir)))
 
 
 @query()
 def gmm_scaling_grid(spark, sf_dir):
-    points = _whole_points(spark, sf_dir)
+    points = _points(spark, sf_dir)
     test = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("y")).join(points.where("y is null").drop("y"), "doc_id")
     return gmm.scaling_grid(points, test.select("doc_id", "x", "y"), max_loops=LOOPS)
 

@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import math
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -19,6 +24,7 @@ from corpusloom.plans import gmm
 from corpusloom.plans import mixture as M
 from corpusloom.plans.tree import cut_by_count, grow, trees
 from corpusloom.queries import models
+from corpusloom.session import numbered_within
 from corpusloom.sources import readers, writers
 
 VOCABULARY = "a name atheism resources last modified december version atheist adaffdaf".split()
@@ -160,6 +166,21 @@ def test_mixture_reads_whole_vectors_and_all_classes(spark, tmp_path):
     assert len(set(want.values())) == 5 and np.mean([label[i] == k for i, k in want.items()]) > 0.9
 
 
+def test_mixture_step_and_prediction(spark, tmp_path):
+    x, label = _mixture_fixture(spark, tmp_path)
+    known, hard = np.arange(300) % 2 == 0, np.eye(5)[label]
+    first = _fit(x[known], hard[known])
+    s = _log_scores(x, *first)
+    found = {r["doc_id"]: r["predicted"] for r in catalog.QUERIES["gmm_predict"](spark, str(tmp_path)).collect()}
+    assert [found[i] for i in range(300)] == s.argmax(1).tolist()
+    w = np.exp(s - s.max(1, keepdims=True))
+    pi, mu, cov = _fit(x, np.where(known[:, None], hard, w / w.sum(1, keepdims=True)))
+    cells = catalog.QUERIES["gmm_em_step"](spark, str(tmp_path)).collect()
+    assert len(cells) == 5 * 36
+    for r in cells:
+        assert (r["pi"], r["mu"], r["cov"]) == pytest.approx((pi[r["k"]], mu[r["k"]][r["i"]], cov[r["k"]][r["i"], r["j"]]), abs=1e-7)
+
+
 def test_converged_queries_converge_or_fail(spark, monkeypatch):
     fits, plain = [], M.expectation_maximisation
     monkeypatch.setattr(M, "expectation_maximisation", lambda *a, **k: fits.append((plain(*a, **k), k.get("epsilon", a[5] if len(a) > 5 else 1e-4))) or fits[-1][0])
@@ -217,7 +238,7 @@ def test_writers_round_trip(spark, tf, tmp_path):
 
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["tokenize_counts", "corpus_info", "class_reindex", "l1_scale", "topic_first_match", "equal_class_test_split", "stratified_kfold", "mi_topk_features", "nb_predict", "em_estep", "m2o_predict", "class_metrics", "match_distance", "nearest_pair", "gmm_em_step", "gmm_loo_average"]
+NAMES = ["tokenize_counts", "corpus_info", "class_reindex", "l1_scale", "topic_first_match", "equal_class_test_split", "stratified_kfold", "mi_topk_features", "nb_predict", "em_estep", "m2o_predict", "class_metrics", "match_distance", "nearest_pair", "gmm_params", "gmm_loo_average"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -233,6 +254,28 @@ def test_queries_match_sql(spark, name):
     assert sorted(map(repr, (plain(r) for r in got.select(*names).collect()))) == sorted(map(repr, map(plain, want.fetchall())))
 
 
+def test_places_within_a_class(spark, monkeypatch):
+    """One class of most rows, over several range partitions; nulls are a class."""
+    rows = [(i, None if i % 50 == 0 else "big" if i % 7 else f"small{i % 3}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, label string")
+    got = {r["doc_id"]: r["at"] for r in numbered_within(df, "at", "label", F.desc("doc_id")).collect()}
+    want = {}
+    for name in {x for _, x in rows}:
+        want |= {d: i for i, d in enumerate(sorted((d for d, x in rows if x == name), reverse=True), 1)}
+    assert got == want
+
+
+def test_entry_module_without_the_training_data_operators(tmp_path):
+    """Without the subpackage and its tests, with or without the pipeline module, the other queries are still there."""
+    root = Path(__spark_entry__.__file__).parent
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'nb_predict' in q and 'pipeline' not in q and not [x for x in q if x.startswith('op1_')]; e.oracle_sql()"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    for _ in range(2):
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=env, check=True)
+        (tmp_path / "repo" / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
 def test_entry_module(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
