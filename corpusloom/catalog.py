@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import corpus, groups, models
+from .queries import corpus, files, groups, models
 
-QUERIES: dict = {**corpus.QUERIES, **models.QUERIES, **groups.QUERIES}
-SQL: dict[str, str] = {**corpus.SQL, **models.SQL, **groups.SQL}
+QUERIES: dict = {**corpus.QUERIES, **models.QUERIES, **groups.QUERIES, **files.QUERIES}
+SQL: dict[str, str] = {**corpus.SQL, **models.SQL, **groups.SQL, **files.SQL}

@@ -63,6 +63,17 @@ def ranked_features(tf: DataFrame, ranks: DataFrame, k: int = 0) -> DataFrame:
     return tf.join(chosen.select("word", F.col("rank").alias("word_id")), "word").select("doc_id", "word_id", "n")
 
 
+def bottom_features(tf: DataFrame, ranks: DataFrame, k: int) -> DataFrame:
+    """tf over the last k words of a rank list; word_id is the place among them, from 1.
+
+    k = -1 stands for all words but the first of the list, k = 0 for the whole list.
+    """
+    total = ranks.agg(F.max("rank")).scalar()
+    before = F.lit(1) if k == -1 else F.greatest(total - F.lit(k), F.lit(0)) if k > 0 else F.lit(0)
+    chosen = ranks.withColumn("word_id", F.col("rank") - before).where("word_id > 0").drop("rank")
+    return tf.join(chosen, "word").select("doc_id", "word_id", "n")
+
+
 def nonzero_documents(docs: DataFrame, tf: DataFrame) -> DataFrame:
     return docs.join(tf.where("n <> 0").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
 

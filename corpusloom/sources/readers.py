@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..session import checkpointed, numbered
+
 
 @dataclass
 class Dataset:
@@ -36,14 +38,18 @@ def dense_csv_unlabelled(spark: SparkSession, path: str) -> DataFrame:
 
 
 def positional(spark: SparkSession, path: str, value: str = "value", first: int = 1) -> DataFrame:
-    """(pos, value) of a file with one value a line; pos counts lines from ``first``."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim(F.regexp_replace("value", "\\r", "")), "\n")))
-    return lines.select((F.col("pos") + first).cast("long").alias("pos"), F.trim("col").alias(value)).where(F.col(value) != "")
+    """(pos, value) of a file, or the part files of a folder, with one value a line; pos counts lines from ``first``.
+
+    Files are split as any text is: no task reads a whole one.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    # Lines keep their order within a block; blocks and files are in order by name and start.
+    return numbered(checkpointed(lines), "_pos", F.col("_file"), F.col("_block"), F.col("_at")).select((F.col("_pos") - 1 + first).alias("pos"), F.trim(F.regexp_replace("value", "\\r", "")).alias(value)).where(F.col(value) != "")
 
 
 def class_map(spark: SparkSession, path: str) -> DataFrame:
     """(y, name) from one line of comma-separated names; y is the place from 0."""
-    first = spark.read.text(path, wholetext=True).select(F.element_at(F.split("value", "\n"), 1).alias("line"))
+    first = spark.read.text(path).where("trim(value) <> ''").limit(1).select(F.col("value").alias("line"))
     return first.select(F.posexplode(F.split("line", ","))).select(F.col("pos").alias("y"), F.trim("col").alias("name"))
 
 
@@ -56,6 +62,16 @@ def triples(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("t")[0].alias("doc_id"), F.col("t")[1].cast("int").alias("word_id"), F.col("t")[2].cast("int").alias("n"))
 
 
+def topic_list(spark: SparkSession, path: str) -> list[str]:
+    """The topics of a list, one a line, trimmed: a few hundred that come to the driver."""
+    return [r["pos_value"] for r in positional(spark, path, "pos_value").orderBy("pos").collect()]
+
+
+def counters(spark: SparkSession, path: str) -> DataFrame:
+    """(name, n) of lines ``name: n``."""
+    return spark.read.text(path).where("value like '%:%'").select(F.trim(F.substring_index("value", ":", 1)).alias("name"), F.trim(F.substring_index("value", ":", -1)).cast("long").alias("n"))
+
+
 def stop_words(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''").distinct()
 

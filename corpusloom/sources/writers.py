@@ -32,6 +32,32 @@ def write_info(info: DataFrame, path: str) -> None:
     info.coalesce(1).sortWithinPartitions("kind", "n", "name").select(F.concat_ws(" ", "kind", "name", F.col("n").cast("string")).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_labels(docs: DataFrame, path: str, label: str = "label", order: str = "new_id") -> None:
+    """One label a line in the order of ``order``, over part files in order."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs.repartitionByRange(n, order).sortWithinPartitions(order).select(F.col(label).cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_counters(spark, counters: list[tuple[str, int]], path: str) -> None:
+    """A few named numbers, one line each."""
+    lines = [(i, f"{name}: {n}") for i, (name, n) in enumerate(counters)]
+    spark.createDataFrame(lines, "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(path)
+
+
+def write_summary(averages: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A table of averaged class figures, a line a class: figures as %6.2f, the support as %6.0f; then key and value lines.
+
+    averages(name, precision, recall, f1, support, accuracy) has one row a class; mode append adds a further table.
+    """
+    cells = [F.format_string("%6.2f", x) for x in ("precision", "recall", "f1")]
+    lines = averages.select(F.lit(0).alias("_part"), "name", F.concat_ws(" ", F.rpad("name", 12, " "), *cells, F.format_string("%6.0f", F.col("support").cast("double"))).alias("value"))
+    tail = averages.agg(F.max("accuracy").alias("a"), F.count("*").alias("n")).select(F.inline(F.array(
+        F.struct(F.lit(1).alias("_part"), F.lit("").alias("name"), F.format_string("Acc: %6.4f", "a").alias("value")),
+        F.struct(F.lit(2).alias("_part"), F.lit("").alias("name"), F.concat(F.lit("classes: "), F.col("n").cast("string")).alias("value")),
+    )))
+    lines.unionByName(tail).coalesce(1).sortWithinPartitions("_part", "name").select("value").write.mode(mode).text(path)
+
+
 def report_text(report: DataFrame, accuracy: float, labelled: int, unlabelled: int | None = None) -> str:
     """The text of one run's report: a line a class, the weighted average, counts and accuracy."""
     rows = report.orderBy(F.col("name") == "avg / total", F.col("name").try_cast("int"), "name").collect()
