@@ -145,7 +145,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 sets = [shingle_set(x, words).tobytes() for x in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_pydict({"doc": batch.column(0).cast(pa.int64()), "items": pa.array(sets, pa.binary())})
 
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(wanted.select(F.col("doc").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     return texts.mapInArrow(run, "doc long, items binary")
 
 
@@ -164,7 +164,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(range(len(names))).filter(pa.array(linked, pa.bool_()))
 
     fields = pairs.schema
-    return pairs.join(left, "a").join(right, "b").select(*names, "_x", "_y").mapInArrow(run, fields)
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select(*names, "_x", "_y").mapInArrow(run, fields)
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -237,7 +237,7 @@ def _open_cells(members: DataFrame, links: DataFrame, percent: int) -> DataFrame
 def _compared(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that join labels, cell by cell."""
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cells.join(sets, "doc").select("key", "i", "j", "doc", "label", "asked", "member", "items")
+    rows = cells.join(sets.hint("merge"), "doc").select("key", "i", "j", "doc", "label", "asked", "member", "items")
     dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +270,8 @@ def near_links(docs: DataFrame, reps: DataFrame, words: int = SHINGLE_WORDS, per
     """
     buckets = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("doc"), F.col("n_shingles").alias("n"))
     several = buckets.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
-    rest = saved(buckets.join(several, "key").distinct(), "op2-buckets")
+    # These tables grow with the corpus: merged at every size, never broadcast.
+    rest = saved(buckets.join(several.hint("merge"), "key").distinct(), "op2-buckets")
     if is_empty(rest):
         discard(rest)
         return None
