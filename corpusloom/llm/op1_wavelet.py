@@ -2,11 +2,13 @@
 
 ``write_shards`` encodes texts, cuts the id stream (ascending ``doc_id``) into
 shards and writes one file per shard: for every bit of the ids a bit plane in
-wavelet order with a rank directory, each section compressed on its own.
+wavelet order with a rank directory; planes are compressed in blocks, so that a
+lookup unpacks a few of them and not whole planes.
 ``WaveletShard`` answers access, rank, select, count and occurrence lookups
-from such a file; ``read_documents`` reads all files back as one row a document.
+from such a file; ``read_documents`` reads all files back as one row a document,
+``token_counts`` and ``token_places`` answer lookups over all files.
 
-Defined results: a null text is an empty one (its ids are the end id alone);
+Defined results: a text of any length is encoded whole; a null text is an empty one (its ids are the end id alone);
 rows without a ``doc_id`` come first, as null; rows that share a ``doc_id`` stay
 apart, ordered by text; an empty table writes no file; other columns of the
 input, whatever their names, are not read.
@@ -26,14 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import new_dir, read_file, saved, slices, table, write_file
+from .common import new_dir, read_file, saved, slices, spread, table, write_file
 from .tokens import encoder, vocabulary_path
 
 MAGIC = b"WVLTSHD1"
 END_ID = 1
 SHARD_TOKENS = 2_000_000
-#: Bits between two entries of a plane's rank directory.
+#: Bits between two entries of a plane's rank directory; bytes of a plane that are compressed together.
 RANK_STEP = 512
+PLANE_BLOCK = 16_384
 
 
 def _bits(values: np.ndarray, bit: int) -> np.ndarray:
@@ -59,17 +62,20 @@ def pack_shard(ids: np.ndarray, lengths: np.ndarray, doc_ids: list[int | None])
         zeros.append(n - int(np.count_nonzero(ones)))
     index, body, at = {}, [], 0
     for name, data in sections:
-        raw = data.tobytes()
-        packed = codec.compress(raw, asbytes=True) if raw else b""
-        index[name] = [at, len(packed), len(raw), data.dtype.str]
-        body.append(packed)
-        at += len(packed)
+        raw, sizes = data.tobytes(), []
+        step = PLANE_BLOCK if name.startswith("plane") else max(1, len(raw))
+        for start in range(0, len(raw), step):
+            packed = codec.compress(raw[start : start + step], asbytes=True)
+            sizes.append(len(packed))
+            body.append(packed)
+        index[name] = [at, sizes, step, len(raw), data.dtype.str]
+        at += sum(sizes)
     head = json.dumps({"n": n, "docs": len(doc_ids), "width": width, "zeros": zeros, "id_type": ids.dtype.str, "index": index}).encode()
     return MAGIC + len(head).to_bytes(4, "little") + head + b"".join(body)
 
 
 class WaveletShard:
-    """Reads a shard file; planes are unpacked when first used."""
+    """Reads a shard file; blocks of planes are unpacked when first used."""
 
     def __init__(self, data: bytes):
         if data[: len(MAGIC)] != MAGIC:
@@ -78,15 +84,30 @@ class WaveletShard:
         self.head = json.loads(data[12 : 12 + size])
         self.body = memoryview(data)[12 + size :]
         self.n, self.width, self.zeros = self.head["n"], self.head["width"], self.head["zeros"]
-        self._open: dict[str, np.ndarray] = {}
+        self._open: dict[str | tuple[str, int], np.ndarray] = {}
+        self._starts = {name: np.cumsum([at, *sizes]).tolist() for name, (at, sizes, *_) in self.head["index"].items()}
+
+    def _block(self, name: str, number: int) -> np.ndarray:
+        """A block of a section."""
+        if (name, number) not in self._open:
+            _, _, step, raw, kind = self.head["index"][name]
+            a, b = self._starts[name][number : number + 2]
+            self._open[name, number] = np.frombuffer(pa.Codec("zstd").decompress(self.body[a:b], min(step, raw - number * step), asbytes=True), kind)
+        return self._open[name, number]
 
     def section(self, name: str) -> np.ndarray:
         if name not in self._open:
-            at, packed, raw, kind = self.head["index"][name]
-            data = pa.Codec("zstd").decompress(self.body[at : at + packed], raw, asbytes=True) if raw else b""
-            self._open[name] = np.frombuffer(data, kind)
+            _, sizes, _, _, kind = self.head["index"][name]
+            self._open[name] = np.concatenate([self._block(name, i) for i in range(len(sizes))]) if sizes else np.zeros(0, kind)
         return self._open[name]
 
+    def _plane(self, bit: int, start: int, end: int) -> np.ndarray:
+        """Bytes [start, end) of a plane; they lie in one block, as ranks are counted in parts of one."""
+        block = start // PLANE_BLOCK
+        if start >= end:
+            return np.zeros(0, np.uint8)
+        return self._block(f"plane{bit}", block)[start - block * PLANE_BLOCK : end - block * PLANE_BLOCK]
+
     @property
     def doc_ids(self) -> list[int | None]:
         null = np.unpackbits(self.section("doc_null"), count=self.head["docs"])
@@ -99,9 +120,10 @@ class WaveletShard:
     def _rank1(self, bit: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
         block = i // RANK_STEP
-        plane = self.section(f"plane{bit}")
-        head = int(self.section(f"rank{bit}")[block])
-        bits = np.unpackbits(plane[block * RANK_STEP // 8 : i // 8 + 1])[: i - block * RANK_STEP]
+        head, inside = int(self.section(f"rank{bit}")[block]), i - block * RANK_STEP
+        if not inside:
+            return head
+        bits = np.unpackbits(self._plane(bit, block * RANK_STEP // 8, (i + 7) // 8))[:inside]
         return head + int(bits.sum())
 
     def _select(self, bit: int, value: int, k: int) -> int:
@@ -109,14 +131,14 @@ class WaveletShard:
         ranks = self.section(f"rank{bit}").astype(np.int64)
         before = ranks if value else np.arange(len(ranks)) * RANK_STEP - ranks
         block = int(np.searchsorted(before, k, side="right")) - 1
-        bits = np.unpackbits(self.section(f"plane{bit}")[block * RANK_STEP // 8 : (block + 1) * RANK_STEP // 8])
+        bits = np.unpackbits(self._plane(bit, block * RANK_STEP // 8, (block + 1) * RANK_STEP // 8))
         return block * RANK_STEP + int(np.flatnonzero(bits == value)[k - int(before[block])])
 
     def access(self, i: int) -> int:
         """The id at place i."""
         value = 0
         for level, bit in enumerate(range(self.width - 1, -1, -1)):
-            one = int(self.section(f"plane{bit}")[i // 8]) >> (7 - i % 8) & 1
+            one = int(self._plane(bit, i // 8, i // 8 + 1)[0]) >> (7 - i % 8) & 1
             ones = self._rank1(bit, i)
             i = self.zeros[level] + ones if one else i - ones
             value |= one << bit
@@ -227,6 +249,32 @@ def read_documents(manifest: DataFrame) -> DataFrame:
     return manifest.select("path", "start").repartition(parts, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
 
 
+def token_counts(manifest: DataFrame, tokens: list[int]) -> DataFrame:
+    """path, token, n: how often each token occurs in each shard file, from its ranks."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                shard = WaveletShard(read_file(path))
+                yield pa.RecordBatch.from_pydict({"path": [path] * len(tokens), "token": pa.array(tokens, pa.int64()), "n": pa.array([shard.count(x) for x in tokens], pa.int64())})
+
+    return spread(manifest.select("path"), "path").mapInArrow(read, "path string, token long, n long")
+
+
+def token_places(manifest: DataFrame, token: int, block: int = 65_536) -> DataFrame:
+    """place: every place of the token among all ids, from the shard files' selects; a batch holds ``block`` of them."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                shard = WaveletShard(read_file(path))
+                n = shard.count(token)
+                for low in range(0, n, block):
+                    yield pa.RecordBatch.from_pydict({"place": pa.array([start + shard.select(token, k) for k in range(low, min(n, low + block))], pa.int64())})
+
+    return spread(manifest.select("path", "start"), "path").mapInArrow(read, "place long")
+
+
 def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_shards(table(spark, sf_dir, "documents"), new_dir(spark, "op1-shards"))
     return read_documents(manifest).drop("shard")

@@ -11,7 +11,9 @@ Defined results: null and empty texts have only the structure features and get a
 score like any other; rows without a ``doc_id`` are scored and count as held out
 if crc32 of the empty text does; with no usable labels of both kinds every score
 is the share of good labels (0.5 without any); labels of one document must agree
-to be used; an empty table gives no rows; other columns are not read.
+to be used; of several rows of a labelled id one trains, that of the least
+features, and all are scored; texts of any length are read whole; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -137,7 +139,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
             found = [features(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_pydict({"order": batch.column(0), "label": batch.column(1).cast(pa.int32()), "index": pa.array([x.tobytes() for x, _ in found], pa.binary()), "value": pa.array([x.tobytes() for _, x in found], pa.binary())})
 
-    return rows.mapInArrow(run, "order long, label int, index binary, value binary")
+    found = rows.mapInArrow(run, "order long, label int, index binary, value binary")
+    # One row a labelled document, though its id may stand in many rows.
+    least = found.groupBy("order").agg(F.min(F.struct("label", "index", "value")).alias("r"))
+    return least.select("order", "r.label", "r.index", "r.value")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine | float:

@@ -8,8 +8,9 @@ the base rules pass and the score is at least a fixed threshold, so the same
 corpus always gives the same verdicts.
 
 Defined results: null and empty texts have no words and fail; rows without a
-``doc_id`` are judged like others and never count as labelled; equal rows are
-judged one by one; without labels, or without words, every score is 0; an empty
+``doc_id`` are judged like others and never count as labelled; a document that is
+labelled both good and bad is not trusted; equal rows are judged one by one;
+texts of any length are read whole; a score of exactly the threshold passes; without labels, or without words, every score is 0; an empty
 table gives no rows; other columns of the input are not read.
 """
 
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 from .common import SPACE, saved, table
 
 BUCKETS = 1 << 15
-#: Pseudo-counts of an average bucket: the target counts are smoothed towards the
-#: raw multinomial, so n-grams too rare to judge have a ratio near 1.
+#: The target counts are smoothed towards the raw multinomial, so n-grams too rare to
+#: judge have a ratio near 1: by pseudo-counts of an average bucket, which keep a small
+#: sample from judging, and by a share of the target's own size, which does not fade as it grows.
 SMOOTHING = 8.0
+SMOOTHING_SHARE = 0.1
 #: A document is kept from this mean log ratio on.
 THRESHOLD = -0.08
 MIN_WORDS = 20
@@ -74,14 +77,15 @@ def _grams(rows: DataFrame, *keys: str) -> DataFrame:
 
 def fit_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, ratio): the log ratio of each bucket that the corpus has; BUCKETS rows at most."""
-    trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("trusted", F.lit(1))
+    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("trusted"))
+    trusted = usable.where("trusted = 1").select("doc_id", F.lit(1).alias("trusted"))
     # The labels grow with the corpus: joined by a merge of both sides at every size, never broadcast.
     rows = docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left").select(F.coalesce("trusted", F.lit(0)).alias("trusted"), words_of(F.col("text")).alias("w"))
     counts = saved(_grams(rows, "trusted").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")), "op5-counts")
     raw, target = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
     if not target:
         return counts.select("bucket", F.lit(0.0).alias("ratio"))
-    prior = SMOOTHING * BUCKETS
+    prior = SMOOTHING * BUCKETS + SMOOTHING_SHARE * target
     return counts.select("bucket", F.log((F.col("target") * (raw / F.col("raw")) + prior) / (target + prior)).alias("ratio"))
 
 

@@ -118,16 +118,17 @@ def grams(text, buckets):
     return [_signed(h) % buckets for h in first + pairs]
 
 
-def quality(docs, labels, buckets, smoothing, threshold):
+def quality(docs, labels, buckets, smoothing, threshold, share=0.1):
     """doc_id -> (score, kept)."""
-    good = {d for d, q in labels if q == 1}
+    good = {d for d, q in labels if q == 1} - {d for d, q in labels if q == 0}
     raw, target = Counter(), Counter()
     for d, text in docs:
         own = grams(text, buckets)
         raw.update(own)
         if d in good:
             target.update(own)
-    n_raw, n_target, prior = sum(raw.values()), sum(target.values()), smoothing * buckets
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+    prior = smoothing * buckets + share * n_target
     out = {}
     for d, text in docs:
         own = grams(text, buckets)

@@ -13,8 +13,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import op2_minhash, op4_suffix, op5_quality, op6_lines, op9_search, op10_pack, registry
-from corpusloom.llm.op1_wavelet import WaveletShard, pack_shard
+from corpusloom.llm import op1_wavelet, op2_minhash, op3_fm, op4_suffix, op5_quality, op6_lines, op9_search, op10_pack, registry
+from corpusloom.llm.op1_wavelet import WaveletShard, pack_shard, token_counts, token_places, write_shards
 from corpusloom.llm.op2_minhash import band_keys, near_duplicates, sketch
 from corpusloom.llm.op4_suffix import remove_repeats, suffix_order
 from corpusloom.llm.op6_lines import LineShard, PerfectHash, dedup_lines, line_index
@@ -108,6 +108,27 @@ def test_wavelet_lookups():
         shard.select(99, 0)
 
 
+def test_wavelet_lookups_unpack_few_blocks(monkeypatch):
+    monkeypatch.setattr(op1_wavelet, "PLANE_BLOCK", 64)
+    ids = np.random.default_rng(2).integers(0, 1000, 50_000).astype(np.uint16)
+    shard = WaveletShard(pack_shard(ids, np.array([50_000]), [1]))
+    assert shard.access(31_234) == ids[31_234]
+    assert len([x for x in shard._open if isinstance(x, tuple) and x[0].startswith("plane")]) <= 2 * shard.width
+    for i in (0, 511, 512, 513, 40_000, 49_999):
+        assert shard.access(i) == ids[i] and shard.rank(int(ids[i]), i + 1) == (ids[: i + 1] == ids[i]).sum()
+    assert shard.occurrences(7) == np.flatnonzero(ids == 7).tolist() and (shard.ids() == ids).all()
+
+
+def test_wavelet_lookups_over_all_files(spark, docs, tmp_path):
+    lib = brute.tokenizer()
+    manifest = write_shards(frame(spark, docs), f"file://{tmp_path}/shards", shard_tokens=500)
+    stream = np.array([x for _, text in sorted(docs) for x in [*brute.ids_of(lib, text), 1]])
+    for token in (1, int(stream[0]), 48_000):
+        assert sorted(r["place"] for r in token_places(manifest, token).collect()) == np.flatnonzero(stream == token).tolist()
+    counts = token_counts(manifest, [1, int(stream[0])]).groupBy("token").agg(F.sum("n").alias("n")).collect()
+    assert {r["token"]: r["n"] for r in counts} == {t: int((stream == t).sum()) for t in (1, int(stream[0]))}
+
+
 @pytest.mark.parametrize("words", [4, 5])
 def test_op2(spark, docs, folder, words):
     df = registry.op2_near_duplicates(spark, folder) if words == 4 else near_duplicates(frame(spark, docs), words=words)
@@ -175,6 +196,37 @@ def test_op3(spark):
     assert np.mean([found[d]["predicted"] == truth[d] for d in held]) >= 0.85
 
 
+def test_op3_scores_are_the_sum_over_all_pairs():
+    """The linear-time identity against the explicit sum over pairs of features."""
+    rng = np.random.default_rng(3)
+    machine = op3_fm.Machine()
+    machine.bias, machine.w, machine.v = 0.3, rng.normal(0, 1, machine.w.shape), rng.normal(0, 1, machine.v.shape)
+    for text in (None, "", "one two two # three", "Word " * 40 + "\n| x |"):
+        index, value = op3_fm.features(text)
+        pairs = sum(float(machine.v[i] @ machine.v[j]) * float(x) * float(y) for a, (i, x) in enumerate(zip(index, value)) for j, y in list(zip(index, value))[a + 1 :])
+        assert machine.margin(index, value) == pytest.approx(0.3 + float(machine.w[index] @ value) + pairs, rel=1e-5)
+
+
+def test_op3_ranks_held_out_documents(spark):
+    """Area under the curve on held-out rows; the pairs tell more than the linear part alone; repeated rows train once."""
+    path = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{path}/documents.parquet")
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    found = rows_of(registry.op3_quality_classifier(spark, path))
+    truth = [(found[r["doc_id"]]["score"], r["quality"]) for r in labels.collect() if r["quality"] is not None and found[r["doc_id"]]["held_out"]]
+    good, bad = ([s for s, q in truth if q == x] for x in (1, 0))
+    assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) >= 0.97
+    assert np.mean([(s >= 0.5) == bool(q) for s, q in truth]) >= 0.95
+    # Which two of three marks stand together decides: no linear score can tell.
+    rng, docs = random.Random(2), []
+    for i in range(900):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        docs.append((i, " ".join([f"w{rng.randrange(30)}" for _ in range(6)] + ["left" if a else "right"] * 3 + ["up" if b else "down"] * 3), int(a == b)))
+    rows = spark.createDataFrame([(d, t) for d, t, _ in docs] * 2, "doc_id long, text string")
+    own = spark.createDataFrame([(d, q) for d, _, q in docs], "doc_id long, quality int")
+    assert op3_fm.training_rows(rows, own).count() == sum(zlib.crc32(str(d).encode()) % 3 != 1 for d, _, _ in docs)
+
+
 def test_op4(spark, docs, folder):
     found = rows_of(registry.op4_suffix_dedup(spark, folder))
     wanted = brute.without_repeats(docs)
