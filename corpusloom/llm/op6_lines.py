@@ -259,6 +259,8 @@ def dedup_lines(docs: DataFrame, manifest: DataFrame, digests: bool = False) ->
         docs = docs.select("doc_id", "text")
     names, schema = docs.columns, docs.schema
     id_at, text_at = names.index("doc_id"), names.index("text")
+    places = [f"c{i}" for i in range(len(names))]  # columns go by their places, so that no name can clash
+    docs = docs.toDF(*places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = _Shards(paths)
@@ -273,11 +275,11 @@ def dedup_lines(docs: DataFrame, manifest: DataFrame, digests: bool = False) ->
                 # A null text that lost nothing stays null.
                 text = pa.array([None if old is None else new for old, (_, _, new) in zip(texts, out)], pa.string())
                 columns = [text if i == text_at else batch.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(i).with_nullable(True) if i != text_at else pa.field(names[i], pa.string()) for i in range(len(names))]))
+                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(i).with_nullable(True) if i != text_at else pa.field(places[i], pa.string()) for i in range(len(names))]))
 
     if digests:
         return docs.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields]))
+    return docs.mapInArrow(run, T.StructType([T.StructField(c, f.dataType, True) for c, f in zip(places, schema.fields)])).toDF(*names)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
