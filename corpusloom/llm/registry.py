@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .op10_pack import op10_best_fit_packing
 from .op1_wavelet import op1_wavelet_tokens
+from .op2_minhash import SQL as OP2_SQL
 from .op2_minhash import op2_near_duplicates
 from .op3_fm import op3_quality_classifier
 from .op4_suffix import op4_suffix_dedup
@@ -11,6 +12,7 @@ from .op5_quality import op5_quality_rules
 from .op6_lines import SQL as OP6_SQL
 from .op6_lines import op6_line_dedup
 from .op7_bpe import op7_bpe_roundtrip
+from .op8_warc import SQL as OP8_SQL
 from .op8_warc import op8_warc_revisits
 from .op9_search import SQL as OP9_SQL
 from .op9_search import op9_top_k_search
@@ -29,6 +31,8 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_near_duplicates": OP2_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op8_warc_revisits": OP8_SQL,
     "op9_top_k_search": OP9_SQL,
 }
