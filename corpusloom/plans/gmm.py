@@ -90,8 +90,8 @@ class Fit:
     moved: float
 
 
-def expectation_maximisation(points: DataFrame, start: DataFrame | None = None, epsilon: float = 1e-3, max_loops: int = 50, must: bool = False) -> Fit:
-    """Semi-supervised EM until the class means move by at most epsilon in squared distance; ``must``: fails if they still move more."""
+def expectation_maximisation(points: DataFrame, start: DataFrame | None = None, epsilon: float = 1e-3, max_loops: int = 1000, must: bool = True) -> Fit:
+    """Semi-supervised EM until the class means move by at most epsilon in squared distance; ``must``: fails if they still move more after the last loop."""
     params, loops, moved = checkpointed(start if start is not None else class_params(points)), 0, float("inf")
     while moved > epsilon and loops < max_loops:
         now = checkpointed(weighted_params(responsibilities(scores(points, params)), points))

@@ -29,6 +29,8 @@ from ..session import checkpointed
 
 #: Share of an objective that its summation order may change.
 ROUNDING = 1e-12
+#: Loops after which a fit that still moves is not converged.
+LOOPS = 1000
 
 
 @dataclass
@@ -128,7 +130,7 @@ class Fit:
     converged: bool
 
 
-def expectation_maximisation(docs: DataFrame, tf: DataFrame, parts: DataFrame, start: Theta, words: int, epsilon: float = 1e-4, max_loops: int = 50) -> Fit:
+def expectation_maximisation(docs: DataFrame, tf: DataFrame, parts: DataFrame, start: Theta, words: int, epsilon: float = 1e-4, max_loops: int = LOOPS) -> Fit:
     """Semi-supervised EM of all runs together until no run's objective moves by more than epsilon, or than its rounding.
 
     The driver holds one number a run; parameters and responsibilities are
@@ -150,7 +152,7 @@ def expectation_maximisation(docs: DataFrame, tf: DataFrame, parts: DataFrame, s
 class MultinomialModel:
     """train() and test() over docs and tf: the four models by ``components`` and ``semi``."""
 
-    def __init__(self, docs: DataFrame, tf: DataFrame, words: int, components: list[int], semi: bool = False, assignment: DataFrame | None = None, theta_zero: Theta | None = None, epsilon: float = 1e-4, max_loops: int = 50, seed: int = 0):
+    def __init__(self, docs: DataFrame, tf: DataFrame, words: int, components: list[int], semi: bool = False, assignment: DataFrame | None = None, theta_zero: Theta | None = None, epsilon: float = 1e-4, max_loops: int = LOOPS, seed: int = 0):
         self.docs = docs if "run_id" in docs.columns else docs.withColumn("run_id", F.lit(0))
         self.tf, self.words, self.components, self.semi = tf, words, components, semi
         self.assignment, self.start, self.epsilon, self.max_loops, self.seed = assignment, theta_zero, epsilon, max_loops, seed

@@ -187,13 +187,13 @@ def exp_1a(spark, sf_dir):
     (docs, more), (few, many) = _experiment(spark, sf_dir), FEATURES
     tf = checkpointed(_first_words(spark, sf_dir, many))
     sets = {f"words{few}": (tf.where(F.col("word_id") <= few), few), f"words{many}_l1": (C.scaled(tf, 1000, "l1"), many)}
-    return experiments.feature_selection(docs, more, sets, k=2, epsilon=1.0, max_loops=2)
+    return experiments.feature_selection(docs, more, sets, k=5)
 
 
 @query()
 def exp_1b(spark, sf_dir):
     (docs, more), (tf, words) = _experiment(spark, sf_dir), features(spark, sf_dir)
-    return experiments.labelled_sizes(docs, more, tf, words, [100], tries=2, epsilon=1.0, max_loops=2)
+    return experiments.labelled_sizes(docs, more, tf, words, [100, 200], tries=5)
 
 
 @query()
@@ -206,7 +206,7 @@ def exp_1c(spark, sf_dir):
 def exp_2a(spark, sf_dir):
     (docs, more), (tf, words) = _experiment(spark, sf_dir), features(spark, sf_dir)
     vectors = _counts(spark, sf_dir, docs)
-    return experiments.group_assumption(docs, more, tf, vectors, words, 100, [2, 3], tries=2, max_loops=2)
+    return experiments.group_assumption(docs, more, tf, vectors, words, 100, [2, 3], tries=5)
 
 
 _TWO = "CAST(format('{:.2f}', round(%s, 4)) AS DOUBLE)"
