@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import discard, saved, table
+from corpusloom.llm.common import created, discard, saved, table
 from corpusloom.llm.op2_minhash import near_duplicates
 from corpusloom.llm.op4_suffix import remove_repeats
 from corpusloom.llm.op5_quality import quality_rules
@@ -89,6 +89,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        discard(before)
+        before, mark = docs, len(created)
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # Nothing reads the stage's own tables and files any more.
+        discard(before, *[x for x in created[mark:] if x != docs._saved_at])
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -35,8 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: The folders that this process has named, oldest first.
+created: list[str] = []
+
+
 def new_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
+    created.append(f"{shared_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}")
+    return created[-1]
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
