@@ -106,6 +106,12 @@ def corpus_info(docs: DataFrame, tf: DataFrame, label: str) -> DataFrame:
     return whole.unionByName(words).unionByName(by_label)
 
 
+def class_ranks(docs: DataFrame, label: str) -> DataFrame:
+    """label, n, rank: the classes from the smallest to the largest, ties by name; one row a class."""
+    counts = docs.groupBy(label).agg(F.count("*").alias("n"))
+    return counts.withColumn("rank", F.row_number().over(W.orderBy("n", label)).cast("long"))
+
+
 def first_topic(topics: Column, known: list[str]) -> Column:
     """The first of a document's topics that is known, null if none is."""
     return F.get(F.filter(topics, lambda t: t.isin(*known)), F.lit(0))

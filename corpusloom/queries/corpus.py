@@ -65,6 +65,11 @@ def corpus_info(spark, sf_dir):
     return C.corpus_info(docs_of(spark, sf_dir), tf_of(spark, sf_dir), "source")
 
 
+@query("SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*), source) AS rank FROM documents GROUP BY source")
+def class_ranks(spark, sf_dir):
+    return C.class_ranks(docs_of(spark, sf_dir), "source")
+
+
 @query("SELECT lang, doc_id, CAST(list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS INTEGER) AS y FROM documents")
 def class_reindex(spark, sf_dir):
     names = spark.createDataFrame(list(enumerate(LANGS)), "y int, name string")

@@ -223,5 +223,6 @@ def report_parse_average(spark, sf_dir):
         figures = metrics.report(own, "run_id").drop("run_id")
         writers.write_report(spark, writers.report_text(figures, metrics.accuracy(own, "run_id").first()["accuracy"], own.count()), f"{folder}/run-{run}")
     rows.unpersist()
-    found = readers.reports(spark, f"{folder}/run-*").where("name <> 'avg / total'")
+    runs = [f"{folder}/{name}" for name in readers.folders(spark, folder)]
+    found = readers.reports(spark, runs).where("name <> 'avg / total'")
     return found.groupBy("name").agg(*[F.round(F.avg(x), 8).alias(x) for x in ("precision", "recall", "f1")], F.sum("support").cast("long").alias("support"), F.round(F.avg("accuracy"), 8).alias("accuracy"))

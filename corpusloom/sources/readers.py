@@ -110,7 +110,7 @@ def sgml_documents(spark: SparkSession, path: str, document: str = "REUTERS", to
     return docs.select(elements(F.col("d"), topic).alias("topics"), F.regexp_replace(unescaped(element(F.col("d"), body)), r"\s+", " ").alias("body"))
 
 
-def reports(spark: SparkSession, path: str) -> DataFrame:
+def reports(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, name, precision, recall, f1, support and the report's accuracy, labelled and unlabelled counts.
 
     Lines are told by their form, not by their number: a name and four figures,
