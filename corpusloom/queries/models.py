@@ -42,7 +42,7 @@ def features(spark, sf_dir):
 def _documents(spark, sf_dir):
     """docs(run_id, doc_id, y): all documents, y null where the quality is not known."""
     docs = table(spark, sf_dir, "documents").select("doc_id").join(labelled(spark, sf_dir), "doc_id", "left")
-    return docs.select(F.lit(0).alias("run_id"), "doc_id", "y")
+    return checkpointed(docs.select(F.lit(0).alias("run_id"), "doc_id", "y"))
 
 
 # SQL of the engine: lists of component owners, then CTEs for theta, scores and responsibilities.
@@ -113,7 +113,10 @@ def _bayes(spark, sf_dir, counts=ONE):
     docs, (tf, words) = _documents(spark, sf_dir), features(spark, sf_dir)
     parts = M.several_parts(docs, counts)
     start = M.hard_start(docs, parts) if max(counts) == 1 else M.random_start(docs, counts)
-    return docs, tf, parts, M.maximise(start, tf, parts, words), words
+    theta = M.maximise(start, tf, parts, words)
+    # Both tables come from the same counts, and scores read each more than once.
+    theta = M.Theta(checkpointed(theta.base), checkpointed(theta.seen))
+    return docs, tf, parts, theta, words
 
 
 _NB = f"WITH {_BASE}, {_owners(ONE)}, {_HARD}, {_theta(0, 'start')}"
