@@ -9,7 +9,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The characters that count as white space in every word and line rule here.
@@ -122,3 +123,55 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash-partitions by ``cols`` into as many partitions as shuffles have."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *[F.col(c) for c in cols])
+
+
+#: A key is hot if it holds more than one in so many of the rows; so there are fewer hot keys than this.
+HOT_KEYS = 1000
+
+
+def joined_by_share(rows: DataFrame, keyed: DataFrame, on: str, held: str, total: int) -> DataFrame:
+    """``rows`` with the other columns of ``keyed`` (one row a binary key ``on``; null where it has none).
+
+    ``held`` counts the rows of each key, ``total`` all of them.  The hot keys, fewer
+    than ``HOT_KEYS`` whatever the tables, are broadcast; rows that they serve are dealt
+    by their own hash in the second join, so that no key's rows meet in one task.
+    """
+    others = [c for c in keyed.columns if c != on]
+    named = keyed.select(F.col(on).alias("_key"), F.struct(*others).alias("_found"))
+    is_hot = F.col(f"_found.{held}") * HOT_KEYS > total
+    hot = named.where(is_hot).select(F.col("_key").alias("_hot"), F.col("_found").alias("_at_once"))
+    first = rows.join(F.broadcast(hot), rows[on] == F.col("_hot"), "left")
+    own = F.concat(F.lit(b"-"), F.xxhash64(*rows.columns, F.spark_partition_id()).cast("string").cast("binary"))
+    first = first.withColumn("_own", F.when(F.col("_hot").isNull(), F.col(on)).otherwise(own))
+    second = first.join(named.where(~is_hot).hint("merge"), F.col("_own") == F.col("_key"), "left")
+    found = F.coalesce("_at_once", "_found")
+    return second.select(*rows.columns, *[found[c].alias(c) for c in others])
+
+
+def placed(df: DataFrame, name: str, label: str, *order: Column) -> tuple[DataFrame, str]:
+    """(``df`` with the row's place from 1 in a total order as long ``name``, the saved table it reads); no task sees all rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = saved(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), label)
+    # One row a range partition.
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = counts.select("_part", (F.sum("_rows").over(W.orderBy("_part")) - F.col("_rows")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    out = ranged.withColumn("_inside", inside).join(F.broadcast(before), "_part")
+    return out.withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_before", "_inside"), ranged._saved_at
+
+
+def crc32_sql(values: str) -> str:
+    """SQL of the unsigned CRC-32 of a list of bytes, half a byte at a time."""
+    halves = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        halves.append(c)
+    step = "xor(({c} >> 4), [" + ", ".join(map(str, halves)) + "][(xor({c}, {b}) & 15) + 1])"
+    both = step.format(c=f"({step.format(c='c', b='b')})", b="(b >> 4)")
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {values}), lambda c, b: {both}), 4294967295::BIGINT)"
+
+
+def bytes_sql(text: str) -> str:
+    """SQL of the bytes of a text in UTF-8, as a list of numbers."""
+    return f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT)"

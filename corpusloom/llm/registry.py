@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 from .op10_pack import op10_best_fit_packing
+from .op11_resample import SQL as OP11_SQL
+from .op11_resample import op11_importance_resampling
+from .op12_balance import op12_cost_balanced_packing
+from .op13_trie import SQL as OP13_SQL
+from .op13_trie import op13_conversation_trie
 from .op1_wavelet import op1_wavelet_tokens
 from .op2_minhash import SQL as OP2_SQL
 from .op2_minhash import op2_near_duplicates
@@ -28,6 +33,9 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_top_k_search": op9_top_k_search,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_cost_balanced_packing": op12_cost_balanced_packing,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 SQL: dict[str, str] = {
@@ -35,4 +43,6 @@ SQL: dict[str, str] = {
     "op6_line_dedup": OP6_SQL,
     "op8_warc_revisits": OP8_SQL,
     "op9_top_k_search": OP9_SQL,
+    "op11_importance_resampling": OP11_SQL,
+    "op13_conversation_trie": OP13_SQL,
 }

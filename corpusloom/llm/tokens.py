@@ -24,10 +24,10 @@ CACHE_CHUNKS = 600_000
 CACHE_WORDS = 800_000
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 class _Known(dict):
@@ -106,10 +106,10 @@ def library_encoder(path: str) -> ChunkEncoder:
     lib.no_truncation()
     lib.no_padding()
     kind = np.uint16 if lib.get_vocab_size() <= 0xFFFF else np.uint32
-    tokenize, letters = lib.model.tokenize, byte_letters()
+    tokenize, letters = lib.model.tokenize, dict(enumerate(byte_letters()))
 
     def word(x: str) -> bytes:
-        spelt = x if x.isascii() else "".join([letters[b] for b in x.encode("utf-8")])
+        spelt = x.encode("utf-8").decode("latin-1").translate(letters)
         return np.array([t.id for t in tokenize(spelt)], kind).tobytes()
 
     def whole(x: str) -> bytes:
@@ -120,11 +120,52 @@ def library_encoder(path: str) -> ChunkEncoder:
     return out
 
 
+#: White space, letters and numbers among the first 256 characters, as byte-level vocabularies tell them apart (fixed values).
+_S, _L, _N = r"\t-\r \x85\xa0", "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: Their pre-tokens (fixed pattern): word ends after an apostrophe, then words, numbers and other characters with the space before them, then white space.
+_PRE_TOKENS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
+_BEYOND = re.compile(r"[^\x00-\xff]").search
+
+
+class SpacedEncoder(ChunkEncoder):
+    """The same for byte-level vocabularies, whose pre-tokens keep the space before them.
+
+    A text of the first 256 characters is cut into its pre-tokens, whose ids are known or
+    come from the library's model.  In other texts nothing joins what stands before a space
+    with a non-space after it: they are cut there, and units with other characters go to
+    the library, as does a text that spells a special token.
+    """
+
+    cut = re.compile(r" (?=\S)").split
+
+    def __init__(self, word: Callable[[str], bytes], whole: Callable[[str], bytes], kind: type, special: list[str]):
+        super().__init__(word, whole, kind)
+        self.special = special
+
+    def _chunk(self, chunk: str) -> bytes:
+        return self.whole(chunk) if _BEYOND(chunk) else b"".join(map(self.words.__getitem__, _PRE_TOKENS(chunk)))
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if any(x in text for x in self.special):
+            return self.whole(text)
+        if not _BEYOND(text):
+            return b"".join(map(self.words.__getitem__, _PRE_TOKENS(text)))
+        first, *rest = self.cut(text)
+        return (self.chunks[first] if first else b"") + b"".join([self.chunks[" " + x] for x in rest])
+
+
+def spaced_encoder(path: str) -> SpacedEncoder:
+    plain = library_encoder(path)
+    return SpacedEncoder(plain.words.find, plain.whole, plain.kind, [x.content for x in plain.lib.get_added_tokens_decoder().values()])
+
+
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder per Python worker and vocabulary file."""
+def encoder(path: str, spaced: bool = False) -> ChunkEncoder:
+    """One encoder per Python worker and vocabulary file; ``spaced``: byte-level with spaces kept."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = library_encoder(path)
+        _ENCODERS[path] = (spaced_encoder if spaced else library_encoder)(path)
     return _ENCODERS[path]
