@@ -1,36 +1,37 @@
-"""Mutual information between a word's number of occurrences and the class."""
+"""Mutual information between a word's number of occurrences and the class.
+
+``labels`` are (doc_id, y) or, for many runs at once, (run_id, doc_id, y): with
+``keys=("run_id",)`` one pass ranks the words of every run by its own documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import numbered
-
+from ..session import checkpointed, numbered
 
-def word_cells(tf: DataFrame, labels: DataFrame) -> DataFrame:
-    """word, cells: (occurrences, y, docs) of each word, documents of a class by how often they hold it.
 
-    The documents without the word are not in the sparse table: their number is
-    the class's size less the others.  A word has few cells, as many as there are
-    classes and different numbers of occurrences.
-    """
-    seen = tf.join(labels.select("doc_id", "y"), "doc_id").groupBy("word", F.col("n").cast("long").alias("occurrences"), "y").agg(F.count("*").alias("docs"))
-    # One row: the classes of the class map and their sizes.
-    classes = labels.groupBy("y").agg(F.count("*").alias("size")).agg(F.array_sort(F.collect_list(F.struct("y", "size")))).scalar()
-    held = seen.groupBy("word").agg(F.collect_list(F.struct("occurrences", "y", "docs")).alias("_seen")).withColumn("_classes", classes)
-    inside = lambda y: _total(F.filter("_seen", lambda x: x["y"] == y))
-    absent = F.transform("_classes", lambda c: F.struct(F.lit(0).cast("long").alias("occurrences"), c["y"].alias("y"), (c["size"] - inside(c["y"])).alias("docs")))
-    return held.select("word", F.concat("_seen", F.filter(absent, lambda x: x["docs"] > 0)).alias("cells"))
-
-
-def _total(cells: Column) -> Column:
-    return F.aggregate(cells, F.lit(0).cast("long"), lambda s, x: s + x["docs"])
+def seen_cells(tf: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, word, occurrences, y, docs: documents of each class by how often they hold a word, where there are any."""
+    rows = tf.where("n >= 1").join(labels.select(*keys, "doc_id", "y"), "doc_id")
+    return rows.groupBy(*keys, "word", F.col("n").cast("long").alias("occurrences"), "y").agg(F.count("*").alias("docs"))
 
 
 def contingency(tf: DataFrame, labels: DataFrame) -> DataFrame:
-    """word, occurrences, y, docs; every word meets every class, though no document of it may hold the word."""
-    return word_cells(tf, labels).select("word", F.inline("cells"))
+    """word, occurrences, y, docs; every word meets every class, though no document of it may hold the word.
+
+    The documents without the word are not in the sparse table: their number is the
+    class's size less the others.
+    """
+    seen = seen_cells(tf, labels)
+    # One row: the classes of the class map and their sizes.
+    sizes = labels.groupBy("y").agg(F.count("*").alias("size")).agg(F.map_from_entries(F.collect_list(F.struct("y", "size"))).alias("_sizes"))
+    held = seen.groupBy("word", "y").agg(F.sum("docs").alias("n")).groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("y", "n"))).alias("_held"))
+    absent = held.withColumn("_sizes", sizes.scalar()).select("word", "_held", F.explode("_sizes").alias("y", "_size"))
+    absent = absent.select("word", F.lit(0).cast("long").alias("occurrences"), "y", (F.col("_size") - F.coalesce(F.try_element_at("_held", F.col("y")), F.lit(0))).alias("docs"))
+    return seen.unionByName(absent.where("docs > 0"))
 
 
 def marginals(table: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,31 +41,53 @@ def marginals(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     return share("y"), share("occurrences")
 
 
-def mutual_information(cells: DataFrame) -> DataFrame:
-    """word, mi: the word's information about the class in bits, over the number of words.
-
-    ``cells`` is as of ``word_cells``.  All sums of a word are over its own few cells.
-    """
-    d = _total(F.col("cells")).cast("double")
+def _n_log_n(n: Column) -> Column:
+    n = n.cast("double")
+    return F.when(n > 0, n * F.log2(n)).otherwise(0.0)
 
-    def term(x: Column) -> Column:
-        n = x["docs"].cast("double")
-        same_count = _total(F.filter("cells", lambda y: y["occurrences"] == x["occurrences"])).cast("double")
-        same_class = _total(F.filter("cells", lambda y: y["y"] == x["y"]))
-        return n / F.col("_d") * F.log2(n * F.col("_d") / (same_count * same_class))
 
-    sums = cells.withColumn("_d", d).select("word", F.aggregate(F.transform("cells", term), F.lit(0.0), lambda s, x: s + x).alias("_mi"))
-    words = cells.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
-    return sums.select("word", (F.col("_mi") / words).alias("mi"))
-
-
-def best(mi: DataFrame, k: int, digits: int = 12) -> DataFrame:
-    """word and rank of the k words of the highest information: k rows; ties as in ``ranked``."""
-    from pyspark.sql import Window as W
+def mutual_information(tf: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, word, mi: the word's information about the class in bits, over the number of words.
 
+    With f(n) = n log2 n, a word's information times the number D of documents is the sum
+    of f over its cells, less those over its numbers of occurrences and over the
+    classes, and f(D).  All are sums over groups, so a word with many cells costs
+    no more than as many words with one: cells become one row for each number of
+    occurrences, and these one row a word, each summed before its shuffle.
+    """
+    seen = seen_cells(tf, labels, keys)
+    by_class = labels.groupBy(*keys, "y").agg(F.count("*").alias("size"))
+    # The classes of the class map; each is a column of the sums.
+    classes = sorted(r["y"] for r in by_class.select("y").where("y is not null").distinct().collect())
+    counts = [F.sum(F.when(F.col("y") == c, F.col("docs")).otherwise(0)).alias(f"_c{i}") for i, c in enumerate(classes)]
+    held = [f"_c{i}" for i in range(len(classes))]
+    rows = seen.groupBy(*keys, "word", "occurrences").agg(F.sum(_n_log_n(F.col("docs"))).alias("_cells"), F.sum("docs").alias("_docs"), *counts)
+    # One row a word; also what the words are counted from.
+    words = checkpointed(rows.groupBy(*keys, "word").agg(F.sum(F.col("_cells") - _n_log_n(F.col("_docs"))).alias("_inside"), *[F.sum(x).alias(x) for x in held]))
+    sizes = by_class.groupBy(*keys).agg(*[F.sum(F.when(F.col("y") == c, F.col("size")).otherwise(0)).alias(f"_s{i}") for i, c in enumerate(classes)])
+    # One row a run.
+    both = words.join(F.broadcast(sizes), list(keys)) if keys else words.crossJoin(F.broadcast(sizes))
+    none, every = F.lit(0), F.lit(0)
+    total, absent = F.lit(0.0), F.lit(0.0)
+    for i in range(len(classes)):
+        rest = F.col(f"_s{i}") - F.col(f"_c{i}")
+        none, every = none + rest, every + F.col(f"_s{i}")
+        absent, total = absent + _n_log_n(rest), total + _n_log_n(F.col(f"_s{i}"))
+    bits = (F.col("_inside") + absent - _n_log_n(none) - total + _n_log_n(every)) / every
+    found = both.select(*keys, "word", F.greatest(bits, F.lit(0.0)).alias("_mi"))
+    n_words = words.groupBy(*keys).agg(F.count("*").alias("_words"))
+    found = found.join(F.broadcast(n_words), list(keys)) if keys else found.crossJoin(F.broadcast(n_words))
+    return found.select(*keys, "word", (F.col("_mi") / F.greatest("_words", F.lit(1))).alias("mi"))
+
+
+def best(mi: DataFrame, k: int, digits: int = 12, keys: tuple[str, ...] = ()) -> DataFrame:
+    """word and rank of the k words of the highest information: k rows (for each run); ties as in ``ranked``."""
     order = [F.desc("_mi"), F.desc("word")]
-    top = mi.select("word", F.round("mi", digits).alias("_mi")).orderBy(*order).limit(k)
-    return top.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long")).select("word", "rank")
+    rows = mi.select(*keys, "word", F.round("mi", digits).alias("_mi"))
+    # Without runs, the limit keeps k rows a task before one task ranks k rows; with runs, the rank's bound does so for each run.
+    top = rows if keys else rows.orderBy(*order).limit(k)
+    ranks = top.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long"))
+    return ranks.where(F.col("rank") <= k).select(*keys, "word", "rank")
 
 
 def ranked(mi: DataFrame, ascending: bool = False, digits: int = 12) -> DataFrame:

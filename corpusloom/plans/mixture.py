@@ -3,42 +3,80 @@
 All four models are one engine over long tables, and many runs (folds, component
 counts, models) go through one job, told apart by ``run_id``:
 
-* tf(doc_id, word_id, n), shared by all runs;
+* tf(doc_id, word_id, n), shared by all runs; or n is an array with a count for
+  each run, where runs count other words or scale them otherwise (0: not there);
 * docs(run_id, doc_id, y): y is the observed class, null if unlabelled;
 * parts(run_id, k, y): the components of each class;
 * resp(run_id, doc_id, k, w): responsibilities.
 
-Parameters stay sparse: add-one smoothing gives a word that a component has not
-seen 1 / (N_k + V), so only ln(N_kw + 1) of seen words is kept, and
+Parameters stay sparse and are packed one row a word, with a number for each slot (a
+component of a run): add-one smoothing gives a word that a component has not seen
+1 / (N_k + V), so only ln(N_kw + 1) of words that some slot has seen is kept, and
 score = ln prior_k - L_d ln(N_k + V) + sum n ln(N_kw + 1).  The multinomial
-coefficient is the same for all components and is left out.
+coefficient is the same for all components and is left out.  Terms meet parameters
+on the word, no row is repeated for a run; words that hold more than a thousandth
+of the rows, fewer than a thousand words, are broadcast, so none is one task's.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import ParameterError
 from ..functions.scalar import simplex
-from ..session import checkpointed
+from ..session import Rounds, checkpointed
 
-
-#: Share of an objective that its summation order may change.
-ROUNDING = 1e-12
 #: Loops after which a fit that still moves is not converged.
 LOOPS = 1000
+#: A word is frequent if it holds more than one in so many rows.
+FREQUENT = 1000
+#: An objective's terms are summed as decimals, so that the sum is exact in any order and at any size.
+EXACT = "decimal(28,10)"
+
+Slot = tuple[int, int, int]
 
 
 @dataclass
 class Theta:
-    """base(run_id, k, y, log_prior, log_total) and seen(run_id, k, word_id, log_count)."""
+    """slots: (run_id, k, y); base(run_id, k, y, log_prior, log_total); packed(word_id, logs): ln(count + 1) by slot."""
 
+    slots: list[Slot]
     base: DataFrame
-    seen: DataFrame
+    packed: DataFrame
+
+    @property
+    def seen(self) -> DataFrame:
+        """run_id, k, word_id, log_count of the words that each slot has seen."""
+        names = F.array(*[F.struct(F.lit(r).alias("run_id"), F.lit(k).alias("k")) for r, k, _ in self.slots])
+        rows = self.packed.select("word_id", F.posexplode("logs").alias("_i", "log_count")).where("log_count > 0")
+        return rows.select(names[F.col("_i")]["run_id"].alias("run_id"), names[F.col("_i")]["k"].alias("k"), "word_id", "log_count")
+
+    def only(self, runs: list[int]) -> Theta:
+        at = [i for i, x in enumerate(self.slots) if x[0] in runs]
+        packed = self.packed.select("word_id", F.array(*[F.col("logs")[i] for i in at]).alias("logs"))
+        return Theta([self.slots[i] for i in at], self.base.where(F.col("run_id").isin(runs)), packed)
+
+
+def joined(thetas: list[Theta]) -> Theta:
+    """One Theta of those of different runs."""
+    if len(thetas) == 1:
+        return thetas[0]
+    width, at, rows = sum(len(x.slots) for x in thetas), 0, None
+    for x in thetas:
+        pad = lambda n: F.array_repeat(F.lit(0.0), n)
+        own = x.packed.select("word_id", F.concat(pad(at), "logs", pad(width - at - len(x.slots))).alias("logs"))
+        rows, at = own if rows is None else rows.unionByName(own), at + len(x.slots)
+    packed = checkpointed(rows.groupBy("word_id").agg(F.array(*[F.sum(F.col("logs")[i]) for i in range(width)]).alias("logs")))
+    base = thetas[0].base
+    for x in thetas[1:]:
+        base = base.unionByName(x.base)
+    return Theta([s for x in thetas for s in x.slots], base, packed)
 
 
 def single_parts(docs: DataFrame, classes: int) -> DataFrame:
@@ -73,26 +111,71 @@ def assigned_start(docs: DataFrame, assignment: DataFrame) -> DataFrame:
     return docs.where("y is not null").join(assignment, ["run_id", "doc_id"]).select("run_id", "doc_id", "k", F.lit(1.0).alias("w"))
 
 
-def maximise(resp: DataFrame, tf: DataFrame, parts: DataFrame, words: int) -> Theta:
-    """M-step with add-one smoothing; components without documents keep the smoothing mass."""
-    counts = resp.join(tf, "doc_id").groupBy("run_id", "k", "word_id").agg(F.sum(F.col("w") * F.col("n")).alias("c"))
-    totals = counts.groupBy("run_id", "k").agg(F.sum("c").alias("total"))
-    sizes = resp.groupBy("run_id", "k").agg(F.sum("w").alias("size"))
-    run = W.partitionBy("run_id")
-    base = parts.join(sizes, ["run_id", "k"], "left").join(totals, ["run_id", "k"], "left").na.fill(0.0, ["size", "total"])
-    log_prior = F.log((F.col("size") + 1) / (F.sum("size").over(run) + F.count("*").over(run)))
-    base = base.select("run_id", "k", "y", log_prior.alias("log_prior"), F.log(F.col("total") + words).alias("log_total"))
-    return Theta(base, counts.select("run_id", "k", "word_id", F.log1p("c").alias("log_count")))
+def _slots(parts: DataFrame) -> list[Slot]:
+    """One a run and component, whatever the corpus."""
+    return sorted((r["run_id"], r["k"], r["y"]) for r in parts.select("run_id", "k", "y").collect())
+
+
+def _n(tf: DataFrame, run: int) -> Column:
+    """A term's count in a run."""
+    n = F.col("n")
+    return n[run] if isinstance(tf.schema["n"].dataType, T.ArrayType) else n
+
+
+def frequent_words(tf: DataFrame) -> list:
+    """Words that hold more than a thousandth of the rows: fewer than a thousand; found once a table."""
+    if not hasattr(tf, "_frequent"):
+        total = tf.count()
+        rows = tf.groupBy("word_id").count().where(F.col("count") * FREQUENT > total).select("word_id").collect()
+        tf._frequent = [r["word_id"] for r in rows]
+    return tf._frequent
+
+
+def maximise(resp: DataFrame, tf: DataFrame, parts: DataFrame | list[Slot], words: int, save=None) -> Theta:
+    """M-step with add-one smoothing; components without documents keep the smoothing mass.
+
+    ``save(name, df)`` keeps a table; the parameters are saved, as scores read them more than once.
+    """
+    slots = parts if isinstance(parts, list) else _slots(parts)
+    save = save or (lambda name, df: checkpointed(df))
+    weights = [F.sum(F.when((F.col("run_id") == r) & (F.col("k") == k), F.col("w")).otherwise(0.0)) for r, k, _ in slots]
+    packed = resp.groupBy("doc_id").agg(F.array(*weights).alias("ws"))
+    counts = [F.sum(F.col("ws")[i] * _n(tf, r)) for i, (r, _, _) in enumerate(slots)]
+    rows = packed.join(tf, "doc_id").groupBy("word_id").agg(F.array(*counts).alias("cs"))
+    logs = save("packed", rows.select("word_id", F.transform("cs", F.log1p).alias("logs"), "cs"))
+    total = logs.agg(*[F.coalesce(F.sum(F.col("cs")[i]), F.lit(0.0)).alias(f"t{i}") for i in range(len(slots))]).first()
+    found = {(x["run_id"], x["k"]): x["size"] for x in resp.groupBy("run_id", "k").agg(F.sum("w").alias("size")).collect()}
+    size = [found.get((r, k), 0.0) for r, k, _ in slots]
+    rows = []
+    for i, (r, k, y) in enumerate(slots):
+        own = [j for j, x in enumerate(slots) if x[0] == r]
+        prior = math.log((size[i] + 1) / (sum(size[j] for j in own) + len(own)))
+        rows.append(Row(run_id=r, k=k, y=y, log_prior=prior, log_total=math.log(total[i] + words)))
+    base = resp.sparkSession.createDataFrame(rows, "run_id int, k int, y int, log_prior double, log_total double")
+    return Theta(slots, base, logs.select("word_id", "logs"))
+
+
+def _sums(tf: DataFrame, theta: Theta) -> DataFrame:
+    """doc_id, s: sum of n ln(N_kw + 1) by slot, and l: the document's length by run."""
+    runs = sorted({r for r, _, _ in theta.slots})
+    lengths = F.array(*[F.sum(_n(tf, r)) for r in runs]).alias("l")
+    frequent, word = frequent_words(tf), F.col("word_id")
+    heavy = tf.where(word.isin(frequent)).join(F.broadcast(theta.packed.where(word.isin(frequent))), "word_id", "left")
+    light = tf.where(~word.isin(frequent)).join(theta.packed.where(~word.isin(frequent)), "word_id", "left")
+    sums = [F.coalesce(F.sum(_n(tf, r) * F.col("logs")[i]), F.lit(0.0)) for i, (r, _, _) in enumerate(theta.slots)]
+    return heavy.unionByName(light).groupBy("doc_id").agg(F.array(*sums).alias("s"), lengths)
 
 
 def scores(docs: DataFrame, tf: DataFrame, theta: Theta) -> DataFrame:
     """run_id, doc_id, observed y, k, class of k, score; from the document spine, so empty documents score the prior."""
-    lengths = tf.groupBy("doc_id").agg(F.sum("n").alias("_l"))
+    runs = sorted({r for r, _, _ in theta.slots})
+    places = [(r, k, i, runs.index(r)) for i, (r, k, _) in enumerate(theta.slots)]
+    at = docs.sparkSession.createDataFrame(places, "run_id int, k int, _slot int, _run int")
     # One row a run and component, whatever the corpus.
-    spine = docs.join(lengths, "doc_id", "left").join(F.broadcast(theta.base.withColumnRenamed("y", "owner")), "run_id")
-    seen = tf.join(theta.seen, "word_id").join(docs.select("run_id", "doc_id"), ["run_id", "doc_id"], "left_semi").groupBy("run_id", "doc_id", "k").agg(F.sum(F.col("n") * F.col("log_count")).alias("_s"))
-    score = F.col("log_prior") - F.coalesce("_l", F.lit(0)) * F.col("log_total") + F.coalesce("_s", F.lit(0.0))
-    return spine.join(seen, ["run_id", "doc_id", "k"], "left").select("run_id", "doc_id", "y", "k", "owner", score.alias("score"))
+    base = theta.base.withColumnRenamed("y", "owner").join(F.broadcast(at), ["run_id", "k"])
+    spine = docs.select("run_id", "doc_id", "y").join(_sums(tf, theta), "doc_id", "left").join(F.broadcast(base), "run_id")
+    length, seen = F.coalesce(F.get("l", F.col("_run")), F.lit(0)), F.coalesce(F.get("s", F.col("_slot")), F.lit(0.0))
+    return spine.select("run_id", "doc_id", "y", "k", "owner", (F.col("log_prior") - length * F.col("log_total") + seen).alias("score"))
 
 
 def responsibilities(scored: DataFrame) -> DataFrame:
@@ -105,8 +188,8 @@ def responsibilities(scored: DataFrame) -> DataFrame:
 
 
 def objective(resp: DataFrame) -> DataFrame:
-    """run_id, q: expected complete log-likelihood, from the same scores as the responsibilities."""
-    return resp.groupBy("run_id").agg(F.sum(F.col("w") * F.col("score")).alias("q"))
+    """run_id, q: expected complete log-likelihood, from the same scores as the responsibilities, an exact decimal sum."""
+    return resp.groupBy("run_id").agg(F.sum((F.col("w") * F.col("score")).cast(EXACT)).alias("q"))
 
 
 def class_scores(scored: DataFrame) -> DataFrame:
@@ -123,30 +206,79 @@ def predict(docs: DataFrame, tf: DataFrame, theta: Theta) -> DataFrame:
 
 @dataclass
 class Fit:
+    """loops: of the run that took most; of_run: of each run."""
+
     theta: Theta
     resp: DataFrame
     loops: int
     q: dict
     converged: bool
+    of_run: dict = field(default_factory=dict)
 
 
-def expectation_maximisation(docs: DataFrame, tf: DataFrame, parts: DataFrame, start: Theta, words: int, epsilon: float = 1e-4, max_loops: int = LOOPS) -> Fit:
-    """Semi-supervised EM of all runs together until no run's objective moves by more than epsilon, or than its rounding.
+def expectation_maximisation(docs: DataFrame, tf: DataFrame, parts: DataFrame, start: Theta, words: int, epsilon: float = 1e-4, max_loops: int = LOOPS, folder: str | None = None) -> Fit:
+    """Semi-supervised EM of all runs together, each until its own objective moves by at most epsilon.
 
-    The driver holds one number a run; parameters and responsibilities are
-    checkpointed each round.
+    A run that rests keeps its parameters and leaves the jobs of the others.  The driver
+    holds one number a run; parameters and responsibilities of the last two rounds are in
+    the shared folder, those before are deleted.  With ``folder`` a fit that broke off
+    goes on from its last whole round.  A negative epsilon asks for all loops.
     """
-    theta, before, loops = start, {}, 0
-    while True:
-        resp = checkpointed(responsibilities(scores(docs, tf, theta)))
+    rounds, slots = Rounds(docs.sparkSession, folder), _slots(parts)
+    active, theta, before, loops, ended, found = sorted({r for r, _, _ in slots}), start, {}, 0, [], {}
+    if folder and (whole := rounds.last()):
+        loops, state = whole
+        active, before = state["active"], {int(r): _decimal(q) for r, q in state["before"].items()}
+        ended = [_kept(rounds, docs.sparkSession, x) for x in state["ended"]]
+        found = {int(r): (_decimal(q), n, c) for r, (q, n, c) in state["found"].items()}
+        theta = Theta([tuple(x) for x in state["slots"]], rounds.read(loops, "base"), rounds.read(loops, "packed").select("word_id", "logs"))
+    while active:
+        own = docs.where(F.col("run_id").isin(active))
+        resp = rounds.table(loops, "resp", responsibilities(scores(own, tf, theta)))
         q = {r["run_id"]: r["q"] for r in objective(resp).collect()}
-        # A sum over a large corpus is not known to epsilon; a negative epsilon asks for all loops.
-        converged = bool(before) and epsilon >= 0 and all(abs(q[r] - before[r]) <= max(epsilon, ROUNDING * abs(q[r])) for r in q)
-        if converged or loops >= max_loops:
-            return Fit(theta, resp, loops, q, converged)
-        found = maximise(resp.select("run_id", "doc_id", "k", "w"), tf, parts, words)
-        theta = Theta(checkpointed(found.base), checkpointed(found.seen))
+        rest = {r for r in active if r not in q or (r in before and epsilon >= 0 and abs(q[r] - before[r]) <= epsilon)}
+        over = loops >= max_loops
+        if rest or over:
+            leave = active if over else sorted(rest)
+            found |= {r: (q.get(r), loops, r in rest) for r in leave}
+            name = f"kept-{loops:06d}"
+            kept, last = theta.only(leave), resp.where(F.col("run_id").isin(leave))
+            if len(leave) < len(active):
+                # The others' rounds go on and delete this one.
+                kept = Theta(kept.slots, _keep(rounds, f"{name}/base", kept.base), _keep(rounds, f"{name}/packed", kept.packed))
+                last = _keep(rounds, f"{name}/resp", last)
+            ended.append((kept, last, name))
+            active = [r for r in active if r not in leave]
+        if not active:
+            break
+        going = resp.where(F.col("run_id").isin(active)).select("run_id", "doc_id", "k", "w")
         before, loops = q, loops + 1
+        theta = maximise(going, tf, [x for x in slots if x[0] in active], words, lambda name, df: rounds.table(loops, name, df))
+        theta.base = rounds.table(loops, "base", theta.base)
+        rounds.done(loops, {"active": active, "slots": theta.slots, "before": {r: str(x) for r, x in before.items()}, "found": {r: (str(x[0]), *x[1:]) for r, x in found.items()}, "ended": [(x[2], x[0].slots) for x in ended]})
+    resp = ended[0][1]
+    for _, more, _ in ended[1:]:
+        resp = resp.unionByName(more)
+    return Fit(joined([x[0] for x in ended]), resp, max(n for _, n, _ in found.values()), {r: float(x[0] or 0) for r, x in found.items()}, all(c for _, _, c in found.values()), {r: n for r, (_, n, _) in found.items()})
+
+
+def _decimal(text: str):
+    from decimal import Decimal
+
+    return Decimal(text)
+
+
+def _keep(rounds: Rounds, name: str, df: DataFrame) -> DataFrame:
+    path = f"{rounds.folder}-{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _kept(rounds: Rounds, spark, x: list) -> tuple[Theta, DataFrame, str]:
+    """What ``_keep`` has written of runs that ended before a fit broke off."""
+    name, slots = x
+    read = lambda part: spark.read.parquet(f"{rounds.folder}-{name}/{part}")
+    return Theta([tuple(s) for s in slots], read("base"), read("packed")), read("resp"), name
 
 
 class MultinomialModel:
@@ -165,8 +297,7 @@ class MultinomialModel:
             first = assigned_start(self.docs, self.assignment)
         else:
             first = random_start(self.docs, self.components, self.seed) if max(self.components) > 1 else hard_start(self.docs, parts)
-        found = self.start or maximise(first, self.tf, parts, self.words)
-        self.theta = Theta(checkpointed(found.base), checkpointed(found.seen))
+        self.theta = self.start or maximise(first, self.tf, parts, self.words)
         if self.semi:
             fit = expectation_maximisation(self.docs, self.tf, parts, self.theta, self.words, self.epsilon, self.max_loops)
             self.theta, self.loops, self.converged = fit.theta, fit.loops, fit.converged

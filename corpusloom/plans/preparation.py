@@ -57,7 +57,7 @@ def prepare(tf: DataFrame, docs: DataFrame, steps: list[tuple[str, object]], fea
         else:
             counted = STEPS[name](counted, train, argument)
     counted = checkpointed(counted)
-    ranks = checkpointed(selection.best(selection.mutual_information(checkpointed(selection.word_cells(counted, train))), features))
+    ranks = checkpointed(selection.best(selection.mutual_information(counted, train), features))
     kept = counted.join(F.broadcast(ranks.select("word")), "word", "left_semi")
     for name, argument in scaling:
         kept = STEPS[name](kept, train, argument)

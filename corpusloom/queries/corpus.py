@@ -208,8 +208,7 @@ info AS MATERIALIZED (SELECT word, sum(docs / d * log2(docs * d / (o * c))) / (S
 
 
 def _mi(spark, sf_dir, tf=None):
-    cells = selection.word_cells(tf_of(spark, sf_dir) if tf is None else tf, labelled(spark, sf_dir))
-    return selection.mutual_information(checkpointed(cells))
+    return selection.mutual_information(tf_of(spark, sf_dir) if tf is None else tf, labelled(spark, sf_dir))
 
 
 @query(f"WITH {_MI} SELECT word, occurrences, y, docs FROM tab")

@@ -21,6 +21,8 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 #: Most frequent words that vectors count, and that the feature sets of an experiment take.
 WIDTH, FEATURES = 100, (100, 300)
+#: Loops of the Gaussian grid; cells that still move are marked.
+GRID_LOOPS = 100
 
 
 def query(sql: str | None = None):
@@ -153,7 +155,8 @@ def gmm_predict(spark, sf_dir):
 @query()
 def gmm_em_step(spark, sf_dir):
     points = _points(spark, sf_dir)
-    return _rounded(gmm.param_cells(gmm.weighted_params(gmm.responsibilities(gmm.scores(points, gmm.class_params(points))), points)))
+    step = gmm.em_step(gmm.with_states(points), {0: gmm.fit_labelled(points)}, gmm.centre_of(points))
+    return _rounded(gmm.param_cells(gmm.params_of(spark, step[0])))
 
 
 @query()
@@ -170,11 +173,18 @@ def gmm_loo_average(spark, sf_dir):
     return _rounded(gmm.leave_one_out_params(_points(spark, sf_dir)))
 
 
+@query()
+def gmm_loo_scores(spark, sf_dir):
+    """Every labelled vector scored by the fit that leaves it out, and the class that this fit finds."""
+    rows = gmm.leave_one_out_scores(_points(spark, sf_dir))
+    return rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.max_by("k", F.struct("score", -F.col("k"))).alias("predicted"), F.round(F.max(F.when(F.col("y") == F.col("k"), F.col("score"))), 6).alias("score"))
+
+
 @query()
 def gmm_scaling_grid(spark, sf_dir):
     points = _points(spark, sf_dir)
     test = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("y")).join(points.where("y is null").drop("y"), "doc_id")
-    return gmm.scaling_grid(points, test.select("doc_id", "x", "y"), max_loops=LOOPS)
+    return gmm.scaling_grid(points, test.select("doc_id", "x", "y"), max_loops=GRID_LOOPS)
 
 
 def _experiment(spark, sf_dir):

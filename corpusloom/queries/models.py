@@ -114,8 +114,6 @@ def _bayes(spark, sf_dir, counts=ONE):
     parts = M.several_parts(docs, counts)
     start = M.hard_start(docs, parts) if max(counts) == 1 else M.random_start(docs, counts)
     theta = M.maximise(start, tf, parts, words)
-    # Both tables come from the same counts, and scores read each more than once.
-    theta = M.Theta(checkpointed(theta.base), checkpointed(theta.seen))
     return docs, tf, parts, theta, words
 
 
@@ -167,7 +165,7 @@ def em_mstep(spark, sf_dir):
 @query(f"{_NB}, {_score(0)}, {_resp(0)} SELECT round(sum(w * score), 2) AS q FROM re0")
 def em_loglik(spark, sf_dir):
     docs, tf, _, theta, _ = _bayes(spark, sf_dir)
-    return M.objective(M.responsibilities(M.scores(docs, tf, theta))).select(F.round("q", 2).alias("q"))
+    return M.objective(M.responsibilities(M.scores(docs, tf, theta))).select(F.round(F.col("q").cast("double"), 2).alias("q"))
 
 
 @query(f"{_em_sql(ONE, _HARD, 2)} SELECT doc_id, CAST(k AS INTEGER) AS k, round(w, 5) AS w FROM re2")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -60,3 +62,48 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     before = counts.select("_part", (F.sum("_rows").over(W.orderBy("_part")) - F.col("_rows")).alias("_before"))
     inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
     return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_before", "_inside")
+
+
+class Rounds:
+    """Tables of a loop's rounds in the shared folder: the last two rounds stay, older ones are deleted.
+
+    A round is whole once its state is written, which comes last; with a folder of its own
+    (``folder``), a loop that is started again goes on from the last whole round.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.folder = spark, folder or f"{checkpoint_folder(spark)}/rounds-{uuid.uuid4().hex}"
+
+    def _at(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def table(self, number: int, name: str, df: DataFrame) -> DataFrame:
+        """Writes a table of round ``number`` and reads it back."""
+        path = f"{self.folder}/{number:06d}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def done(self, number: int, state: dict) -> None:
+        """Round ``number`` is whole; the round before the last goes."""
+        rows = [(json.dumps(state),)]
+        self.spark.createDataFrame(rows, "state string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{number:06d}/state")
+        fs, at = self._at(f"{self.folder}/{number - 2:06d}")
+        fs.delete(at, True)
+
+    def last(self) -> tuple[int, dict] | None:
+        """(number, state) of the last whole round, if there is one."""
+        fs, at = self._at(self.folder)
+        numbers = sorted((int(x.getPath().getName()) for x in fs.listStatus(at)), reverse=True) if fs.exists(at) else []
+        for number in numbers:
+            own, state = self._at(f"{self.folder}/{number:06d}/state/_SUCCESS")
+            if own.exists(state):
+                return number, json.loads(self.spark.read.text(f"{self.folder}/{number:06d}/state").first()["value"])
+        return None
+
+    def read(self, number: int, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{number:06d}/{name}")
+
+    def drop(self) -> None:
+        fs, at = self._at(self.folder)
+        fs.delete(at, True)
