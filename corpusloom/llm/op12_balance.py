@@ -35,7 +35,7 @@ from .tokens import encoder, vocabulary_path
 CAPACITY = 2048
 END_ID = 1
 #: Documents in a block on average; each leaves at most one piece to pack.
-BLOCK_DOCUMENTS = 16_384
+BLOCK_DOCUMENTS = 4096
 #: Cost of a token beside the squared length of its piece: about six times the width of the model.
 LINEAR = 12_288
 

@@ -167,3 +167,49 @@ def check_packing(rows, capacity=4096, slack=1.02):
 
 def sha(data):
     return hashlib.sha256(data).hexdigest()
+
+
+GRAM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def features(text, longest=3):
+    """(words, all runs of 1 to 3 words)."""
+    words = GRAM_WORD.findall((text or "").translate(UPPER))
+    return len(words), [" ".join(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1)]
+
+
+def resampled(docs, target, buckets=10_000, min_words=20, drawn=5):
+    """Sorted rows (doc_id, n_features, weight, score, rank)."""
+    bucket = lambda x: zlib.crc32(x.encode()) % buckets
+    s, t = (Counter(bucket(x) for _, text in rows for x in features(text)[1]) for rows in (docs, target))
+    s_all, t_all = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s_all + buckets) / ((s[b] + 1) * (t_all + buckets))))
+    out = []
+    for d, text in docs:
+        n, own = features(text)
+        h = int(sha(f"42:{'' if d is None else d}".encode())[:8], 16)
+        weight = sum(gain(bucket(x)) for x in own)
+        out.append((d, len(own), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n >= min_words))
+    able = sorted((x for x in out if x[4]), key=lambda x: (-x[3], x[0] is not None, x[0] or 0))
+    ranks = {id(x): i + 1 for i, x in enumerate(able[: drawn * len(able) // 100])}
+    return [(*x[:4], ranks.get(id(x))) for x in out]
+
+
+def trie(turns, group=100, shared=6):
+    """Sorted rows (conv_id, depth, parent, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of (conv_id, turn, role, text)."""
+    own = {}
+    for c, turn, role, text in sorted((x for x in turns if x[0] is not None), key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")):
+        own.setdefault(c, []).append((role or "", text or ""))
+    rebuilt = {c: tuple(own.get(c - c % group, [])[: (h := zlib.crc32(str(c).encode()) % shared)] + x[h:]) for c, x in own.items()}
+    members = {}
+    for c, x in rebuilt.items():
+        for d in range(len(x) + 1):
+            members.setdefault(x[:d], []).append(c)
+    below = lambda p: [q for q in members if q[: len(p)] == p]
+    children = Counter(p[:-1] for p in members if p)
+    out = []
+    for p, convs in members.items():
+        ends = ",".join(str(c) for c in sorted(convs) if len(rebuilt[c]) == len(p))
+        saved = sum((len(members[q]) - 1) * len(q[-1][1]) for q in below(p) if q)
+        out.append((min(convs), len(p), min(members[p[:-1]]) if p else None, len(convs), children[p], sum(not children[q] for q in below(p)), saved, sha(ends.encode())))
+    return sorted(out)

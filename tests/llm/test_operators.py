@@ -523,7 +523,7 @@ NAMES = [n for n in registry.QUERIES if not n.startswith(("op8_", "op9_"))]
 
 
 def test_empty_tables(spark, tmp_path):
-    for name, schema in (("documents", EXTRA), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string"), ("embeddings", "vec_id long, embedding array<float>")):
+    for name, schema in (("documents", EXTRA), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string"), ("embeddings", "vec_id long, embedding array<float>"), ("benchmark", "item_id long, text string"), ("conversations", "conv_id long, turn long, role string, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, query in registry.QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
