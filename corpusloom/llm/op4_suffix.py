@@ -71,6 +71,10 @@ _ENTRY = np.dtype([("h", "<u8"), ("c0", "<u8"), ("c1", "<u8"), ("doc", "<i8"), (
 #: A segment asked for, and a span of removed bytes.
 _ASKED = np.dtype([("h", "<u8"), ("row", "<u4"), ("s", "<u4"), ("n", "<u4")])
 _SPAN = np.dtype([("row", "<u4"), ("a", "<u4"), ("b", "<u4")])
+#: What a range of contents holds of an anchor, and what becomes of the anchor's segments: compared, or cut anew.
+_SUMS = np.dtype([("h", "<u8"), ("contents", "<u8"), ("windows", "<u8")])
+_VERDICT = np.dtype([("h", "<u8"), ("verdict", "u1")])
+WANTED, CROWDED = 1, 2
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -357,6 +361,12 @@ def _dealt(slice_: int, values: np.ndarray, keys: np.ndarray, ranges: int) -> pa
 
 
 _DEALT = "range int, slice long, data binary"
+#: ``of_anchor``: sums, with the anchors' range and the contents' range as slice; else a slice's spans and firsts.
+_MET = "of_anchor boolean, range int, slice long, spans binary, data binary"
+
+
+def _content_keys(entries: np.ndarray) -> np.ndarray:
+    return _mixed(entries["c0"] ^ _mixed(entries["h"]))
 
 
 class _Passes:
@@ -415,7 +425,7 @@ class _Passes:
                 again[here] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(here)).astype(bool)
             entries, new = _earliest(found.first_entries(cut, again[inverse], window))
             entries = entries[new]
-            return _dealt(own.column("slice")[0].as_py(), entries, entries["h"], ranges)
+            return _dealt(own.column("slice")[0].as_py(), entries, _content_keys(entries), ranges)
 
         return self.over(shared, run, _DEALT)
 
@@ -427,13 +437,59 @@ class _Passes:
             asked = np.frombuffer(b"".join(messages.column("crowded").to_pylist()), _ASKED)
             entries, new = _earliest(open_(own).recut(asked, window, level) if len(asked) else np.zeros(0, _ENTRY))
             entries = entries[new]
-            return _dealt(own.column("slice")[0].as_py(), entries, entries["h"], ranges)
+            return _dealt(own.column("slice")[0].as_py(), entries, _content_keys(entries), ranges)
 
         return self.over(marks.where(F.length("crowded") > 0).select("slice", "crowded"), run, _DEALT)
 
     def resolved(self, entries: DataFrame, crowd: bool) -> DataFrame:
-        """(slice, spans, wanted, crowded): what a slice loses as copies; segments to compare, and to cut anew."""
+        """(slice, spans, wanted, crowded): what a slice loses as copies; segments to compare, and to cut anew.
+
+        Entries are dealt by content, so an anchor's stand in all ranges.  Each range finds
+        its copies and adds up its contents and windows of each anchor; the sums, one small
+        row a range and anchor, meet by anchor, and the ranges learn which anchors have
+        several contents and which of these are crowded.
+        """
         window = self.window
+        met = saved(entries.groupBy("range").applyInArrow(self._contents(), _MET), "op4-contents")
+
+        def judge(part: pa.Table) -> pa.Table:
+            own = [np.frombuffer(x, _SUMS) for x in part.column("data").to_pylist()]
+            sums = np.concatenate(own)
+            h, inverse = np.unique(sums["h"], return_inverse=True)
+            contents, windows = np.bincount(inverse, sums["contents"]), np.bincount(inverse, sums["windows"])
+            size = windows + contents * (window - 1)
+            verdict = np.zeros(len(h), np.uint8)
+            verdict[contents > 1] = WANTED
+            if crowd:
+                verdict[(contents > 1) & ((windows > BLOCK_WINDOWS) | (size > BLOCK_BYTES))] = CROWDED
+            out = []
+            for x in own:
+                told = np.zeros(len(x), _VERDICT)
+                told["h"], told["verdict"] = x["h"], verdict[np.searchsorted(h, x["h"])]
+                out.append(told[told["verdict"] > 0].tobytes())
+            return pa.table({"range": part.column("slice").cast(pa.int32()), "slice": part.column("range").cast(pa.int64()), "data": pa.array(out, pa.binary())})
+
+        def mark(own: pa.Table, messages: pa.Table) -> pa.Table:
+            told = np.concatenate([np.frombuffer(x, _VERDICT) for x in messages.column("data").to_pylist()] or [np.zeros(0, _VERDICT)])
+            told = told[np.argsort(told["h"])]
+            wanted, crowded = [], []
+            for raw in own.column("data").to_pylist():
+                asked = np.frombuffer(raw, _ASKED)
+                at = np.minimum(np.searchsorted(told["h"], asked["h"]), max(0, len(told) - 1))
+                verdict = np.where(told["h"][at] == asked["h"], told["verdict"][at], 0) if len(told) else np.zeros(len(asked), np.uint8)
+                wanted.append(asked[verdict == WANTED].tobytes())
+                crowded.append(asked[verdict == CROWDED].tobytes())
+            return pa.table({"slice": own.column("slice"), "spans": own.column("spans"), "wanted": pa.array(wanted, pa.binary()), "crowded": pa.array(crowded, pa.binary())})
+
+        sums, found = met.where("of_anchor").select("range", "slice", "data"), met.where("not of_anchor").select("range", "slice", "spans", "data")
+        verdicts = sums.groupBy("range").applyInArrow(judge, _DEALT)
+        schema = "slice long, spans binary, wanted binary, crowded binary"
+        marks = found.groupBy("range").cogroup(verdicts.groupBy("range")).applyInArrow(mark, schema)
+        return marks.where("length(spans) + length(wanted) + length(crowded) > 0")
+
+    def _contents(self):
+        """Of one range of contents: by slice, the spans of copies and the first of each content; by range of anchors, their sums."""
+        window, ranges = self.window, self.ranges
 
         def run(part: pa.Table) -> pa.Table:
             own = [np.frombuffer(x, _ENTRY) for x in part.column("data").to_pylist()]
@@ -448,26 +504,24 @@ class _Passes:
             # An entry at the very place of the first is that place, seen in an equal row.
             same = (e["doc"] == e["doc"][first]) & (e["tie"] == e["tie"][first]) & (e["s"] == e["s"][first])
             group = np.cumsum(anchor) - 1
-            contents = np.bincount(group, new)
-            windows = np.bincount(group, np.where(new, e["n"], 0))
-            size = windows + contents * (window - 1)
-            many = crowd & ((windows > BLOCK_WINDOWS) | (size > BLOCK_BYTES))
-            compared = same & (contents > 1)[group]
+            sums = np.zeros(int(anchor.sum()), _SUMS)
+            sums["h"], sums["contents"], sums["windows"] = e["h"][anchor], np.bincount(group, new), np.bincount(group, np.where(new, e["n"], 0))
             asked = np.zeros(len(e), _ASKED)
             for name in _ASKED.names:
                 asked[name] = e[name]
-            kinds = [(_spans(e, window), ~same), (asked, compared & ~many[group]), (asked, compared & many[group])]
-            ids = np.unique(slice_)
-            columns = []
-            for values, mask in kinds:
+            ids, columns = np.unique(slice_), []
+            for values, mask in ((_spans(e, window), ~same), (asked, same)):
                 picked, of = values[mask], slice_[mask]
                 by = np.argsort(of, kind="stable")
                 cuts = np.searchsorted(of[by], ids)
                 columns.append([x.tobytes() for x in np.split(picked[by], cuts[1:])])
-            return pa.table({"slice": ids, **{n: pa.array(x, pa.binary()) for n, x in zip(("spans", "wanted", "crowded"), columns)}})
+            number = part.column("range")[0].as_py()
+            dealt = _dealt(number, sums, sums["h"], ranges)
+            kept = pa.table({"of_anchor": pa.array([False] * len(ids)), "range": pa.array([number] * len(ids), pa.int32()), "slice": ids, "spans": pa.array(columns[0], pa.binary()), "data": pa.array(columns[1], pa.binary())})
+            summed = pa.table({"of_anchor": pa.array([True] * dealt.num_rows), "range": dealt.column("range"), "slice": dealt.column("slice"), "spans": pa.nulls(dealt.num_rows, pa.binary()), "data": dealt.column("data")})
+            return pa.concat_tables([kept, summed])
 
-        schema = "slice long, spans binary, wanted binary, crowded binary"
-        return entries.groupBy("range").applyInArrow(run, schema).where("length(spans) + length(wanted) + length(crowded) > 0")
+        return run
 
     def compared(self, marks: DataFrame) -> DataFrame:
         """(slice, spans): spans of windows that equal an earlier one, anchor by anchor, through suffix arrays."""
@@ -579,11 +633,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digests: bool = False)
     manifest = write_slices(docs.toDF(*places), id_at, text_at, new_dir(docs.sparkSession, "op4-slices"))
     passes = _Passes(manifest, id_at, text_at, window)
     shared = saved(passes.shared_anchors(), "op4-anchors")
-    entries, told, old = passes.first_entries(shared), [], []
+    entries, told = passes.first_entries(shared), []
     for level in range(1, RECUTS + 3):
         # Single windows that share their hash are a few clashes, never crowded.
         marks = saved(passes.resolved(entries, crowd=level < RECUTS + 2), "op4-marks")
-        old.append(marks)
         told += [marks.select("slice", F.lit(level).alias("level"), "spans", "crowded")]
         found = saved(passes.compared(marks), "op4-spans")
         told += [found.select("slice", F.lit(0).alias("level"), "spans", F.lit(None).cast("binary").alias("crowded"))]

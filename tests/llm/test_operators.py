@@ -7,6 +7,7 @@ import hashlib
 import random
 import time
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -277,6 +278,22 @@ def test_op4_deals_crowded_anchors_again(spark, monkeypatch):
         assert (len(groups) > 1) == (limit < 100_000)
 
 
+def test_op4_spreads_a_hot_anchor(spark, monkeypatch, tmp_path):
+    """The segments of one line that stands in all documents are dealt by content: no range holds most of them."""
+    monkeypatch.setattr(op4_suffix, "SLICE_BYTES", 10_000)
+    rng = random.Random(4)
+    say = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    docs = [(d, say(90) + "One line of sixty-five bytes that stands in every document here!!" + say(90)) for d in range(600)]
+    manifest = op4_suffix.write_slices(spark.createDataFrame(docs, "c0 long, c1 string"), 0, 1, f"file://{tmp_path}/slices")
+    passes = op4_suffix._Passes(manifest, 0, 1, 100)
+    rows = passes.first_entries(passes.shared_anchors()).collect()
+    held = Counter()
+    hot = Counter(h for r in rows for h in np.frombuffer(r["data"], op4_suffix._ENTRY)["h"].tolist()).most_common(1)[0]
+    for r in rows:
+        held[r["range"]] += int((np.frombuffer(r["data"], op4_suffix._ENTRY)["h"] == hot[0]).sum())
+    assert hot[1] >= 300 and max(held.values()) < 4 * hot[1] / passes.ranges
+
+
 @pytest.mark.parametrize("slice_bytes", [1, 2000, 32_000_000])
 def test_op4_rows_that_share_an_id(spark, monkeypatch, slice_bytes):
     """Rows of one id and different texts are places of their own; equal rows are one place; null ids take no part."""
