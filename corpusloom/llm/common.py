@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The characters that count as white space in every word and line rule here.
 SPACE = " \t\n\x0b\x0c\r"
@@ -129,10 +130,10 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
 HOT_KEYS = 1000
 
 
-def joined_by_share(rows: DataFrame, keyed: DataFrame, on: str, held: str, total: int) -> DataFrame:
-    """``rows`` with the other columns of ``keyed`` (one row a binary key ``on``; null where it has none).
+def joined_by_share(rows: DataFrame, keyed: DataFrame, on: str, held: str, total: Column | int) -> DataFrame:
+    """``rows`` with the other columns of ``keyed`` (one row a key ``on``, long or binary; null where it has none).
 
-    ``held`` counts the rows of each key, ``total`` all of them.  The hot keys, fewer
+    ``held`` counts the rows of each key at least, ``total`` all of these.  The hot keys, fewer
     than ``HOT_KEYS`` whatever the tables, are broadcast; rows that they serve are dealt
     by their own hash in the second join, so that no key's rows meet in one task.
     """
@@ -141,7 +142,10 @@ def joined_by_share(rows: DataFrame, keyed: DataFrame, on: str, held: str, total
     is_hot = F.col(f"_found.{held}") * HOT_KEYS > total
     hot = named.where(is_hot).select(F.col("_key").alias("_hot"), F.col("_found").alias("_at_once"))
     first = rows.join(F.broadcast(hot), rows[on] == F.col("_hot"), "left")
-    own = F.concat(F.lit(b"-"), F.xxhash64(*rows.columns, F.spark_partition_id()).cast("string").cast("binary"))
+    own = F.xxhash64(*rows.columns, F.spark_partition_id())
+    if rows.schema[on].dataType == T.BinaryType():
+        own = own.cast("string").cast("binary")
+    # What a hot row may find by its own hash is not looked at.
     first = first.withColumn("_own", F.when(F.col("_hot").isNull(), F.col(on)).otherwise(own))
     second = first.join(named.where(~is_hot).hint("merge"), F.col("_own") == F.col("_key"), "left")
     found = F.coalesce("_at_once", "_found")

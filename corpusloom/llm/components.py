@@ -11,21 +11,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved
+from .common import discard, joined_by_share, saved
 
 
-def _large(links: DataFrame) -> DataFrame:
+def _large(links: DataFrame, total: int) -> DataFrame:
+    """A vertex of many links is broadcast with its least neighbour; ``total``: links in both directions."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m"))
-    return both.join(least, both["a"] == least["v"]).where(F.col("b") > F.col("v")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("degree"))
+    return joined_by_share(both, least, "a", "degree", total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small(links: DataFrame) -> DataFrame:
+def _small(links: DataFrame, total: int) -> DataFrame:
     """links have b < a."""
-    least = links.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "v")
-    joined = links.join(least, links["a"] == least["v"])
-    moved = joined.where("b <> m")
-    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("v").alias("a"), F.col("m").alias("b"))).distinct()
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+    moved = joined_by_share(links, least, "a", "degree", total).where("b <> m")
+    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -35,7 +35,8 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     digest = lambda d: d.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("b", "a") % 1_000_003).alias("y")).first()
     before = digest(current)
     while before["n"]:
-        old, current = current, saved(_small(_large(current)), label)
+        # The large step gives no more links than it takes.
+        old, current = current, saved(_small(_large(current, 2 * before["n"]), before["n"]), label)
         discard(old)
         now = digest(current)
         if now == before:

@@ -39,12 +39,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, is_empty, saved, slices, table
+from .common import discard, is_empty, joined_by_share, saved, slices, table
 from .components import components
 
 SHINGLE_WORDS = 4
 SIMILARITY_PERCENT = 80
 BANDS, BAND_ROWS = 40, 6
+#: Pairs of a hub that one copy of its set serves.
+HUB_PAIRS = 1024
 #: Members and shingles of a block that one task compares with another.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Cells of an incidence matrix that are held at a time.
@@ -150,9 +152,14 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, ...) whose full sets are similar enough, in any of a document's sets."""
+    """The pairs (a, b, ra, rb) whose full sets are similar enough, in any of a document's sets.
+
+    b is a hub and rb bounds its pairs: they are salted, about HUB_PAIRS of them meet one copy of the hub's set.
+    """
+    salts = F.ceil(F.col("rb") / HUB_PAIRS).cast("int")
+    hubs = pairs.select("b", "rb").distinct().join(sets.select(F.col("doc").alias("b"), F.col("items").alias("_y")).hint("merge"), "b")
+    right = hubs.select("b", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"), "_y")
     left = sets.select(F.col("doc").alias("a"), F.col("items").alias("_x"))
-    right = sets.select(F.col("doc").alias("b"), F.col("items").alias("_y"))
     names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +171,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(range(len(names))).filter(pa.array(linked, pa.bool_()))
 
     fields = pairs.schema
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select(*names, "_x", "_y").mapInArrow(run, fields)
+    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("a"), salts).cast("int"))
+    return salted.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "_salt"]).select(*names, "_x", "_y").mapInArrow(run, fields)
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -218,13 +226,15 @@ def _open_cells(members: DataFrame, links: DataFrame, percent: int) -> DataFrame
     hubs = ends.groupBy("e.doc").agg(F.max(F.struct("e.r", "e.m")).alias("hub"))
     own = F.struct(F.col("reach").alias("r"), (-F.col("doc")).alias("m"))
     labelled = members.join(hubs, "doc", "left").withColumn("label", -F.greatest(own, "hub")["m"])
+    total = members.count()
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("c", "label"))["label"].alias("main"), F.sum("c").alias("all_c"), F.sum("n").alias("all_n")).where("k > 1").drop("k")
-    live = labelled.join(mixed, "key").withColumn("out", F.col("label") != F.col("main"))
-    limits = live.where("out").groupBy("key").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("out_c"), F.sum("n").alias("out_n"))
+    # A bucket that holds many of the members is broadcast with its figures.
+    live = joined_by_share(labelled, mixed, "key", "all_c", total).where("all_c is not null").withColumn("out", F.col("label") != F.col("main"))
+    limits = live.where("out").groupBy("key").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("out_c"), F.sum("n").alias("out_n"), F.max("all_c").alias("held"))
     blocks = lambda c, n: F.ceil(F.greatest(F.col(c) / BLOCK_MEMBERS, F.col(n) / BLOCK_SHINGLES)).cast("int")
     # A member of another size than any outside the main label has no partner.
-    able = live.join(limits, "key").where((100 * F.col("n") >= percent * F.col("least")) & (percent * F.col("n") <= 100 * F.col("most")))
+    able = joined_by_share(live, limits, "key", "held", total).where((100 * F.col("n") >= percent * F.col("least")) & (percent * F.col("n") <= 100 * F.col("most")))
     able = able.withColumns({"bi": blocks("out_c", "out_n"), "bj": blocks("all_c", "all_n")})
     able = able.withColumns({"qi": F.pmod(F.xxhash64("doc", F.lit(1)), "bi").cast("int"), "qj": F.pmod(F.xxhash64("doc", F.lit(2)), "bj").cast("int")})
     as_member = F.transform(F.sequence(F.lit(0), F.col("bi") - 1), lambda i: F.struct(i.alias("i"), F.col("qj").alias("j")))
@@ -278,8 +288,9 @@ def near_links(docs: DataFrame, reps: DataFrame, words: int = SHINGLE_WORDS, per
     sets = saved(_full_sets(docs, rest.select("doc").distinct(), words), "op2-sets")
     reach = rest.groupBy("doc").agg(F.sum("k").alias("reach"))
     members = saved(rest.join(reach, "doc").drop("k"), "op2-members")
-    hubs = members.groupBy("key").agg(F.max(F.struct("reach", (-F.col("doc")).alias("m"), "n")).alias("h")).select("key", (-F.col("h.m")).alias("hub"), F.col("h.reach").alias("hub_reach"), F.col("h.n").alias("hub_n"))
-    met = members.join(hubs, "key").where((F.col("doc") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
+    hubs = members.groupBy("key").agg(F.max(F.struct("reach", (-F.col("doc")).alias("m"), "n")).alias("h"), F.count("*").alias("held"))
+    hubs = hubs.select("key", (-F.col("h.m")).alias("hub"), F.col("h.reach").alias("hub_reach"), F.col("h.n").alias("hub_n"), "held")
+    met = joined_by_share(members, hubs, "key", "held", members.count()).where((F.col("doc") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
     pairs = met.select(F.col("doc").alias("a"), F.col("hub").alias("b"), F.col("reach").alias("ra"), F.col("hub_reach").alias("rb")).distinct()
     first = saved(_confirmed(pairs, sets, percent), "op2-links")
     second = _compared(_open_cells(members, first, percent), sets, percent)
@@ -293,14 +304,18 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     found = saved(sketches(docs, words), "op2-sketches")
     part = found.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     marks = ["n_shingles", "s1", "s2"]
-    reps = saved(part.groupBy(*marks).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.any_value("bands").alias("bands")), "op2-classes")
-    copied = reps.where(F.col("rep") < F.col("last")).select(*marks, "rep")
+    reps = saved(part.groupBy(*marks).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "op2-classes")
+    mark = F.concat_ws("-", *marks).cast("binary").alias("mark")
+    copied = reps.where(F.col("rep") < F.col("last")).select(mark, "rep", "copies")
     links = near_links(docs, reps.select("rep", "n_shingles", "bands"), words, percent)
-    rows = found.drop("bands").join(copied, marks, "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
+    total = found.count()
+    rows = joined_by_share(found.select("doc_id", "n_shingles", mark), copied, "mark", "copies", total)
+    rows = rows.withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))).drop("copies")
     labels = None
     if links is not None:
         labels = components(links, "op2-components")
-        rows = rows.join(labels.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
+        by_rep = labels.join(reps.select(F.col("rep").alias("vertex"), "copies").hint("merge"), "vertex").groupBy(F.col("vertex").alias("rep")).agg(F.max("component").alias("component"), F.sum("copies").alias("copies"))
+        rows = joined_by_share(rows, by_rep, "rep", "copies", total)
     else:
         rows = rows.withColumn("component", F.lit(None).cast("long"))
     component = F.coalesce("component", "rep")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_dir, read_file, saved, slices, spread, table, write_file
+from .common import joined_by_share, new_dir, read_file, saved, slices, spread, table, write_file
 
 #: Payloads of fewer bytes are always written as responses.
 MIN_PAYLOAD_BYTES = 0
@@ -167,10 +167,11 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, refers_to_id string"
     records = saved(spread(manifest.select("path"), "path").mapInArrow(read, schema), "op8-records")
     responses = records.where("record_type = 'response'")
-    wanted = records.where("record_type = 'revisit'").select(F.col("refers_to_id").alias("_id")).distinct()
-    # One row a response, though equal rows may have written equal records.
-    originals = responses.join(wanted, F.col("record_id") == F.col("_id"), "left_semi").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("_bytes"))
-    revisits = records.where("record_type = 'revisit'").drop("payload_bytes").join(originals, "refers_to_id")
+    revisits = records.where("record_type = 'revisit'").drop("payload_bytes").withColumn("_target", F.col("refers_to_id").cast("binary"))
+    wanted = revisits.groupBy(F.col("refers_to_id").alias("_id")).agg(F.count("*").alias("_held"))
+    # One row a response, though equal rows may have written equal records; a response that many revisit is broadcast.
+    originals = responses.join(wanted, F.col("record_id") == F.col("_id")).groupBy(F.col("record_id").cast("binary").alias("_target")).agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("_bytes"), F.max("_held").alias("_held"))
+    revisits = joined_by_share(revisits, originals, "_target", "_held", revisits.count())
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return responses.withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(revisits.withColumnRenamed("_bytes", "payload_bytes").select(*columns))
 
