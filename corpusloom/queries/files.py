@@ -10,7 +10,7 @@ from ..functions.scalar import portable_hash, portable_hash_sql
 from ..operators import corpus as C
 from ..operators import metrics, selection
 from ..plans import preparation
-from ..session import checkpoint_folder, checkpointed, table
+from ..session import checkpoint_folder, checkpointed, numbered, table
 from ..sources import generator, readers, writers
 from .corpus import _MI, LANGS, STOP, STOP_SQL, TF, TOP, VOCAB, docs_of, labelled, tf_of, top_words
 from .models import _EVAL, _evaluated
@@ -41,10 +41,12 @@ def triples_round_trip(spark, sf_dir):
     return readers.triples(spark, folder)
 
 
-@query(f"WITH {TF}, {VOCAB} SELECT row_number() OVER (ORDER BY total DESC, word) AS pos, word FROM voc QUALIFY pos <= 500")
+@query(f"WITH {TF}, {VOCAB} SELECT row_number() OVER (ORDER BY total DESC, word) AS pos, word FROM voc")
 def rank_list_round_trip(spark, sf_dir):
+    """The whole vocabulary by descending totals, a word a line."""
     folder = _folder(spark)
-    writers.write_ranks(top_words(tf_of(spark, sf_dir), 500), folder)
+    totals = tf_of(spark, sf_dir).groupBy("word").agg(F.sum("n").alias("total"))
+    writers.write_ranks(numbered(totals, "rank", F.desc("total"), F.asc("word")).select("word", "rank"), folder)
     return readers.positional(spark, folder, "word")
 
 
@@ -55,21 +57,35 @@ def label_file_round_trip(spark, sf_dir):
     return readers.positional(spark, folder, "label")
 
 
-@query("SELECT CAST(i - 1 AS INTEGER) AS y, ['de', 'en', 'es', 'fr'][i] AS name FROM (SELECT unnest(range(1, 5)) AS i)")
+@query("SELECT CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS y, lang AS name FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)")
 def class_map_round_trip(spark, sf_dir):
+    """The languages of the documents as classes."""
     folder = _folder(spark)
-    writers.write_class_map(spark.createDataFrame(list(enumerate(LANGS)), "y int, name string"), folder)
+    langs = C.dense_label_index(docs_of(spark, sf_dir).where("lang is not null").select("doc_id", "lang"), "lang").select("y", F.col("lang").alias("name")).distinct()
+    writers.write_class_map(langs, folder)
     return readers.class_map(spark, folder)
 
 
-@query("SELECT 'documents  ' || count(*) AS line FROM documents UNION ALL SELECT 'label ' || source || ' ' || count(*) FROM documents GROUP BY source")
+@query(f"WITH {TF} SELECT 'documents  ' || count(*) AS line FROM documents UNION ALL SELECT 'vocabulary  ' || count(DISTINCT word) FROM tf UNION ALL SELECT 'label ' || source || ' ' || count(*) FROM documents GROUP BY source")
 def corpus_info_round_trip(spark, sf_dir):
-    folder, docs = _folder(spark), docs_of(spark, sf_dir)
-    info = C.corpus_info(docs, docs.select("doc_id", F.lit("w").alias("word")), "source")
-    writers.write_info(info.where("kind <> 'vocabulary'"), folder)
+    folder = _folder(spark)
+    writers.write_info(C.corpus_info(docs_of(spark, sf_dir), tf_of(spark, sf_dir), "source"), folder)
     return spark.read.text(folder).select(F.col("value").alias("line"))
 
 
+@query(r"SELECT doc_id, lang || ',' || source AS topics, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS body FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def sgml_round_trip(spark, sf_dir):
+    """Documents written as markup files, with their language and source as topics, and read back record by record."""
+    folder = _folder(spark)
+    docs = docs_of(spark, sf_dir).where("lang is not null and source is not null")
+    escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    topics = [F.concat(F.lit("<D>"), x, F.lit("</D>")) for x in (F.col("doc_id").cast("string"), F.col("lang"), F.col("source"))]
+    record = F.concat(F.lit("<DOC><TOPICS>"), *topics, F.lit("</TOPICS>\n<BODY>"), escaped, F.lit("</BODY></DOC>"))
+    docs.select(record.alias("value")).write.text(folder)
+    found = readers.sgml_documents(spark, folder, document="DOC", encoding="UTF-8")
+    return found.select(F.col("topics")[0].cast("long").alias("doc_id"), F.concat_ws(",", F.slice("topics", 2, 2)).alias("topics"), F.trim("body").alias("body"))
+
+
 @query(f"WITH {TF} SELECT * FROM tf WHERE word NOT IN ({STOP_SQL})")
 def stop_word_file(spark, sf_dir):
     folder = _folder(spark)
@@ -88,8 +104,6 @@ def topic_list_file(spark, sf_dir):
 @query(f"WITH {TF}, {VOCAB}, r AS (SELECT word, row_number() OVER (ORDER BY total, word DESC) AS rank FROM voc), t AS (SELECT max(rank) AS t FROM r) SELECT doc_id, rank - (t - 200) AS word_id, n FROM tf JOIN r USING (word), t WHERE rank > t - 200")
 def bottom_features(spark, sf_dir):
     """The last 200 words of the ascending rank of totals."""
-    from ..session import numbered
-
     tf = checkpointed(tf_of(spark, sf_dir))
     totals = tf.groupBy("word").agg(F.sum("n").alias("total"))
     return C.bottom_features(tf, numbered(totals, "rank", F.asc("total"), F.desc("word")).select("word", "rank"), 200)
@@ -97,29 +111,27 @@ def bottom_features(spark, sf_dir):
 
 @query(f"WITH {TF}, {VOCAB}, r AS (SELECT word, row_number() OVER (ORDER BY total, word DESC) AS rank FROM voc) SELECT doc_id, rank - 1 AS word_id, n FROM tf JOIN r USING (word) WHERE rank > 1")
 def all_features_but_the_lowest(spark, sf_dir):
-    from ..session import numbered
-
     tf = checkpointed(tf_of(spark, sf_dir))
     totals = tf.groupBy("word").agg(F.sum("n").alias("total"))
     return C.bottom_features(tf, numbered(totals, "rank", F.asc("total"), F.desc("word")).select("word", "rank"), -1)
 
 
-# The corpus of the generator: three classes over four words.
+# The corpus of the generator: three classes over four words, a drawn document for each of the table.
 _PRIOR, _WORDS = [0.2, 0.5, 0.3], [[0.25, 0.25, 0.25, 0.25], [0.5, 0.25, 0.125, 0.125], [0.125, 0.125, 0.25, 0.5]]
 _DRAW = lambda share, weights: " + ".join(f"CASE WHEN {share} >= {sum(weights[:i]) / sum(weights)!r} THEN 1 ELSE 0 END" for i in range(1, len(weights)))
-_SYNTHETIC = f"""g AS (SELECT i AS doc_id, {_DRAW(portable_hash_sql("i", generator.CLASS_SEED) + " / 4294967296e0", _PRIOR)} AS y FROM (SELECT unnest(range(1, 501)) AS i)),
+_SYNTHETIC = f"""g AS (SELECT i AS doc_id, {_DRAW(portable_hash_sql("i", generator.CLASS_SEED) + " / 4294967296e0", _PRIOR)} AS y FROM (SELECT doc_id AS i FROM documents)),
 w AS (SELECT doc_id, y, {portable_hash_sql("doc_id || '-' || k", generator.WORD_SEED)} / 4294967296e0 AS u FROM g, (SELECT unnest(range(1, 41)) AS k)),
 gtf AS (SELECT doc_id, 1 + CASE y {" ".join(f"WHEN {y} THEN {_DRAW('u', row)}" for y, row in enumerate(_WORDS))} END AS word_id, count(*) AS n FROM w GROUP BY ALL)"""
 
 
 @query(f"WITH {_SYNTHETIC}, c AS (SELECT g.doc_id, g.y, i, coalesce(n, 0) AS n FROM g CROSS JOIN (SELECT unnest(range(1, 5)) AS i) p LEFT JOIN gtf ON gtf.doc_id = g.doc_id AND gtf.word_id = i) SELECT y, string_agg(CAST(CAST(n AS BIGINT) AS VARCHAR), ',' ORDER BY i) AS counts, count(*) OVER (PARTITION BY y) AS documents FROM c GROUP BY doc_id, y")
 def synthetic_corpus(spark, sf_dir):
-    """500 generated documents, written as dense CSV in two goes (the second appended) and read back."""
+    """A drawn document for each id of the table, written as dense CSV in two goes (the second appended) and read back."""
     folder = _folder(spark)
-    docs, tf = generator.synthetic_corpus(spark, 500, 40, _PRIOR, _WORDS)
-    rows = C.dense_rows(docs, tf, 4)
-    writers.write_dense_csv(rows.where("doc_id <= 250"), folder)
-    writers.write_dense_csv(rows.where("doc_id > 250"), folder, mode="append")
+    docs, tf = generator.synthetic_corpus(docs_of(spark, sf_dir).select("doc_id"), 40, _PRIOR, _WORDS)
+    rows, first = C.dense_rows(docs, tf, 4), portable_hash(F.col("doc_id"), 4) % 2 == 0
+    writers.write_dense_csv(rows.where(first), folder)
+    writers.write_dense_csv(rows.where(~first), folder, mode="append")
     found = readers.dense_csv(spark, folder)
     counts = found.select("y", F.concat_ws(",", F.transform("features", lambda x: x.cast("bigint").cast("string"))).alias("counts"))
     return counts.join(found.groupBy("y").agg(F.count("*").alias("documents")), "y")

@@ -194,10 +194,11 @@ def _experiment(spark, sf_dir):
 
 @query()
 def exp_1a(spark, sf_dir):
-    (docs, more), (few, many) = _experiment(spark, sf_dir), FEATURES
-    tf = checkpointed(_first_words(spark, sf_dir, many))
-    sets = {f"words{few}": (tf.where(F.col("word_id") <= few), few), f"words{many}_l1": (C.scaled(tf, 1000, "l1"), many)}
-    return experiments.feature_selection(docs, more, sets, k=5)
+    """The words of most information in each run's own labelled documents, plain and scaled."""
+    (docs, more), (tf, _) = _experiment(spark, sf_dir), features(spark, sf_dir)
+    runs = checkpointed(experiments.fold_runs(docs, 5))
+    sets = experiments.information_sets(runs, tf.withColumnRenamed("word_id", "word"), list(FEATURES), 1000)
+    return experiments.feature_selection(docs, more, sets, runs=runs)
 
 
 @query()

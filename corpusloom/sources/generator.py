@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ParameterError
@@ -20,12 +20,12 @@ def _drawn(share: Column, weights: list[float]) -> Column:
     return F.least(F.aggregate(F.array(*[F.lit(float(x)) for x in bounds]), F.lit(0), lambda s, b: s + (share >= b * bounds[-1] ** -1).cast("int")), F.lit(len(weights) - 1))
 
 
-def synthetic_corpus(spark: SparkSession, documents: int, length: int, prior: list[float], words: list[list[float]]) -> tuple[DataFrame, DataFrame]:
-    """(docs(doc_id, y), tf(doc_id, word_id, n)): class by ``prior``, ``length`` words each by the class's row of ``words``."""
+def synthetic_corpus(ids: DataFrame, length: int, prior: list[float], words: list[list[float]]) -> tuple[DataFrame, DataFrame]:
+    """(docs(doc_id, y), tf(doc_id, word_id, n)) for the ids (doc_id): class by ``prior``, ``length`` words each by the class's row of ``words``."""
     if len(prior) != len(words) or min(map(len, words)) != max(map(len, words)):
         raise ParameterError("one row of word weights, of one width, is needed for each class")
     share = lambda key, seed: portable_hash(key, seed) / F.lit(4294967296.0)
-    docs = spark.range(1, documents + 1).select(F.col("id").alias("doc_id")).withColumn("y", _drawn(share(F.col("doc_id"), CLASS_SEED), prior))
+    docs = ids.select("doc_id").withColumn("y", _drawn(share(F.col("doc_id"), CLASS_SEED), prior))
     draws = docs.select("doc_id", "y", F.explode(F.sequence(F.lit(1), F.lit(length))).alias("_i"))
     at = share(F.concat_ws("-", "doc_id", "_i"), WORD_SEED)
     word = F.coalesce(*[F.when(F.col("y") == y, _drawn(at, row)) for y, row in enumerate(words)]) + 1

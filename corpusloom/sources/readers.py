@@ -102,11 +102,14 @@ def element(text: Column, tag: str) -> Column:
 def sgml_documents(spark: SparkSession, path: str, document: str = "REUTERS", topic: str = "D", body: str = "BODY", encoding: str = "ISO-8859-1") -> DataFrame:
     """(topics ARRAY<STRING>, body) of every document element of the files; white space of bodies is collapsed.
 
+    Files are split where document elements end, so one file is read by many tasks and
+    no task holds more than an element; the closing tag is spelt as ``document`` is.
+    What stands outside elements is left out; an element within which a file ends is read as far as it goes.
     Topics are the contents of all topic elements, as documents list places and
     people in the same way; choose among them by a list of known topics.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.decode("content", encoding).alias("t"))
-    docs = files.select(F.explode(F.regexp_extract_all("t", F.lit(rf"(?is)<{document}\b.*?</{document}>"), F.lit(0))).alias("d"))
+    records = spark.read.option("lineSep", f"</{document}>").text(path).select(F.decode(F.col("value").cast("binary"), encoding).alias("t"))
+    docs = records.select(F.regexp_extract("t", rf"(?is)<{document}\b.*", 0).alias("d")).where("d <> ''")
     return docs.select(elements(F.col("d"), topic).alias("topics"), F.regexp_replace(unescaped(element(F.col("d"), body)), r"\s+", " ").alias("body"))
 
 

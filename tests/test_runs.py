@@ -297,3 +297,67 @@ def test_a_fit_that_goes_round_ends(spark, points, monkeypatch):
     next(step)
     with pytest.raises(NotConvergedError):
         gmm.fit_runs(rows, {0: first})
+
+
+def test_markup_files_are_read_by_record(spark, tmp_path):
+    """A file larger than a split is many tasks; entities and bodies over several lines are kept."""
+    from corpusloom.sources import readers
+
+    want = []
+    with open(tmp_path / "big.sgm", "wb") as out:
+        out.write(b'<!DOCTYPE lewis SYSTEM "lewis.dtd">\n')
+        for i in range(3000):
+            body = f"Number {i} caf\xe9 &amp; tea\n  &lt;{i}&gt; end &#3;"
+            out.write(f'<REUTERS ID="{i}">\n<TOPICS><D>t{i % 7}</D><D>all</D></TOPICS><TITLE>x</TITLE><BODY>{body}</BODY>\n</REUTERS>\n'.encode("latin-1"))
+            want.append((f"t{i % 7}", f"Number {i} caf\xe9 & tea <{i}> end "))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        docs = readers.sgml_documents(spark, str(tmp_path / "big.sgm"))
+        assert docs.rdd.getNumPartitions() > 5
+        found = docs.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["topics"][0], r["body"].replace("\x03", "")) for r in found) == sorted(want) and all(r["topics"][1] == "all" for r in found)
+
+
+def test_information_sets_are_those_of_each_run(spark, terms):
+    """Words are chosen by each run's own labels; a model of all runs gives what a model of one run over its words gives."""
+    from corpusloom.plans import experiments
+
+    x, y, _, tf, _ = terms
+    docs = spark.createDataFrame([(i, int(y[i])) for i in range(120)], "doc_id long, y int")
+    runs = experiments.fold_runs(docs, 3).cache()
+    words = tf.withColumnRenamed("word_id", "word")
+    sets = experiments.information_sets(runs, words, [3, 5], 100)
+    assert set(sets) == {"mi3", "mi3_l1", "mi5", "mi5_l1"}
+    chosen = {}
+    for run in range(3):
+        own = runs.where((F.col("run_id") == run) & F.col("y").isNotNull())
+        top = selection.best(selection.mutual_information(words, own.select("doc_id", "y")), 3)
+        chosen[run] = {r["word"] for r in top.collect()}
+        for name in ("mi3", "mi3_l1"):
+            packed = {(r["doc_id"], r["word_id"]): r["n"][run] for r in sets[name][0].collect() if r["n"][run]}
+            kept = {(r["doc_id"], r["word_id"]): float(r["n"]) for r in tf.collect() if r["word_id"] in chosen[run]}
+            if name == "mi3_l1":
+                length = {}
+                for (d, _), n in kept.items():
+                    length[d] = length.get(d, 0) + n
+                kept = {k: n * 100 / length[k[0]] for k, n in kept.items()}
+            assert packed == {k: pytest.approx(n) for k, n in kept.items()}
+    assert len({frozenset(c) for c in chosen.values()}) > 1
+    found = experiments.train_and_test(runs, sets["mi3"][0], 3, [1, 1]).collect()
+    for run in range(3):
+        single = spark.createDataFrame([(r["doc_id"], r["word_id"], r["n"]) for r in tf.collect() if r["word_id"] in chosen[run]], "doc_id long, word_id string, n int")
+        alone = experiments.train_and_test(runs.where(F.col("run_id") == run), single, 3, [1, 1]).collect()
+        assert {(r["doc_id"], r["predicted"]) for r in alone} == {(r["doc_id"], r["predicted"]) for r in found if r["run_id"] == run}
+
+
+def test_entry_without_an_importable_llm(tmp_path):
+    """The library's queries stay if a module that the training-data operators need is missing."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, any(x.startswith('op') for x in q), len(e.oracle_sql()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > 80 and out[1:3] == ["False", "False"] and int(out[3]) > 60
