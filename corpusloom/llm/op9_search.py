@@ -37,12 +37,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks_for, new_dir, read_file, saved, slices, spread, table, write_file
+from .common import HOT_KEYS, blocks_for, is_empty, new_dir, read_file, saved, slices, spread, table, write_file
 
 TOP_K = 5
 SCALE = 256
 #: Vectors in a shard at most, on average; vectors in a leaf.
 SHARD_VECTORS = 8_000
+#: Queries of a shard that one group answers, about.
+QUERY_BLOCK = 20_000
+#: Shards that a query has asked after each wave but the last.
+WAVES = (2, 8)
 LEAF_VECTORS = 64
 #: Pivots at most, taken from the rows of least hash.
 CLUSTERS = 256
@@ -177,7 +181,10 @@ def build_trees(rows: DataFrame, dimension: int) -> DataFrame:
 
 
 def search_trees(asked: DataFrame, manifest: DataFrame, dimension: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score, m): the k best of every asked (cluster, shard, query_id, p, floor) in that shard, none below the floor."""
+    """(query_id, vec_id, score, m): the k best of every asked (cluster, shard, query_id, p, floor), a saved table, in that shard, none below the floor.
+
+    A shard's queries are dealt in blocks of about QUERY_BLOCK, each a group with the shard's tree.
+    """
 
     def run(own: pa.Table, tree: pa.Table) -> pa.Table:
         rows: list[tuple[int, int, int, int]] = []
@@ -190,13 +197,24 @@ def search_trees(asked: DataFrame, manifest: DataFrame, dimension: int, k: int)
         columns = list(zip(*rows)) if rows else [()] * 4
         return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score", "m"), columns)})
 
+    # One row a shard; those with more than a thousandth of the questions, fewer than a thousand, have blocks of their own number.
+    counts = asked.groupBy("cluster", "shard").agg(F.count("*").alias("_asked"))
+    total = F.sum("_asked").over(W.partitionBy(F.lit(0)))
+    needed = lambda n: F.greatest(F.lit(1), F.ceil(n / QUERY_BLOCK)).cast("int")
+    counts = counts.withColumn("_all", needed(total / HOT_KEYS)).withColumn("_hot", F.col("_asked") * HOT_KEYS > total)
+    counts = saved(counts.withColumn("_blocks", F.when(F.col("_hot"), needed(F.col("_asked"))).otherwise(F.col("_all"))), "op9-blocks")
+    every = F.coalesce(F.max("_all"), F.lit(1))
+    hot = counts.where("_hot").select("cluster", "shard", "_blocks")
+    blocks = F.coalesce("_blocks", counts.agg(every).scalar())
     # The number of partitions is given: few bytes are much work here, and are not to be coalesced.
-    own, trees = spread(asked, "cluster", "shard"), spread(manifest, "cluster", "shard")
-    return own.groupBy("cluster", "shard").cogroup(trees.groupBy("cluster", "shard")).applyInArrow(run, "query_id long, vec_id long, score long, m long")
+    own = asked.join(F.broadcast(hot), ["cluster", "shard"], "left").withColumn("block", F.pmod(F.xxhash64("query_id"), blocks).cast("int")).drop("_blocks")
+    trees = manifest.join(counts.select("cluster", "shard", "_blocks"), ["cluster", "shard"]).select("cluster", "shard", "path", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"))
+    key = ("cluster", "shard", "block")
+    return spread(own, *key).groupBy(*key).cogroup(spread(trees, *key).groupBy(*key)).applyInArrow(run, "query_id long, vec_id long, score long, m long")
 
 
 def open_shards(queries: DataFrame, manifest: DataFrame, dimension: int) -> DataFrame:
-    """(cluster, shard, query_id, p, floor): the shards besides its own that a query (cluster, shard, query_id, p, floor) still has to ask.
+    """(cluster, shard, query_id, p, floor, bound): the shards besides its own that a query (cluster, shard, query_id, p, floor) still has to ask.
 
     A query is first bounded by a ball around each cluster (CLUSTERS at most); the
     clusters that are left are joined to their shards and bounded by those.
@@ -226,12 +244,19 @@ def open_shards(queries: DataFrame, manifest: DataFrame, dimension: int) -> Data
             norm = np.sqrt((q.astype(np.float64) ** 2).sum(1))
             bound = (q * centre).sum(1) + norm * radius
             bound += 1e-9 * (np.abs(bound) + norm * (radius + np.sqrt((centre**2).sum(1)))) + 1e-6
-            yield batch.select([0, 1, 2, 3, 4]).filter(pa.array(bound >= batch.column(4).to_numpy()))
+            rows = pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bound)], ["cluster", "shard", "query_id", "p", "floor", "bound"])
+            yield rows.filter(pa.array(bound >= batch.column(4).to_numpy()))
 
     own = queries.select("query_id", "p", "floor", F.col("cluster").alias("own"), F.col("shard").alias("own_shard"))
     near = own.mapInArrow(clusters, "query_id long, p binary, floor long, own int, own_shard int, cluster int")
     pairs = near.join(manifest.select("cluster", "shard", "centre", "radius"), "cluster").where((F.col("cluster") != F.col("own")) | (F.col("shard") != F.col("own_shard")))
-    return pairs.select("cluster", "shard", "query_id", "p", "floor", "centre", "radius").mapInArrow(shards, "cluster int, shard int, query_id long, p binary, floor long")
+    return pairs.select("cluster", "shard", "query_id", "p", "floor", "centre", "radius").mapInArrow(shards, "cluster int, shard int, query_id long, p binary, floor long, bound double")
+
+
+def _floors(found: DataFrame, k: int) -> DataFrame:
+    """query_id, floor: the k-th best score of what is found so far; none where fewer are found."""
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("_at", F.row_number().over(order)).where(F.col("_at") == k).select("query_id", F.col("score").alias("_least"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = TOP_K, shard_vectors: int = SHARD_VECTORS) -> DataFrame:
@@ -262,12 +287,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP_K, shard_vectors: i
     lowest = F.lit(-(1 << 63)).cast("long")
     asking = saved(asking.join(counts, "cluster").select("cluster", F.pmod(F.xxhash64("query_id"), "_n").cast("int").alias("shard"), "query_id", "p", lowest.alias("floor")), "op9-queries")
     first = saved(search_trees(asking, manifest, dimension, k), "op9-first")
-    # k candidates of the own shard give a floor; fewer give none.  A query id with several vectors takes none.
-    floors = first.groupBy("query_id").agg(F.min("score").alias("_least"), F.count("*").alias("_n")).where(F.col("_n") == k)
-    several = asking.groupBy("query_id").agg(F.count("*").alias("_k")).where("_k > 1").select("query_id")
-    floors = floors.join(several, "query_id", "left_anti").drop("_n")
-    known = asking.join(floors, "query_id", "left").withColumn("floor", F.coalesce("_least", "floor")).drop("_least")
-    found = first.unionByName(search_trees(open_shards(known, manifest, dimension), manifest, dimension, k))
+    # k candidates give a floor; fewer give none.  A query id with several vectors takes none.
+    several = saved(asking.groupBy("query_id").agg(F.count("*").alias("_k")).where("_k > 1").select("query_id"), "op9-several")
+    shared = lambda rows, found: rows.join(_floors(found, k).join(several, "query_id", "left_anti"), "query_id", "left").withColumn("floor", F.coalesce("_least", "floor")).drop("_least")
+    left = open_shards(shared(asking, first), manifest, dimension)
+    # A query asks its other shards in waves, those of the highest bounds first; each wave knows the k-th best score of all before.
+    by_bound = W.partitionBy("query_id", "p").orderBy(F.desc("bound"), "cluster", "shard")
+    left, found, low = saved(left.withColumn("at", F.row_number().over(by_bound)), "op9-open"), first, 0
+    others = manifest.count() - 1
+    for high in [*[x for x in WAVES if x < others], others]:
+        wave = shared(left.where((F.col("at") > low) & (F.col("at") <= high)), found).where(F.col("bound") >= F.col("floor"))
+        wave, low = saved(wave.drop("at", "bound"), "op9-wave"), high
+        if is_empty(wave):
+            continue
+        found = found.unionByName(saved(search_trees(wave, manifest, dimension, k), "op9-found"))
     every = found.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("_copy"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
