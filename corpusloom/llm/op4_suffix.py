@@ -55,7 +55,7 @@ from .common import discard, is_empty, new_dir, read_file, saved, slices, spread
 WINDOW = 100
 ANCHOR = 32
 #: Bytes of text from which on a slice takes no further document.
-SLICE_BYTES = 32_000_000
+SLICE_BYTES = 16_000_000
 #: Windows and bytes from which on a suffix array takes no further anchor; an anchor with more is dealt again.
 BLOCK_WINDOWS = 100_000
 BLOCK_BYTES = 1_500_000
