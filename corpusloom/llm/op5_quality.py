@@ -10,7 +10,9 @@ corpus always gives the same verdicts.
 Defined results: null and empty texts have no words and fail; rows without a
 ``doc_id`` are judged like others and never count as labelled; a document that is
 labelled both good and bad is not trusted; equal rows are judged one by one;
-texts of any length are read whole; a score of exactly the threshold passes; without labels, or without words, every score is 0; an empty
+texts of any length are read whole; a score of exactly the threshold passes; without labels,
+or in a corpus without words, every score is 0; elsewhere a text without words has the score of
+the empty word's bucket, which decides nothing, as it fails the base rules; an empty
 table gives no rows; other columns of the input are not read.
 """
 

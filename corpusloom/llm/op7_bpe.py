@@ -7,8 +7,9 @@ ranks; entries of the queue that no longer match their symbols are skipped.
 Decoding joins the vocabulary strings with one space, as the library does for a
 file without a decoder.  Words repeat, so each task keeps the ids of recent ones.
 
-Defined results: a null text is an empty one (no ids); null and repeated
-``doc_id`` values are kept row by row; an empty table gives no rows; other
+Defined results: a null text is an empty one (no ids); texts of any length are
+encoded whole, word by word, and a task holds one text's ids at a time; null and
+repeated ``doc_id`` values are kept row by row; an empty table gives no rows; other
 columns of the input are not read.
 """
 
