@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpointed, numbered
 
@@ -55,18 +56,25 @@ def mutual_information(tf: DataFrame, labels: DataFrame, keys: tuple[str, ...] =
     no more than as many words with one: cells become one row for each number of
     occurrences, and these one row a word, each summed before its shuffle.
     """
+    labels = labels.where("y is not null")
     seen = seen_cells(tf, labels, keys)
-    by_class = labels.groupBy(*keys, "y").agg(F.count("*").alias("size"))
-    # The classes of the class map; each is a column of the sums.
-    classes = sorted(r["y"] for r in by_class.select("y").where("y is not null").distinct().collect())
+    # A few rows: the classes of the class map and their sizes, by run.  Each class is a column of the sums.
+    by_class = labels.groupBy(*keys, "y").agg(F.count("*").alias("size")).collect()
+    classes = sorted({r["y"] for r in by_class})
     counts = [F.sum(F.when(F.col("y") == c, F.col("docs")).otherwise(0)).alias(f"_c{i}") for i, c in enumerate(classes)]
     held = [f"_c{i}" for i in range(len(classes))]
     rows = seen.groupBy(*keys, "word", "occurrences").agg(F.sum(_n_log_n(F.col("docs"))).alias("_cells"), F.sum("docs").alias("_docs"), *counts)
     # One row a word; also what the words are counted from.
     words = checkpointed(rows.groupBy(*keys, "word").agg(F.sum(F.col("_cells") - _n_log_n(F.col("_docs"))).alias("_inside"), *[F.sum(x).alias(x) for x in held]))
-    sizes = by_class.groupBy(*keys).agg(*[F.sum(F.when(F.col("y") == c, F.col("size")).otherwise(0)).alias(f"_s{i}") for i, c in enumerate(classes)])
-    # One row a run.
-    both = words.join(F.broadcast(sizes), list(keys)) if keys else words.crossJoin(F.broadcast(sizes))
+    named = [f"_s{i}" for i in range(len(classes))]
+    if keys:
+        found: dict = {}
+        for r in by_class:
+            found.setdefault(tuple(r[k] for k in keys), dict.fromkeys(classes, 0))[r["y"]] = r["size"]
+        schema = T.StructType([*[labels.schema[k] for k in keys], *[T.StructField(x, T.LongType()) for x in named]])
+        both = words.join(F.broadcast(labels.sparkSession.createDataFrame([(*k, *v.values()) for k, v in found.items()], schema)), list(keys))
+    else:
+        both = words.withColumns({x: F.lit(next(r["size"] for r in by_class if r["y"] == c)).cast("long") for x, c in zip(named, classes)})
     none, every = F.lit(0), F.lit(0)
     total, absent = F.lit(0.0), F.lit(0.0)
     for i in range(len(classes)):
@@ -75,8 +83,10 @@ def mutual_information(tf: DataFrame, labels: DataFrame, keys: tuple[str, ...] =
         absent, total = absent + _n_log_n(rest), total + _n_log_n(F.col(f"_s{i}"))
     bits = (F.col("_inside") + absent - _n_log_n(none) - total + _n_log_n(every)) / every
     found = both.select(*keys, "word", F.greatest(bits, F.lit(0.0)).alias("_mi"))
-    n_words = words.groupBy(*keys).agg(F.count("*").alias("_words"))
-    found = found.join(F.broadcast(n_words), list(keys)) if keys else found.crossJoin(F.broadcast(n_words))
+    if keys:
+        found = found.join(F.broadcast(words.groupBy(*keys).agg(F.count("*").alias("_words"))), list(keys))
+    else:
+        found = found.withColumn("_words", F.lit(words.count()))
     return found.select(*keys, "word", (F.col("_mi") / F.greatest("_words", F.lit(1))).alias("mi"))
 
 

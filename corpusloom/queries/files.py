@@ -197,13 +197,34 @@ def resplit_round_trip(spark, sf_dir):
     return out[0].unionByName(out[1])
 
 
-@query(f"""{_EVAL}, a AS (SELECT avg(a) AS a FROM (SELECT avg(CASE WHEN y = predicted THEN 1e0 ELSE 0e0 END) AS a FROM rows GROUP BY run_id)),
-s AS (SELECT y, avg(round(p, 4)) AS p, avg(round(r, 4)) AS r, avg(round(f, 4)) AS f, avg(support) AS support FROM fig GROUP BY y)
-SELECT rpad(CAST(y AS VARCHAR), 12, ' ') || ' ' || format('{{:6.2f}} {{:6.2f}} {{:6.2f}} {{:6.0f}}', p, r, f, support) AS line FROM s
-UNION ALL SELECT format('Acc: {{:6.4f}}', a) FROM a UNION ALL SELECT 'classes: ' || count(*) FROM s""")
-def summary_table(spark, sf_dir):
-    folder, rows = _folder(spark), checkpointed(_evaluated(spark, sf_dir))
+def _summary_sql(*tables: int) -> str:
+    """The lines of the averages over the first so many runs, table after table."""
+    parts, lines = [_EVAL], []
+    for n in tables:
+        parts.append(f"a{n} AS (SELECT avg(a) AS a FROM (SELECT avg(CASE WHEN y = predicted THEN 1e0 ELSE 0e0 END) AS a FROM rows WHERE run_id < {n} GROUP BY run_id))")
+        parts.append(f"s{n} AS (SELECT y, avg(round(p, 4)) AS p, avg(round(r, 4)) AS r, avg(round(f, 4)) AS f, avg(support) AS support FROM fig WHERE run_id < {n} GROUP BY y)")
+        lines.append(f"SELECT rpad(CAST(y AS VARCHAR), 12, ' ') || ' ' || format('{{:6.2f}} {{:6.2f}} {{:6.2f}} {{:6.0f}}', p, r, f, support) AS line FROM s{n}")
+        lines += [f"SELECT format('Acc: {{:6.4f}}', a) FROM a{n}", f"SELECT 'classes: ' || count(*) FROM s{n}"]
+    return ", ".join(parts) + " " + " UNION ALL ".join(lines)
+
+
+def _write_average(rows, folder, mode="overwrite"):
     averages = metrics.fold_average(metrics.class_figures(rows, "run_id"), "y").withColumn("name", F.col("y").cast("string"))
     whole = metrics.accuracy(rows, "run_id").agg(F.avg("accuracy").alias("accuracy"))
-    writers.write_summary(averages.join(F.broadcast(whole), F.lit(True)), folder)
+    writers.write_summary(averages.join(F.broadcast(whole), F.lit(True)), folder, mode)
+
+
+@query(_summary_sql(5))
+def summary_table(spark, sf_dir):
+    folder = _folder(spark)
+    _write_average(checkpointed(_evaluated(spark, sf_dir)), folder)
+    return spark.read.text(folder).select(F.col("value").alias("line"))
+
+
+@query(_summary_sql(2, 4, 5))
+def appended_averages(spark, sf_dir):
+    """The averages of the first two, four and five folds, each appended to the same summary."""
+    folder, rows = _folder(spark), checkpointed(_evaluated(spark, sf_dir))
+    for runs in (2, 4, 5):
+        _write_average(rows.where(F.col("run_id") < runs), folder, "append")
     return spark.read.text(folder).select(F.col("value").alias("line"))

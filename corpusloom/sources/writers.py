@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def write_dense_csv(rows: DataFrame, path: str, features: str = "features", label: str = "y", mode: str = "overwrite") -> None:
@@ -44,15 +46,21 @@ def write_counters(spark, counters: list[tuple[str, int]], path: str) -> None:
     spark.createDataFrame(lines, "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(path)
 
 
+@F.pandas_udf(StringType())
+def fixed(value: pd.Series, form: pd.Series) -> pd.Series:
+    """Numbers as C and Python print them, rounded from their exact binary value; a few rows of a summary."""
+    return pd.Series([None if x is None or x != x else format(x, f) for x, f in zip(value, form)])
+
+
 def write_summary(averages: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A table of averaged class figures, a line a class: figures as %6.2f, the support as %6.0f; then key and value lines.
 
     averages(name, precision, recall, f1, support, accuracy) has one row a class; mode append adds a further table.
     """
-    cells = [F.format_string("%6.2f", x) for x in ("precision", "recall", "f1")]
-    lines = averages.select(F.lit(0).alias("_part"), "name", F.concat_ws(" ", F.rpad("name", 12, " "), *cells, F.format_string("%6.0f", F.col("support").cast("double"))).alias("value"))
+    cells = [fixed(F.col(x), F.lit("6.2f")) for x in ("precision", "recall", "f1")]
+    lines = averages.select(F.lit(0).alias("_part"), "name", F.concat_ws(" ", F.rpad("name", 12, " "), *cells, fixed(F.col("support").cast("double"), F.lit("6.0f"))).alias("value"))
     tail = averages.agg(F.max("accuracy").alias("a"), F.count("*").alias("n")).select(F.inline(F.array(
-        F.struct(F.lit(1).alias("_part"), F.lit("").alias("name"), F.format_string("Acc: %6.4f", "a").alias("value")),
+        F.struct(F.lit(1).alias("_part"), F.lit("").alias("name"), F.concat(F.lit("Acc: "), fixed(F.col("a"), F.lit("6.4f"))).alias("value")),
         F.struct(F.lit(2).alias("_part"), F.lit("").alias("name"), F.concat(F.lit("classes: "), F.col("n").cast("string")).alias("value")),
     )))
     lines.unionByName(tail).coalesce(1).sortWithinPartitions("_part", "name").select("value").write.mode(mode).text(path)
