@@ -131,27 +131,32 @@ def frequent_words(tf: DataFrame) -> list:
     return tf._frequent
 
 
-def maximise(resp: DataFrame, tf: DataFrame, parts: DataFrame | list[Slot], words: int, save=None) -> Theta:
+_BASE = "run_id int, k int, y int, log_prior double, log_total double"
+
+
+def maximise(resp: DataFrame, tf: DataFrame, parts: DataFrame | list[Slot], words: int, save=None, sizes: dict | None = None) -> Theta:
     """M-step with add-one smoothing; components without documents keep the smoothing mass.
 
-    ``save(name, df)`` keeps a table; the parameters are saved, as scores read them more than once.
+    ``save(df)`` keeps the word parameters, which scores read more than once; ``sizes`` are the
+    summed weights by (run_id, k), where they are known.
     """
     slots = parts if isinstance(parts, list) else _slots(parts)
-    save = save or (lambda name, df: checkpointed(df))
+    save = save or checkpointed
     weights = [F.sum(F.when((F.col("run_id") == r) & (F.col("k") == k), F.col("w")).otherwise(0.0)) for r, k, _ in slots]
     packed = resp.groupBy("doc_id").agg(F.array(*weights).alias("ws"))
     counts = [F.sum(F.col("ws")[i] * _n(tf, r)) for i, (r, _, _) in enumerate(slots)]
     rows = packed.join(tf, "doc_id").groupBy("word_id").agg(F.array(*counts).alias("cs"))
-    logs = save("packed", rows.select("word_id", F.transform("cs", F.log1p).alias("logs"), "cs"))
+    logs = save(rows.select("word_id", F.transform("cs", F.log1p).alias("logs"), "cs"))
     total = logs.agg(*[F.coalesce(F.sum(F.col("cs")[i]), F.lit(0.0)).alias(f"t{i}") for i in range(len(slots))]).first()
-    found = {(x["run_id"], x["k"]): x["size"] for x in resp.groupBy("run_id", "k").agg(F.sum("w").alias("size")).collect()}
-    size = [found.get((r, k), 0.0) for r, k, _ in slots]
+    if sizes is None:
+        sizes = {(x["run_id"], x["k"]): x["size"] for x in resp.groupBy("run_id", "k").agg(F.sum("w").alias("size")).collect()}
+    size = [sizes.get((r, k), 0.0) for r, k, _ in slots]
     rows = []
     for i, (r, k, y) in enumerate(slots):
         own = [j for j, x in enumerate(slots) if x[0] == r]
         prior = math.log((size[i] + 1) / (sum(size[j] for j in own) + len(own)))
         rows.append(Row(run_id=r, k=k, y=y, log_prior=prior, log_total=math.log(total[i] + words)))
-    base = resp.sparkSession.createDataFrame(rows, "run_id int, k int, y int, log_prior double, log_total double")
+    base = resp.sparkSession.createDataFrame(rows, _BASE)
     return Theta(slots, base, logs.select("word_id", "logs"))
 
 
@@ -231,11 +236,15 @@ def expectation_maximisation(docs: DataFrame, tf: DataFrame, parts: DataFrame, s
         active, before = state["active"], {int(r): _decimal(q) for r, q in state["before"].items()}
         ended = [_kept(rounds, docs.sparkSession, x) for x in state["ended"]]
         found = {int(r): (_decimal(q), n, c) for r, (q, n, c) in state["found"].items()}
-        theta = Theta([tuple(x) for x in state["slots"]], rounds.read(loops, "base"), rounds.read(loops, "packed").select("word_id", "logs"))
+        theta = Theta([tuple(x) for x in state["slots"]], docs.sparkSession.createDataFrame([tuple(x) for x in state["base"]], _BASE), rounds.read(loops, "packed").select("word_id", "logs"))
     while active:
         own = docs.where(F.col("run_id").isin(active))
         resp = rounds.table(loops, "resp", responsibilities(scores(own, tf, theta)))
-        q = {r["run_id"]: r["q"] for r in objective(resp).collect()}
+        # One row a run and component.
+        sums = resp.groupBy("run_id", "k").agg(F.sum("w").alias("size"), F.sum((F.col("w") * F.col("score")).cast(EXACT)).alias("q")).collect()
+        q: dict = {}
+        for r in sums:
+            q[r["run_id"]] = q.get(r["run_id"], 0) + r["q"]
         rest = {r for r in active if r not in q or (r in before and epsilon >= 0 and abs(q[r] - before[r]) <= epsilon)}
         over = loops >= max_loops
         if rest or over:
@@ -253,9 +262,8 @@ def expectation_maximisation(docs: DataFrame, tf: DataFrame, parts: DataFrame, s
             break
         going = resp.where(F.col("run_id").isin(active)).select("run_id", "doc_id", "k", "w")
         before, loops = q, loops + 1
-        theta = maximise(going, tf, [x for x in slots if x[0] in active], words, lambda name, df: rounds.table(loops, name, df))
-        theta.base = rounds.table(loops, "base", theta.base)
-        rounds.done(loops, {"active": active, "slots": theta.slots, "before": {r: str(x) for r, x in before.items()}, "found": {r: (str(x[0]), *x[1:]) for r, x in found.items()}, "ended": [(x[2], x[0].slots) for x in ended]})
+        theta = maximise(going, tf, [x for x in slots if x[0] in active], words, lambda df: rounds.table(loops, "packed", df), {(r["run_id"], r["k"]): r["size"] for r in sums})
+        rounds.done(loops, {"active": active, "slots": theta.slots, "base": [tuple(r) for r in theta.base.collect()], "before": {r: str(x) for r, x in before.items()}, "found": {r: (str(x[0]), *x[1:]) for r, x in found.items()}, "ended": [(x[2], x[0].slots) for x in ended]})
     resp = ended[0][1]
     for _, more, _ in ended[1:]:
         resp = resp.unionByName(more)

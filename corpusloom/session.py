@@ -86,19 +86,20 @@ class Rounds:
 
     def done(self, number: int, state: dict) -> None:
         """Round ``number`` is whole; the round before the last goes."""
-        rows = [(json.dumps(state),)]
-        self.spark.createDataFrame(rows, "state string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{number:06d}/state")
-        fs, at = self._at(f"{self.folder}/{number - 2:06d}")
-        fs.delete(at, True)
+        fs, part = self._at(f"{self.folder}/{number:06d}/_state")
+        out = fs.create(part, True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        fs.rename(part, self._at(f"{self.folder}/{number:06d}/state")[1])
+        fs.delete(self._at(f"{self.folder}/{number - 2:06d}")[1], True)
 
     def last(self) -> tuple[int, dict] | None:
         """(number, state) of the last whole round, if there is one."""
         fs, at = self._at(self.folder)
         numbers = sorted((int(x.getPath().getName()) for x in fs.listStatus(at)), reverse=True) if fs.exists(at) else []
         for number in numbers:
-            own, state = self._at(f"{self.folder}/{number:06d}/state/_SUCCESS")
-            if own.exists(state):
-                return number, json.loads(self.spark.read.text(f"{self.folder}/{number:06d}/state").first()["value"])
+            if fs.exists(self._at(f"{self.folder}/{number:06d}/state")[1]):
+                return number, json.loads(self.spark.read.text(f"{self.folder}/{number:06d}/state", wholetext=True).first()["value"])
         return None
 
     def read(self, number: int, name: str) -> DataFrame:
