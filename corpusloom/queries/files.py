@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import portable_hash, portable_hash_sql
 from ..operators import corpus as C
-from ..operators import metrics, selection
+from ..operators import metrics
 from ..plans import preparation
-from ..session import checkpoint_folder, checkpointed, numbered, table
+from ..session import checkpoint_folder, checkpointed, numbered
 from ..sources import generator, readers, writers
-from .corpus import _MI, LANGS, STOP, STOP_SQL, TF, TOP, VOCAB, docs_of, labelled, tf_of, top_words
+from .corpus import _MI, STOP, STOP_SQL, TF, VOCAB, docs_of, labelled, tf_of
 from .models import _EVAL, _evaluated
 
 QUERIES: dict = {}
