@@ -17,3 +17,19 @@ def test_marks_beyond_32_bits(spark, tmp_path):
     found = files.QUERIES["resplit_round_trip"](spark, str(tmp_path)).collect()
     want = sum((i + 1) % 1000003 for i in range(50_000)) + 50_000 * 50_000 % 1000003
     assert [(r["part"], r["label"], r["documents"], r["mark"]) for r in found] == [(1, "a", 2, want)]
+
+
+def test_terms_are_not_shuffled_by_common_words(spark, monkeypatch):
+    """Stop words and common words are broadcast; texts are dealt instead of their terms; the kept terms are the same."""
+    docs = spark.createDataFrame([(i, f"the a{i % 3} common common b{i} the"[: 99 if i else 0]) for i in range(40)] + [(7, "common c0")], "doc_id long, text string")
+    tf = C.term_counts(docs)
+    plan = tf._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    assert {(r["word"], r["n"]) for r in tf.where("doc_id = 7").collect()} == {("the", 2), ("a1", 1), ("common", 3), ("b7", 1), ("c0", 1)}
+    stop = spark.createDataFrame([("the",)], "word string")
+    plan = C.without_stop_words(tf, stop)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    want = {(r["doc_id"], r["word"], r["n"]) for r in tf.collect() if r["word"] in ("the", "common", "a0", "a1", "a2")}
+    for common in (1, 4, 1 << 20):
+        monkeypatch.setattr(C, "COMMON", common)
+        assert {(r["doc_id"], r["word"], r["n"]) for r in C.without_rare_words(tf, tf).collect()} == want
