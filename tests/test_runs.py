@@ -361,3 +361,35 @@ def test_entry_without_an_importable_llm(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
     assert int(out[0]) > 80 and out[1:3] == ["False", "False"] and int(out[3]) > 60
+
+
+def test_words_beyond_the_numbered_ones(spark, terms, monkeypatch):
+    """Parameters of few words are broadcast, those of the others joined: same scores, loops and parameters; documents given twice as well."""
+    x, y, labelled, tf, docs = terms
+    whole = fit(docs, tf, [0, 1, 2])
+    want = {(r["run_id"], r["doc_id"], r["k"]): r["score"] for r in _scored(docs, tf, [0, 1, 2]).collect()}
+    monkeypatch.setattr(M, "NUMBERS", 18)
+    few = tf.select("*")
+    assert len(M.frequent_words(few, 6)) == 3 and M.packed_terms(few, 6).rest is not None
+    for r in _scored(docs, few, [0, 1, 2]).collect():
+        assert r["score"] == pytest.approx(want[r["run_id"], r["doc_id"], r["k"]], abs=1e-9)
+    # Hot words are fewer than the numbered ones here.
+    monkeypatch.setattr(M, "NUMBERS", 1 << 20)
+    monkeypatch.setattr(M, "HOT", 2)
+    again = fit(docs, tf.select("*"), [0, 1, 2])
+    rows = lambda f: sorted((r["run_id"], r["k"], r["word_id"], round(r["log_count"], 9)) for r in f.theta.seen.collect())
+    assert again.of_run == whole.of_run and rows(again) == rows(whole)
+
+
+def test_an_objective_is_exact_and_a_loop_is_one_pass(spark, terms, monkeypatch):
+    """No row a document is written in a loop; both ways of a loop give the same objective."""
+    x, y, labelled, tf, docs = terms
+    names, table = [], Rounds.table
+    monkeypatch.setattr(Rounds, "table", lambda self, number, name, df: names.append(name) or table(self, number, name, df))
+    one = fit(docs, tf, [0], max_loops=2)
+    assert set(names) == {"packed"}
+    monkeypatch.setattr(M, "_spread", lambda docs, terms, runs: None)
+    rows = fit(docs, tf, [0], max_loops=2)
+    assert one.q[0] == pytest.approx(rows.q[0], abs=1e-8) and "resp" in names
+    key = lambda f: sorted((r["doc_id"], r["k"], r["y"], round(r["w"], 9), round(r["score"], 7)) for r in f.resp.where("w > 0").collect() if r["y"] is not None)
+    assert key(one) == key(rows)
