@@ -33,3 +33,48 @@ def test_terms_are_not_shuffled_by_common_words(spark, monkeypatch):
     for common in (1, 4, 1 << 20):
         monkeypatch.setattr(C, "COMMON", common)
         assert {(r["doc_id"], r["word"], r["n"]) for r in C.without_rare_words(tf, tf).collect()} == want
+
+
+def _plain_tree(vectors, distance):
+    """Leaf order and merges (value, leaves of both) from the definition: all pairs each time."""
+    import numpy as np
+
+    groups = [(i, [i], v) for i, v in enumerate(vectors)]
+    sums, merges = {i: v.copy() for i, v in enumerate(vectors)}, []
+    while len(groups) > 1:
+        pairs = [(distance(a[2], b[2]), x, y) for x, a in enumerate(groups) for y, b in enumerate(groups) if x < y]
+        value, x, y = min(pairs)
+        i, j = groups[x][0], groups[y][0]
+        sums[i] = sums[i] + sums[j]
+        leaves = groups[x][1] + groups[y][1]
+        merges.append((value, len(groups[x][1]), len(leaves)))
+        groups[x] = (i, leaves, sums[i] / len(leaves))
+        del groups[y]
+    return groups[0][1], [v for v, _, _ in merges]
+
+
+def test_trees_without_a_matrix():
+    """Equal rows, ties and blocks of a few rows: leaves and cut values are those of the definition."""
+    import numpy as np
+
+    from corpusloom.plans import tree
+
+    rng = np.random.default_rng(5)
+    for name, d in (("match", lambda a, b: np.abs(np.cumsum(b - a)).sum()), ("bin", lambda a, b: np.divide((b - a) ** 2, 2 * (b + a), out=np.zeros(len(a)), where=b + a != 0).sum())):
+        for width in (3, 25):
+            for block in (4, 4096):
+                tree.BLOCK = block
+                vectors = rng.poisson(0.8, (40, width)).astype(float)
+                leaves, cuts = tree.grow(vectors, name)
+                want, values = _plain_tree(vectors, d)
+                assert leaves == want
+                assert [v for _, v, _ in sorted(cuts, key=lambda c: c[2])] == values
+
+
+def test_trees_of_more_than_8000_rows(spark):
+    """No group is refused: 8100 rows on a line, which pair off in order."""
+    from corpusloom.plans import tree
+
+    rows = spark.range(8100).select(F.lit(0).alias("run_id"), F.lit(1).alias("y"), F.col("id").alias("doc_id"), F.array(F.floor(F.col("id") / 1350).cast("double")).alias("x"))
+    found = tree.trees(rows, "match").agg(F.count("*"), F.count_distinct("doc_id"), F.sum((F.col("cut_value") > 0).cast("int"))).first()
+    assert tuple(found) == (8100, 8100, 5)
