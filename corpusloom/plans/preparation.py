@@ -15,7 +15,7 @@ from ..errors import UnknownMethodError
 from ..operators import corpus as C
 from ..operators import selection
 from ..operators.split import equal_class_split
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from ..sources import readers, writers
 
 
@@ -47,6 +47,11 @@ def prepare(tf: DataFrame, docs: DataFrame, steps: list[tuple[str, object]], fea
 
     tf(doc_id, word, n); docs(doc_id, y, part) with part 0 for training, 1 for testing.
     """
+    return prepare_sizes(tf, docs, steps, [features])[0]
+
+
+def prepare_sizes(tf: DataFrame, docs: DataFrame, steps: list[tuple[str, object]], sizes: list[int]) -> list[Prepared]:
+    """``prepare`` for several numbers of features: the chain and the information are computed once."""
     train = docs.where("part = 0")
     if unknown := [name for name, _ in steps if name not in STEPS]:
         raise UnknownMethodError(f"no preparation step named {unknown[0]!r}")
@@ -56,9 +61,15 @@ def prepare(tf: DataFrame, docs: DataFrame, steps: list[tuple[str, object]], fea
             scaling.append((name, argument))  # words are chosen by their plain counts
         else:
             counted = STEPS[name](counted, train, argument)
-    counted = checkpointed(counted)
-    ranks = checkpointed(selection.best(selection.mutual_information(counted, train), features))
-    kept = counted.join(F.broadcast(ranks.select("word")), "word", "left_semi")
+    counted = counted if counted is tf else stored(counted)
+    # A rank list of the most words begins with those of fewer; terms of its words alone are read again.
+    best = checkpointed(selection.best(selection.mutual_information(counted, train), max(sizes)))
+    terms = stored(counted.join(F.broadcast(best.select("word")), "word", "left_semi"))
+    return [_prepared(terms, docs, train, scaling, best.where(F.col("rank") <= size)) for size in sizes]
+
+
+def _prepared(terms: DataFrame, docs: DataFrame, train: DataFrame, scaling: list[tuple[str, object]], ranks: DataFrame) -> Prepared:
+    kept = terms.join(F.broadcast(ranks.select("word")), "word", "left_semi")
     for name, argument in scaling:
         kept = STEPS[name](kept, train, argument)
     ranked = checkpointed(C.ranked_features(kept, ranks))
@@ -88,8 +99,7 @@ def topic_grid(tf: DataFrame, docs: DataFrame, topics: list[str], features: list
     for topic in topics:
         own = checkpointed(docs.select("doc_id", "part", C.binary_label(F.col("label"), topic).cast("int").alias("y")))
         names = spark.createDataFrame([(0, topic), (1, "other")], "y int, name string")
-        for number in features:
-            found = prepare(tf, own, steps, number)
+        for number, found in zip(features, prepare_sizes(tf, own, steps, features)):
             export(found, names, f"{folder}/{topic}-{number}")
             out.append((topic, number, found))
     return out

@@ -78,3 +78,20 @@ def test_trees_of_more_than_8000_rows(spark):
     rows = spark.range(8100).select(F.lit(0).alias("run_id"), F.lit(1).alias("y"), F.col("id").alias("doc_id"), F.array(F.floor(F.col("id") / 1350).cast("double")).alias("x"))
     found = tree.trees(rows, "match").agg(F.count("*"), F.count_distinct("doc_id"), F.sum((F.col("cut_value") > 0).cast("int"))).first()
     assert tuple(found) == (8100, 8100, 5)
+
+
+def test_sizes_of_a_grid_share_one_rank_list(spark, tmp_path, monkeypatch):
+    """A topic's information is found once for all numbers of features, and each dataset is what ``prepare`` gives alone."""
+    from corpusloom.operators import selection
+    from corpusloom.plans import preparation
+
+    tf = spark.createDataFrame([(d, f"w{w}", 1 + (d * w) % 3) for d in range(30) for w in range(8) if (d + w) % 3], "doc_id long, word string, n int")
+    docs = spark.createDataFrame([(d, "ab"[d % 2 if d % 7 else 0], int(d % 4 == 0)) for d in range(30)], "doc_id long, label string, part int")
+    calls, plain = [], selection.mutual_information
+    monkeypatch.setattr(selection, "mutual_information", lambda *args: calls.append(1) or plain(*args))
+    found = preparation.topic_grid(tf, docs, ["a"], [2, 5], [("scale_l1", 100)], str(tmp_path))
+    assert len(calls) == 1 and [(t, n, x.words) for t, n, x in found] == [("a", 2, 2), ("a", 5, 5)]
+    own = docs.selectExpr("doc_id", "part", "cast(label <> 'a' as int) as y")
+    for _, number, x in found:
+        alone = preparation.prepare(tf, own, [("scale_l1", 100)], number)
+        assert sorted(map(tuple, x.train.collect())) == sorted(map(tuple, alone.train.collect()))
