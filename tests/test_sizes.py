@@ -95,3 +95,83 @@ def test_sizes_of_a_grid_share_one_rank_list(spark, tmp_path, monkeypatch):
     for _, number, x in found:
         alone = preparation.prepare(tf, own, [("scale_l1", 100)], number)
         assert sorted(map(tuple, x.train.collect())) == sorted(map(tuple, alone.train.collect()))
+
+
+def _word_counts(rows, stop=(), least=1):
+    """{doc_id: {word: n}} of ASCII texts by the definition, and the words that stay."""
+    import re
+    from collections import Counter
+
+    counts: dict = {}
+    for doc, text in rows:
+        counts.setdefault(doc, Counter()).update(re.findall(r"\w{2,}", (text or "").lower()))
+    total = sum(counts.values(), Counter())
+    kept = {w for w, n in total.items() if n >= least and w not in stop}
+    return {d: own for d, c in counts.items() if d is not None and (own := {w: n for w, n in c.items() if w in kept})}, kept
+
+
+def test_packed_words_by_value(spark, monkeypatch):
+    """Blocks of few tokens or of all: the same documents and words; null and repeated ids, empty texts, stop words and words found once."""
+    from corpusloom.operators import terms
+
+    rows = [(d, " ".join(f"W{d * i % 17} the x common{'' if i % 3 else d}" for i in range(d % 9))) for d in range(60)]
+    rows += [(None, "w1 once common"), (7, "w3 w3 more the"), (7, None), (61, ""), (62, None), (63, "the x y"), (64, "rare1 rare1 rare2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, words = _word_counts(rows, ("the",), 2)
+    for block in (1 << 22, 40, 1):
+        monkeypatch.setattr(terms, "BLOCK", block)
+        packed, known = terms.packed_words(docs, ["the"], 2)
+        numbers = sorted((r["_id"], r["word_id"], r["_df"]) for r in known.collect())
+        assert [i for i, _, _ in numbers] == list(range(len(words))) and {w for _, w, _ in numbers} == words
+        assert [n for _, _, n in numbers] == sorted((n for _, _, n in numbers), reverse=True)
+        assert packed.count() == len(want)
+        found: dict = {}
+        for r in terms.term_rows(packed, known).collect():
+            assert r["word_id"] not in found.setdefault(r["doc_id"], {})
+            found[r["doc_id"]][r["word_id"]] = r["n"]
+        assert found == want
+        first, rest = terms.below(packed, 3), terms.term_rows(packed, known, 3)
+        assert terms.term_rows(first, known).count() + rest.count() == sum(len(x) for x in want.values())
+        assert {r["word_id"] for r in rest.select("word_id").distinct().collect()} == {w for i, w, _ in numbers if i >= 3}
+    assert terms.packed_words(docs.where("false"))[0].count() == 0
+
+
+def test_models_of_packed_documents(spark, monkeypatch):
+    """Packed documents give the scores of their term rows, with all words numbered or few."""
+    from corpusloom.operators import terms
+    from corpusloom.plans import mixture as M
+
+    texts = spark.createDataFrame([(d, " ".join(f"w{(d % 2) * 3 + d * i % 11}" for i in range(d % 8))) for d in range(40)], "doc_id long, text string")
+    docs = spark.createDataFrame([(0, d, d % 2 if d % 3 else None) for d in range(41)], "run_id int, doc_id long, y int")
+    parts = M.several_parts(docs, [1, 1])
+
+    def scored(tf):
+        theta = M.maximise(M.hard_start(docs, parts), tf, parts, M.word_count(tf))
+        fit = M.expectation_maximisation(docs, tf, parts, theta, M.word_count(tf), epsilon=-1.0, max_loops=2)
+        return {(r["doc_id"], r["k"]): (round(r["score"], 8), round(r["w"], 9)) for r in fit.resp.collect() if r["w"] > 0}
+
+    packed, words = terms.packed_words(texts)
+    rows = C.term_counts(texts).withColumnRenamed("word", "word_id")
+    want = scored(rows)
+    assert scored(M.packed_corpus(packed, words)) == want
+    assert scored(M.written(M.packed_corpus(packed, words))) == want
+    monkeypatch.setattr(M, "NUMBERS", 8)
+    few = M.packed_corpus(packed, words)
+    assert M.packed_terms(few, 2).rest is not None and scored(few) == want
+
+
+def test_features_write_no_row_a_term(spark, tmp_path):
+    """What the model queries write is far smaller than the term table: here 300 documents of the same 60 words."""
+    from pathlib import Path
+
+    from corpusloom.queries import models
+    from corpusloom.session import checkpoint_folder
+
+    text = " ".join(f"w{i}" for i in range(60))
+    spark.createDataFrame([(d, text) for d in range(300)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    folder = Path(checkpoint_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("stored-*"))
+    tf, words = models.features(spark, str(tmp_path))
+    written = [spark.read.parquet(str(x)).count() for x in set(folder.glob("stored-*")) - before]
+    assert words == 60 and written and sum(written) < 300 * 60 / 4
+    assert tf.count() == 300 * 60
