@@ -175,3 +175,39 @@ def test_features_write_no_row_a_term(spark, tmp_path):
     written = [spark.read.parquet(str(x)).count() for x in set(folder.glob("stored-*")) - before]
     assert words == 60 and written and sum(written) < 300 * 60 / 4
     assert tf.count() == 300 * 60
+
+
+def test_a_tree_search_reads_a_stretch(monkeypatch):
+    """Of 3000 counted rows a small part of the pairs is measured, not the square; trees with few waiting clusters are the same."""
+    import numpy as np
+
+    from corpusloom.plans import tree
+
+    rng = np.random.default_rng(9)
+    vectors = rng.poisson(rng.gamma(0.7, 60, (3000, 1)) * rng.dirichlet(np.full(30, 0.8), 3000)).astype(float)
+    vectors[1000:1400] = vectors[:400]
+    measured, plain = [], tree._distances
+    monkeypatch.setattr(tree, "_distances", lambda name, one, others: measured.append(len(others)) or plain(name, one, others))
+    whole = tree.grow(vectors, "match")
+    assert len(whole[0]) == 3000 and [v for _, v, _ in whole[1]].count(0.0) >= 400
+    assert sum(measured) < 3000 * 3000 / 40
+    monkeypatch.setattr(tree, "FRESH", 3)
+    monkeypatch.setattr(tree, "CLOSE", 1)
+    assert tree.grow(vectors, "match") == whole
+
+
+def test_vectors_of_first_words(spark, tmp_path):
+    """Counts of the most frequent words of all documents, for labelled ones: repeated ids, empty and null texts."""
+    from corpusloom.queries import groups
+
+    rows = [(d, " ".join(f"w{(d * i) % 130}" for i in range(d % 50))) for d in range(300)] + [(7, "w1 w1"), (301, ""), (302, None), (None, "w5 w5")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    counts, _ = _word_counts(rows)
+    total: dict = {}
+    for _, text in rows:
+        for w in (text or "").split():
+            total[w] = total.get(w, 0) + 1
+    first = sorted(total, key=lambda w: (-total[w], w))[: groups.WIDTH]
+    docs = spark.createDataFrame([(d, d % 2) for d in (3, 7, 48, 301, 302, 999)], "doc_id long, y int")
+    found = {r["doc_id"]: r["x"] for r in groups._counts(spark, str(tmp_path), docs).collect()}
+    assert found == {d: [float(counts.get(d, {}).get(w, 0)) for w in first] for d in (3, 7, 48, 301, 302, 999)}
