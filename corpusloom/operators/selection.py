@@ -57,7 +57,11 @@ def mutual_information(tf: DataFrame, labels: DataFrame, keys: tuple[str, ...] =
     occurrences, and these one row a word, each summed before its shuffle.
     """
     labels = labels.where("y is not null")
-    seen = seen_cells(tf, labels, keys)
+    return information(seen_cells(tf, labels, keys), labels, keys)
+
+
+def information(seen: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``mutual_information`` of cells as of ``seen_cells``."""
     # A few rows: the classes of the class map and their sizes, by run.  Each class is a column of the sums.
     by_class = labels.groupBy(*keys, "y").agg(F.count("*").alias("size")).collect()
     classes = sorted({r["y"] for r in by_class})
