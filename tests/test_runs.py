@@ -393,3 +393,73 @@ def test_an_objective_is_exact_and_a_loop_is_one_pass(spark, terms, monkeypatch)
     assert one.q[0] == pytest.approx(rows.q[0], abs=1e-8) and "resp" in names
     key = lambda f: sorted((r["doc_id"], r["k"], r["y"], round(r["w"], 9), round(r["score"], 7)) for r in f.resp.where("w > 0").collect() if r["y"] is not None)
     assert key(one) == key(rows)
+
+
+def test_many_runs_are_fitted_in_groups(spark, terms, monkeypatch):
+    """All sizes of an experiment are one fit; where their parameters are too many, groups of runs, each with all its words numbered, and the same figures."""
+    from corpusloom.plans import experiments
+
+    x, y, labelled, tf, docs = terms
+    own = spark.createDataFrame([(i, int(y[i])) for i in range(80)], "doc_id long, y int")
+    more = spark.createDataFrame([(i,) for i in range(80, 160)], "doc_id long")
+    fits, plain = [], M.expectation_maximisation
+
+    def counted(*args, **options):
+        fits.append(plain(*args, **options))
+        return fits[-1]
+
+    monkeypatch.setattr(M, "expectation_maximisation", counted)
+    rows = lambda: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in experiments.labelled_sizes(own, more, tf, WORDS, [10, 20], tries=2, epsilon=EPSILON).collect())
+    whole = rows()
+    assert len(fits) == 1 and len(fits[0].of_run) == 4 and {r[:2] for r in whole} == {(s, m) for s in (10, 20) for m in ("NB", "EM")}
+    monkeypatch.setattr(M, "NUMBERS", 4 * WORDS)
+    few = tf.select("*")
+    monkeypatch.setattr(M, "packed_terms", lambda table, slots, plain=M.packed_terms: [t for t in [plain(table, slots)] if t.rest is None][0])
+    tf = few
+    assert rows() == whole and [sorted(f.of_run) for f in fits[1:]] == [[0, 1], [2, 3]]
+    for k, name in ((8, 10), (4, 20)):
+        runs = experiments.fold_runs(own, k, 2)
+        for model, semi in (("NB", None), ("EM", more)):
+            alone = experiments.summary(experiments.train_and_test(runs, tf, WORDS, [1, 1], semi, None, EPSILON), labelled=name, model=model)
+            assert sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in alone.collect()) == [r for r in whole if r[:2] == (name, model)]
+
+
+def test_a_loop_is_one_job_and_sums_are_stretches(spark, terms, monkeypatch):
+    """A loop writes no table, and gives the same in stretches of a few numbers and slices of a few documents."""
+    x, y, labelled, tf, docs = terms
+    names, table = [], Rounds.table
+    monkeypatch.setattr(Rounds, "table", lambda self, number, name, df: names.append(name) or table(self, number, name, df))
+    whole = fit(docs, tf, [0, 1, 2])
+    assert whole.loops > 3 and len(names) == 1
+    monkeypatch.setattr(M, "CHUNK", 3)
+    monkeypatch.setattr(M, "SLICE", 7)
+    again = fit(docs, tf, [0, 1, 2])
+    rows = lambda f: sorted((r["run_id"], r["k"], r["word_id"], round(r["log_count"], 9)) for r in f.theta.seen.collect())
+    assert again.of_run == whole.of_run and rows(again) == rows(whole)
+    found = {(r["run_id"], r["doc_id"]): r["predicted"] for r in M.predict(docs, tf, again.theta).collect()}
+    plain_way = M.class_scores(M.scores(docs.withColumn("y", F.lit(None).cast("int")), tf, whole.theta)).groupBy("run_id", "doc_id").agg(F.max_by("owner", F.struct("score", -F.col("owner"))).alias("p"))
+    assert found == {(r["run_id"], r["doc_id"]): r["p"] for r in plain_way.collect()}
+
+
+def test_packed_sets_and_scales(spark):
+    """Scaled counts and feature sets by information of packed documents are those of their term rows."""
+    from corpusloom.operators import corpus, terms
+    from corpusloom.plans import experiments
+
+    rng = np.random.default_rng(12)
+    texts = spark.createDataFrame([(d, " ".join(f"w{rng.integers(0, 6) + 3 * (d % 2) * (d % 5 > 0)}" for _ in range(d % 9))) for d in range(90)], "doc_id long, text string").cache()
+    packed = M.packed_corpus(*terms.packed_words(texts))
+    plain = corpus.term_counts(texts)
+    rows = lambda df: sorted((r["doc_id"], r["word_id"], *(round(v, 9) for v in (r["n"] if isinstance(r["n"], list) else [r["n"]]))) for r in df.collect())
+    for kind in ("l1", "l2"):
+        want = corpus.scaled(plain, 50, kind).withColumnRenamed("word", "word_id")
+        assert rows(M.scaled_corpus(packed, 50, kind)) == rows(want)
+    docs = spark.createDataFrame([(d, d % 2) for d in range(0, 90, 2)] + [(d, d % 2) for d in range(1, 60, 2)], "doc_id long, y int")
+    runs = experiments.fold_runs(docs, 3).cache()
+    sets, want = experiments.information_sets(runs, packed, [2, 4], 100), experiments.information_sets(runs, plain, [2, 4], 100)
+    assert list(sets) == list(want)
+    for name in sets:
+        kept = [r for r in rows(want[name][0]) if any(r[2:])]
+        assert [r for r in rows(sets[name][0]) if any(r[2:])] == kept and len(kept) > 20
+    alone = [experiments.compare([experiments.Model(runs, 3, [1, 1])], s["mi4_l1"][0], 4)[0].found["NB"] for s in (sets, want)]
+    assert sorted(alone[0]) == sorted(alone[1])
